@@ -242,6 +242,17 @@ def score_toxicity(df: DataFrame, grammar: Grammar, id_col: str = "doc_id", text
     return docs.mapInArrow(_scores(grammar), kind).withColumnRenamed("id", id_col)
 
 
+def reject_toxic(df: DataFrame, grammar: Grammar, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df``, all columns, whose text scores below the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(grammar)
+        for b in batches:
+            yield b.filter(pa.array([scorer(t or "")[0] < threshold for t in b.column(text_col).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = score_toxicity(documents, fit(documents, table(spark, sf_dir, "labels")))
