@@ -32,6 +32,12 @@ class _Writer(HTMLParser):
         self.pre = False
         self.link: list[str] = []
         self.table: list[list[str]] | None = None
+        self.cell = False
+
+    def end_cell(self) -> None:
+        if self.cell and self.table:
+            self.table[-1].append(re.sub(r"\s+", " ", "".join(self.line)).strip().replace("|", "\\|"))
+        self.line, self.open, self.cell = [], [], False
 
     def flush(self) -> None:
         for _, mark in reversed(self.open):
@@ -93,10 +99,11 @@ class _Writer(HTMLParser):
             self.flush()
             self.table = []
         elif tag == "tr" and self.table is not None:
-            self.line = []
+            self.end_cell()
             self.table.append([])
         elif tag in ("td", "th") and self.table:
-            self.line = []
+            self.end_cell()
+            self.cell = True
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _SILENT:
@@ -114,10 +121,10 @@ class _Writer(HTMLParser):
             text = "".join(self.line).strip("\n")
             self.line, self.pre = [], False
             self.blocks.append(f"```\n{text}\n```")
-        elif tag in ("td", "th") and self.table:
-            self.table[-1].append(re.sub(r"\s+", " ", "".join(self.line)).strip().replace("|", "\\|"))
-            self.line, self.open = [], []
+        elif tag in ("td", "th", "tr") and self.table:
+            self.end_cell()
         elif tag == "table" and self.table is not None:
+            self.end_cell()
             rows = [r for r in self.table if r]
             self.table = None
             if rows:
