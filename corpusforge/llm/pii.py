@@ -127,6 +127,15 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _gap(context: str):
+    """Maps the text before a match to its length and whether a context word ends it."""
+
+    def gap(text: Column) -> Column:
+        return F.struct(F.length(text).alias("n"), F.right(text, F.lit(CONTEXT)).rlike(context).alias("near"))
+
+    return gap
+
+
 def _span(kind: str, rank: int, values: Column, gaps: Column):
     """Maps the end and place of a match to its span, or null if it fails."""
     score, more = SCORES[kind]
@@ -155,8 +164,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     for kind in KINDS:
         scanned, pattern = _scanned(kind, F.col("text")), F.lit(_pattern(kind))
         out = out.withColumn(f"{kind}_v", F.when(_possible(kind, F.col("text")), F.regexp_extract_all(scanned, pattern, F.lit(0))))
-        near = F.lit(CONTEXT_WORDS[kind])
-        gaps = F.transform(F.split(scanned, _pattern(kind), -1), lambda s, near=near: F.struct(F.length(s).alias("n"), F.rlike(F.right(s, F.lit(CONTEXT)), near).alias("near")))
+        gaps = F.transform(F.split(scanned, _pattern(kind), -1), _gap(CONTEXT_WORDS[kind]))
         out = out.withColumn(f"{kind}_g", F.when(F.size(f"{kind}_v") > 0, gaps))
     for rank, kind in enumerate(KINDS):
         v, g = F.col(f"{kind}_v"), F.col(f"{kind}_g")
