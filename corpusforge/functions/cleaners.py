@@ -112,6 +112,14 @@ def clean_frame(df, content: str = "content", path: str = "path", chain: Sequenc
     return df
 
 
+def length_deltas(df, content: str = "content", path: str = "path", chain: Sequence[str] = CHAIN):
+    """``df`` with a column ``<cleaner>_delta`` per step: characters gained or lost."""
+    for s in chain:
+        out = CLEANERS[s](F.col(content), F.col(path))
+        df = df.withColumn("__next", out).withColumn(f"{s}_delta", F.length("__next") - F.length(content)).withColumn(content, F.col("__next")).drop("__next")
+    return df
+
+
 def match_count(c: Column, name: str) -> Column:
     return F.regexp_count(c, F.lit(PATTERNS[name])).cast("long")
 

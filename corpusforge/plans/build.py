@@ -7,7 +7,6 @@ its status; ``errors`` splits failed ones off, and a failure never ends a run.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,10 +67,22 @@ def office_documents(files: DataFrame, source_base: str, target: str) -> tuple[D
     return good, images, bad
 
 
-def last_writer(documents: DataFrame) -> DataFrame:
-    """One row per target path: word-processor files win over plain texts."""
-    order = F.struct(F.lower(F.col("source")).rlike(r"\.docx?\z").alias("office"), F.col("source").alias("source"))
-    return documents.groupBy("path").agg(F.max_by("content", order).alias("content"))
+def overwritten(targets: DataFrame) -> DataFrame:
+    """(path, source) that another source of the same target path overwrites.
+
+    Word-processor files win over plain texts; of equals the last by name does.
+    Only paths are read and shuffled here, no content.
+    """
+    order = F.struct(F.lower(F.col("source")).rlike(r"\.docx?\z").alias("office"), F.col("source").alias("winner"))
+    won = targets.groupBy("path").agg(F.max(order)["winner"].alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return targets.join(won, "path").where("source <> winner").select("path", "source")
+
+
+def last_writer(documents: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """One row per target path. ``targets`` (path, source) spares a second read
+    of the contents where a listing has the same rows."""
+    lost = overwritten(documents.select("path", "source") if targets is None else targets)
+    return documents.join(lost, ["path", "source"], "left_anti").select("path", "content")
 
 
 def clean_documents(documents: DataFrame, pointing: DataFrame, chain=CHAIN) -> DataFrame:
@@ -99,7 +110,14 @@ def build(spark: SparkSession, source: str, target: str, manual: str, config: Bu
         return Built(spark.createDataFrame([], "path string, content string"), None, errors)
     texts = text_documents(read_texts(spark, source).join(listed, "path", "left_semi"), base, target)
     office, images, bad = office_documents(read_binaries(spark, source, "*.{doc,docx}").join(listed, "path", "left_semi"), base, target)
-    documents = last_writer(reduce(DataFrame.unionByName, [texts, office]))
+    wanted = listed.where(F.col("path").rlike(r"\.(txt|doc|docx)\z")).select(target_path(F.col("path"), base, target).alias("path"), F.col("path").alias("source"))
+    wanted = wanted.join(bad.select(F.col("path").alias("source")), "source", "left_anti")
+    documents = last_writer(texts.unionByName(office), wanted)
     if not config.skip_clean:
         documents = clean_documents(documents, pointing_rows(rows))
     return Built(documents, images, errors.unionByName(bad))
+
+
+def report(built: Built) -> DataFrame:
+    """stage, n: what failed, by stage; no row means that nothing did."""
+    return built.errors.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))

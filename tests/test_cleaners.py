@@ -94,3 +94,8 @@ def test_long_text_and_blanks(spark):
     long = "<" * 50_000 + "x>" + "：**" * 1000
     assert run(spark, "tags", [long])[0].count("`<x>`") == 1
     assert run(spark, "blanks", ["\n\na  \n\n\n\nb\r\n", ""]) == ["a\n\nb\n", ""]
+
+
+def test_length_deltas(spark):
+    row = C.length_deltas(spark.createDataFrame([("## 概述\n<A>：**", "d/t.md")], "content string, path string")).first()
+    assert (row.overview_delta, row.headings_delta, row.add_h1_delta, row.tags_delta, row.colon_stars_delta) == (-6, 0, 5, 2, 1)
