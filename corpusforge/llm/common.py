@@ -27,6 +27,19 @@ def text_of(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: Rows of an Arrow batch: whole texts are long, and a batch is held several times.
+BATCH_ROWS = 512
+
+
+def documents_of(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(id, text, more) for a Python operator, in small Arrow batches from now on."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), *more)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the folder that the cluster shares.
 
