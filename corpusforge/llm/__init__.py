@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from importlib import import_module
-from importlib.util import find_spec
+from . import chat, exact_dedup, jaccard_join, license_scan, line_dedup, media, mixing, pieces, pii, toxicity
 
-_MODULES = ["toxicity", "pii", "pieces", "mixing", "jaccard_join", "exact_dedup", "media", "chat", "license_scan", "line_dedup"]
-
-
-def _all(attribute: str) -> dict:
-    out: dict = {}
-    for name in _MODULES:
-        if find_spec(f"{__name__}.{name}"):
-            out |= getattr(import_module(f"{__name__}.{name}"), attribute)
-    return out
+_MODULES = (toxicity, pii, pieces, mixing, jaccard_join, exact_dedup, media, chat, license_scan, line_dedup)
 
 
 def queries() -> dict:
-    return _all("QUERIES")
+    """Name -> (spark, sf_dir) -> DataFrame."""
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _all("ORACLES")
+    return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
