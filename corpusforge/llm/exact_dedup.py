@@ -17,14 +17,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, sized_broadcast, table, text_of
+from .common import checkpoint, documents_of, sized_broadcast, table
 
 FINGERPRINT_BITS = 48
 
@@ -91,24 +90,25 @@ def _send(id_type: pa.DataType, owners: int):
     return run
 
 
-def _answer(group: pd.DataFrame) -> pd.DataFrame:
+def _answer(group: pa.Table) -> pa.Table:
     """An owner's bitmaps: fingerprints that two or more partitions sent."""
-    lists = [golomb_decode(b, n) for b, n in zip(group["blob"], group["n"], strict=True)]
+    lists = [golomb_decode(b, n) for b, n in zip(group["blob"].to_pylist(), group["n"].to_pylist(), strict=True)]
     values, counts = np.unique(np.concatenate(lists), return_counts=True)
     repeated = values[counts > 1]
     maps = [np.packbits(np.isin(x, repeated, assume_unique=True)).tobytes() for x in lists]
-    return pd.DataFrame({"part": group["part"], "owner": group["owner"], "n": group["n"], "bitmap": maps})
+    return pa.table({"part": group["part"], "owner": group["owner"], "n": group["n"], "bitmap": pa.array(maps, pa.binary())})
 
 
-def _mark(rows: pd.DataFrame, maps: pd.DataFrame) -> pd.DataFrame:
+def _mark(rows: pa.Table, maps: pa.Table) -> pa.Table:
     """Rows of a partition with the verdict of its bitmaps."""
-    if not len(rows):
-        return pd.DataFrame({"id": [], "sha": [], "suspect": []}).astype({"suspect": bool})
-    _, inverse, counts = np.unique(_fingerprints(list(rows["sha"])), return_inverse=True, return_counts=True)
-    maps = maps.sort_values("owner")
-    flags = [np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=n) for b, n in zip(maps["bitmap"], maps["n"], strict=True)]
-    repeated = np.concatenate(flags).astype(bool) | (counts > 1)
-    return pd.DataFrame({"id": rows["id"], "sha": [x.hex() for x in rows["sha"]], "suspect": repeated[inverse]})
+    digests = rows["sha"].to_pylist()
+    suspect = np.zeros(0, dtype=bool)
+    if digests:
+        _, inverse, counts = np.unique(_fingerprints(digests), return_inverse=True, return_counts=True)
+        maps = maps.sort_by("owner")
+        flags = [np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=n) for b, n in zip(maps["bitmap"].to_pylist(), maps["n"].to_pylist(), strict=True)]
+        suspect = (np.concatenate(flags).astype(bool) | (counts > 1))[inverse]
+    return pa.table({"id": rows["id"], "sha": pa.array([x.hex() for x in digests], pa.string()), "suspect": pa.array(suspect, pa.bool_())})
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None) -> DataFrame:
@@ -125,17 +125,17 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     * empty table: no rows. Other columns are ignored, whatever their names.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    docs = documents_of(df, id_col, text_col)
     owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     id_type = docs.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     sent_type = T.StructType([T.StructField("id", id_type), T.StructField("sha", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("owner", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("blob", T.BinaryType())])
     sent = checkpoint(docs.mapInArrow(_send(to_arrow_type(id_type), owners), sent_type))
-    maps = sent.where("owner IS NOT NULL").select("part", "owner", "n", "blob").groupBy("owner").applyInPandas(_answer, "part int, owner int, n int, bitmap binary")
+    maps = sent.where("owner IS NOT NULL").select("part", "owner", "n", "blob").groupBy("owner").applyInArrow(_answer, "part int, owner int, n int, bitmap binary")
     rows = sent.where("owner IS NULL").select("id", "sha", "part")
     marked_type = T.StructType([T.StructField("id", id_type), T.StructField("sha", T.StringType()), T.StructField("suspect", T.BooleanType())])
-    marked = checkpoint(rows.groupBy("part").cogroup(maps.groupBy("part")).applyInPandas(_mark, marked_type))
+    marked = checkpoint(rows.groupBy("part").cogroup(maps.groupBy("part")).applyInArrow(_mark, marked_type))
 
     ids = checkpoint(marked.where("suspect").select(F.col("id").alias("suspect_id")).distinct())
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

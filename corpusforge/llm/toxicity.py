@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_of
+from .common import documents_of, table
 
 OTHER, TARGET, NEGATION, REPORT, INSULT, THREAT = range(6)
 #: Words of each class, in the four languages of the corpus.
@@ -47,7 +47,10 @@ MAX_ARCS = 4000
 FIT_ROWS = 12_000
 THRESHOLD = 0.3
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:\n]+")
-_CACHE = 400_000
+_CACHE = 250_000
+
+#: What a word without a learned arc brings; -1 ends a clause.
+_BY_CLASS = {c: (c, BASE_WEIGHT.get(c, 0.0)) for c in range(-1, 6)}
 
 Arcs = dict[tuple[int, int], tuple[int, float]]
 
@@ -117,9 +120,10 @@ class Lexicon(dict):
         g = self.grammar
         found = max([g.words.get(word, 0.0), *(g.prefixes.get(word[:n], 0.0) for n in PREFIXES if len(word) > n)])
         c = self.fixed.get(word, OTHER)
-        out = (INSULT, found) if found and c not in BASE_WEIGHT else (c, BASE_WEIGHT.get(c, 0.0))
-        if c == OTHER and not found and not word[0].isalnum():
-            out = (-1, 0.0)  # ends a clause
+        if found and c not in BASE_WEIGHT:
+            out = (INSULT, found)
+        else:
+            out = _BY_CLASS[c if c != OTHER or word[0].isalnum() else -1]
         self[word] = out
         return out
 
@@ -203,7 +207,7 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_co
         # The share leaves a margin, so that the bound holds with all but certainty.
         known = known.where(F.pmod(F.xxhash64("__id", F.lit(17)), F.lit(1_000_003)) < int(1_000_003 * 0.95 * fit_rows / total))
     known = known.groupBy("__id").agg(F.max("__y").alias("__y"))
-    texts = documents.select(F.col(id_col).alias("__id"), text_of(text_col).alias("text"))
+    texts = documents_of(documents, id_col, text_col).withColumnRenamed("id", "__id")
     sample = texts.join(F.broadcast(known), "__id").groupBy("text").agg(F.max("__y").alias("toxic"))
     counts = sample.mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
@@ -237,7 +241,7 @@ def score_toxicity(df: DataFrame, grammar: Grammar, id_col: str = "doc_id", text
     Null and empty texts score 0. Ties and repeated rows: each row by itself.
     Empty table: no rows. Other columns are ignored.
     """
-    docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    docs = documents_of(df, id_col, text_col)
     kind = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("clauses", T.IntegerType())])
     return docs.mapInArrow(_scores(grammar), kind).withColumnRenamed("id", id_col)
 
@@ -250,6 +254,7 @@ def reject_toxic(df: DataFrame, grammar: Grammar, text_col: str = "text", thresh
         for b in batches:
             yield b.filter(pa.array([scorer(t or "")[0] < threshold for t in b.column(text_col).to_pylist()], pa.bool_()))
 
+    documents_of(df, text_col, text_col)  # sets the size of batches
     return df.mapInArrow(run, df.schema)
 
 
