@@ -13,8 +13,8 @@ link is verified on the words themselves.
 
 Emitting a variant for every word of a corpus would be wasteful: an edit leaves
 one half of a line as it was, so only lines that share a hashed half with
-another line (of the same place and length) emit variants. No line within the
-bound is lost by that.
+another line (of the same place and length) emit variants, and only for the words
+of their other half. No line within the bound is lost by that.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import checkpoint, mix64, prefix_sums, sized_broadcast, span_hashes, table, text_of, word_spans
+from .common import checkpoint, documents_of, mix64, prefix_sums, sized_broadcast, span_hashes, table, word_spans
 
 #: Lines of fewer words are never dropped.
 EXACT_WORDS = 3
@@ -47,14 +47,15 @@ def _word_hashes(line: bytes) -> np.ndarray:
     return span_hashes(prefix_sums(raw.astype(np.uint64) + np.uint64(1)), start, end)
 
 
-def half_keys(words: np.ndarray) -> np.ndarray:
-    """Hashes of the beginnings and endings that one edit may leave alone."""
-    n = len(words)
+def half_keys(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key): hashes of the beginnings (odd) and endings (even) that one
+    edit may leave alone, for lines of ``size`` words from ``first`` on."""
     p = prefix_sums(words)
-    halves = np.array(sorted({n // 2, (n - 1) // 2}), dtype=np.int64)
-    first = span_hashes(p, np.zeros(len(halves), dtype=np.int64), halves)
-    last = span_hashes(p, n - halves, np.full(len(halves), n, dtype=np.int64))
-    return np.concatenate([mix64(first ^ np.uint64(0x5BD1E995)), last])
+    lines, keys = [], []
+    for half in (size // 2, (size - 1) // 2):
+        lines += [np.arange(len(size))] * 2
+        keys += [span_hashes(p, first, first + half) | np.uint64(1), span_hashes(p, first + size - half, first + size) & ~np.uint64(1)]
+    return np.concatenate(lines), np.concatenate(keys)
 
 
 def variants(words: np.ndarray) -> tuple[np.ndarray, np.uint64]:
@@ -84,23 +85,33 @@ def _digest(folded: bytes) -> bytes:
 
 
 def _lines(id_type: pa.DataType, exact: int, near: int):
+    """Lines of documents with their digests and half keys, many at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                rows, numbers, digests, keys = [], [], [], []
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                rows, numbers, digests, data, sizes = [], [], [], [], []
                 for r, text in enumerate(part.column(1).to_pylist()):
-                    for number, line in enumerate(text.split("\n")):
-                        folded = fold(line)
-                        n = folded.count(" ") + 1 if folded else 0
-                        if n < exact:
+                    for number, line in enumerate(text.lower().split("\n")):
+                        words = line.split()
+                        if len(words) < exact:
                             continue
-                        data = folded.encode("utf-8", "surrogatepass")
+                        folded = " ".join(words).encode("utf-8", "surrogatepass")
                         rows.append(r)
                         numbers.append(number)
-                        digests.append(_digest(data))
-                        keys.append(half_keys(_word_hashes(data)).astype(np.int64) if n >= near else None)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "number", "line", "keys"])
+                        digests.append(_digest(folded))
+                        sizes.append(len(words))
+                        data.append(folded)
+                size = np.array(sizes, dtype=np.int64)
+                own = np.flatnonzero(size >= near)
+                words = _word_hashes(b"\n".join(data))
+                line, key = half_keys(words, (np.cumsum(size) - size)[own], size[own])
+                order = np.argsort(line, kind="stable")
+                count = np.zeros(len(size), dtype=np.int32)
+                count[own] = 4
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(key[order].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()), keys], ["id", "number", "line", "keys"])
 
     return run
 
@@ -112,22 +123,25 @@ def _variants(id_type: pa.DataType):
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                rows, numbers, digests, texts, wholes, keys = [], [], [], [], [], []
+                rows, numbers, digests, texts, wholes, keys, spots = [], [], [], [], [], [], []
                 for r, (text, wanted) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     lines = text.split("\n")
-                    for number in sorted({k for k in wanted if k < len(lines)}):
+                    for number, sides in sorted((k >> 2, k & 3) for k in set(wanted) if k >> 2 < len(lines)):
                         data = fold(lines[number]).encode("utf-8", "surrogatepass")
                         words = _word_hashes(data)
                         if not len(words):
                             continue
                         own, whole = variants(words)
+                        middle = (len(words) - 1) // 2
+                        places = np.arange(middle if sides == 1 else 0, len(words) - middle if sides == 2 else len(words))
                         rows.append(r)
                         numbers.append(number)
                         digests.append(_digest(data))
                         texts.append(data.decode("utf-8", "replace"))
                         wholes.append(int(whole.astype(np.int64)))
-                        keys.append(own.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()), pa.array(texts, pa.string()), pa.array(wholes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "number", "line", "folded", "whole", "keys"])
+                        keys.append(own[places].astype(np.int64))
+                        spots.append(places.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()), pa.array(texts, pa.string()), pa.array(wholes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(spots, pa.list_(pa.int32()))], ["id", "number", "line", "folded", "whole", "keys", "spots"])
 
     return run
 
@@ -167,7 +181,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ex
     Other columns are ignored.
     """
     carried = F.struct(*[F.col(c) for c in carry] or [F.lit(True).alias("none")])
-    docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), carried.alias("carried"))
+    docs = documents_of(df.withColumn("__carried", carried), id_col, text_col, F.col("__carried").alias("carried"))
     id_field = T.StructField("id", docs.schema["id"].dataType)
     arrow = to_arrow_type(id_field.dataType)
     kind = T.StructType([id_field, T.StructField("number", T.IntegerType()), T.StructField("line", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
@@ -175,22 +189,27 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ex
     first = checkpoint(lines.groupBy("line").agg(F.min(F.struct("id", "number")).alias("at"), F.count(F.lit(1)).alias("n"), F.any_value("keys").alias("keys")))
 
     # Lines that share a half with another distinct line.
-    keyed = first.where("keys IS NOT NULL").select("line", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = keyed.groupBy("key").count().where("count > 1").select("key")
-    near = keyed.join(shared, "key", "left_semi").select("line").distinct()
-    wanted = checkpoint(first.select("line", "at").join(near, "line", "left_semi").select(F.col("at.id").alias("want"), F.col("at.number").alias("number")).groupBy("want").agg(F.collect_list("number").alias("numbers")))
-    kind = T.StructType([id_field, T.StructField("number", T.IntegerType()), T.StructField("line", T.BinaryType()), T.StructField("folded", T.StringType()), T.StructField("whole", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    keyed = first.where("size(keys) > 0").select("line", F.explode(F.array_distinct("keys")).alias("key"))
+    shared = checkpoint(keyed.groupBy("key").count().where("count > 1").select("key"))
+    side = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, 1).otherwise(2)
+    near = checkpoint(keyed.join(sized_broadcast(shared, 16), "key", "left_semi").groupBy("line").agg(F.bit_or(side).alias("sides")))
+    asked = first.select("line", "at").join(sized_broadcast(near, 32), "line").select(F.col("at.id").alias("want"), (F.col("at.number").cast("long") * 4 + F.col("sides")).alias("k"))
+    wanted = checkpoint(asked.groupBy("want").agg(F.collect_list("k").alias("numbers")))
+    kind = T.StructType([id_field, T.StructField("number", T.IntegerType()), T.StructField("line", T.BinaryType()), T.StructField("folded", T.StringType()), T.StructField("whole", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("spots", T.ArrayType(T.IntegerType()))])
     asked = docs.join(sized_broadcast(wanted, 256), docs["id"] == F.col("want")).select("id", "text", "numbers")
-    found = asked.mapInArrow(_variants(arrow), kind).groupBy("line").agg(F.min(F.struct("id", "number")).alias("at"), F.any_value("folded").alias("folded"), F.any_value("whole").alias("whole"), F.any_value("keys").alias("keys"))
+    found = asked.mapInArrow(_variants(arrow), kind).groupBy("line").agg(F.min(F.struct("id", "number")).alias("at"), *[F.any_value(c).alias(c) for c in ("folded", "whole", "keys", "spots")])
     found = checkpoint(found)
 
     # Replace: the same list without the word at the same place.
-    each = found.select("line", "at", F.posexplode("keys").alias("place", "key"))
-    earliest = each.groupBy("key", "place").agg(F.min(F.struct("at", "line")).alias("to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    replaced = each.join(earliest, ["key", "place"]).where("to.at < at").select("line", "to")
+    # A bucket's earliest line is found by partial aggregates; buckets of one
+    # line, nearly all, are gone before anything is joined.
+    each = found.select("line", "at", F.explode(F.arrays_zip("keys", "spots")).alias("v")).select("line", "at", F.col("v.keys").alias("key"), F.col("v.spots").alias("place"))
+    placed = each.select("line", "at", F.xxhash64("key", "place").alias("key"))
+    earliest = checkpoint(placed.groupBy("key").agg(F.min(F.struct("at", "line")).alias("to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    replaced = placed.join(sized_broadcast(earliest, 64), "key").where("to.at < at").select("line", "to")
     # Insert and delete: a whole list against lists without a word.
     whole = found.select(F.col("whole").alias("key"), F.struct("at", "line").alias("own"))
-    cut = each.join(whole.select("key"), "key", "left_semi").select("key", F.struct("at", "line").alias("longer"))
+    cut = checkpoint(each.join(sized_broadcast(checkpoint(whole.select("key").distinct()), 16), "key", "left_semi").select("key", F.struct("at", "line").alias("longer")))
     longer = cut.groupBy("key").agg(F.min("longer").alias("longer"))
     shorter = whole.groupBy("key").agg(F.min("own").alias("own"))
     one_less = cut.join(shorter, "key").where("own.at < longer.at").select(F.col("longer.line").alias("line"), F.col("own").alias("to"))
@@ -205,7 +224,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ex
     later = lines.select("id", "number", "line").join(again, "line").where(~(F.col("id").eqNullSafe(F.col("at.id")) & (F.col("number") == F.col("at.number")))).select("id", "number")
     gone = later.union(first.join(dropped, "line", "left_semi").select("at.id", "at.number"))
     drops = checkpoint(gone.groupBy(F.col("id").alias("of")).agg(F.collect_set("number").alias("numbers")))
-    out = docs.join(sized_broadcast(drops, 256), docs["id"] == F.col("of"), "left").select("id", "text", "numbers", "carried")
+    # Most documents have drops, so their texts are shuffled once here at any size.
+    out = docs.join(drops, docs["id"] == F.col("of"), "left").select("id", "text", "numbers", "carried")
     kind = T.StructType([id_field, T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("carried", docs.schema["carried"].dataType)])
     return out.mapInArrow(_rebuild, kind).withColumnRenamed("id", id_col)
 
