@@ -6,12 +6,14 @@
    by label, each tree is a prefix trie. Matching starts from the full label and
    shortens the prefix until the recall that all trees together reach at the
    threshold is at least the target; that depth is the shallowest level used.
-3. A trie node with few texts yields all its pairs. In a larger one every text
-   is compared with the trie node's leader (which differs from tree to tree),
-   and the search goes on in its longer prefixes. So a group of copies of any
-   size yields a number of candidates in proportion to its size.
-4. Candidates are verified on their whole shingle sets. Links between nodes that
-   hold are closed to classes by alternating star contraction.
+3. Every trie node of that level yields all its pairs. Those of a small one are
+   made one by one; a larger one (a crowd) is dealt into blocks, and each pair of
+   blocks is one task's work: all intersections at once, as a matrix product. A
+   pair that meets in several crowds counts in the first of them only.
+4. Candidates are verified on their whole shingle sets. A pair of blocks hands on
+   how many links each node has there and a spanning forest of them, so that a
+   crowd's links are never moved. Links are closed to classes by alternating star
+   contraction.
 
 Nothing is gathered on the driver but counts.
 """
@@ -33,10 +35,12 @@ WORDS = 5
 SIMILARITY = 0.8
 TREES, DEPTH = 16, 8
 TARGET_RECALL = 0.99
-#: Trie nodes of at most so many texts yield all their pairs.
+#: Pairs of trie nodes of at most so many texts are made one by one.
 SMALL = 16
-#: Leaders differ among so many groups of trees.
-LEADERS = 4
+#: Larger ones are dealt into blocks of about so many texts and shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Shingles that a matrix of a block holds at a time.
+COLUMNS = 2048
 _SEED = 20231
 
 
@@ -85,18 +89,16 @@ def _set_hash(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _labels(sig: np.ndarray, depths: list[int]) -> np.ndarray:
-    """Hashed prefixes, depth by depth, one for each tree."""
+def _labels(sig: np.ndarray, depth: int) -> np.ndarray:
+    """Hashed prefixes of a depth, one for each tree."""
     trees = sig.reshape(TREES, DEPTH).astype(np.uint64)
     state = mix64(np.arange(1, TREES + 1, dtype=np.uint64))
-    by_depth = {}
-    for k in range(DEPTH):
+    for k in range(depth):
         state = mix64(state * np.uint64(31) + trees[:, k] + np.uint64(1))
-        by_depth[k + 1] = state
-    return np.concatenate([by_depth[k] for k in depths]).astype(np.int64)
+    return state.astype(np.int64)
 
 
-def _sign(words: int, depths: list[int]):
+def _sign(words: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes, sizes, labels = [], [], []
@@ -104,7 +106,7 @@ def _sign(words: int, depths: list[int]):
                 h = shingles(text, words)
                 nodes.append(_set_hash(h) if len(h) else None)
                 sizes.append(len(h))
-                labels.append(_labels(signature(h), depths) if len(h) else None)
+                labels.append(_labels(signature(h), depth) if len(h) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(labels, pa.list_(pa.int64()))], ["id", "node", "size", "labels"])
 
     return run
@@ -140,26 +142,101 @@ def _verify(similarity: float):
     return run
 
 
-def _candidates(nodes: DataFrame, levels: int) -> DataFrame:
-    """Distinct pairs (a < b) of nodes from the forest, shallowest level first."""
-    per = [F.slice("labels", 1 + k * TREES, TREES).alias(f"k{k}") for k in range(levels)]
-    rows = nodes.select("node", *per).select("node", F.posexplode(F.arrays_zip(*[f"k{k}" for k in range(levels)])).alias("tree", "k"))
-    rows = rows.select("node", (F.col("tree") % LEADERS).alias("turn"), *[F.col(f"k.k{k}").alias(f"k{k}") for k in range(levels)])
-    found = None
-    for k in range(levels):
-        key = f"k{k}"
-        best = F.min(F.struct(F.xxhash64("node", "turn").alias("order"), F.col("node").alias("leader")))
-        groups = checkpoint(rows.groupBy(key).agg(best["leader"].alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-        # Trie nodes of one text, nearly all, end here; what is left is small.
-        rows = checkpoint(rows.join(sized_broadcast(groups, 48), key))
-        star = rows.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        few = rows.where(f"n BETWEEN 3 AND {SMALL}").groupBy(key).agg(F.array_sort(F.collect_set("node")).alias("m"))
-        pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice(F.col("m"), i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-        small = few.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-        here = star.union(small)
-        found = here if found is None else found.union(here)
-        rows = rows.where(f"n > {SMALL}").drop("leader", "n")
-    return found.distinct()
+def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of x shares with each of y."""
+
+    def coded(sets: list[np.ndarray], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(h) for h in sets])
+        code = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        held = np.flatnonzero(known[code] == flat)
+        held = held[np.argsort(code[held], kind="stable")]
+        return row[held], code[held]
+
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    known = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+    if not len(known):
+        return out
+    sides = [coded(x, known), coded(y, known)]
+    for at in range(0, len(known), COLUMNS):
+        held = []
+        for (row, code), sets in zip(sides, (x, y), strict=True):
+            low, high = np.searchsorted(code, [at, at + COLUMNS])
+            part = np.zeros((len(sets), min(COLUMNS, len(known) - at)), dtype=np.float32)
+            part[row[low:high], code[low:high] - at] = 1
+            held.append(part)
+        out += held[0] @ held[1].T
+    return out
+
+
+def _forest(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of a bipartite graph a row of its component, or -1."""
+    back = np.ascontiguousarray(keep.T)
+    rows, columns = np.full(keep.shape[0], -1), np.full(keep.shape[1], -1)
+    for start in np.flatnonzero(keep.any(axis=1)).tolist():
+        if rows[start] >= 0:
+            continue
+        rows[start] = start
+        front = np.array([start])
+        while len(front):
+            side = np.flatnonzero(keep[front].any(axis=0) & (columns < 0))
+            columns[side] = start
+            front = np.flatnonzero(back[side].any(axis=0) & (rows < 0))
+            rows[front] = start
+    return rows, columns
+
+
+def _meet(similarity: float, whole: bool):
+    """Verifies all pairs of two blocks of a crowd, or of one with itself.
+
+    Yields the pairs if ``whole``, else (node, other, n): a node's links here
+    and a node of its component.
+    """
+
+    def run(cell: pa.Table) -> pa.Table:
+        tree, i, j = (cell.column(c)[0].as_py() for c in ("tree", "i", "j"))
+        own = cell.column("own").to_numpy()
+        node, sets = cell.column("node").to_pylist(), [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in cell.column("hashes")]
+        crowds = np.array(cell.column("crowds").to_pylist(), dtype=np.int64).reshape(len(own), TREES)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        keep = np.zeros((len(left), len(right)), dtype=bool)
+        if len(left) and len(right):
+            both = intersections([sets[k] for k in left], [sets[k] for k in right]).astype(np.float64)
+            size = np.array([len(h) for h in sets], dtype=np.float64)
+            jaccard = both / (size[left][:, None] + size[right][None, :] - both)
+            keep = jaccard >= similarity
+            for k in range(tree):
+                p, q = crowds[left, k][:, None], crowds[right, k][None, :]
+                keep &= (p != q) | (p == 0)
+            if i == j:
+                keep = np.triu(keep, 1)
+        if whole:
+            r, c = np.nonzero(keep)
+            a, b = [node[k] for k in left[r]], [node[k] for k in right[c]]
+            found = [(min(p), max(p)) for p in zip(a, b, strict=True)]
+            return pa.table({"a": pa.array([p for p, _ in found], pa.binary()), "b": pa.array([q for _, q in found], pa.binary()), "jaccard": pa.array(jaccard[r, c] if len(r) else [], pa.float64())})
+        if i == j:
+            keep |= keep.T
+        rows, columns = _forest(keep)
+        ends = [(left, rows, keep.sum(axis=1))] + ([] if i == j else [(right, columns, keep.sum(axis=0))])
+        out = [(node[at], node[left[root]], int(n)) for side, roots, many in ends for at, root, n in zip(side.tolist(), roots.tolist(), many.tolist(), strict=True) if n]
+        return pa.table({"node": pa.array([x for x, _, _ in out], pa.binary()), "other": pa.array([x for _, x, _ in out], pa.binary()), "n": pa.array([x for _, _, x in out], pa.int64())})
+
+    return run
+
+
+def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(distinct pairs (a < b) of small trie nodes, rows of crowds).
+
+    Rows of crowds are key, node, tree and the number of blocks of the crowd.
+    """
+    rows = nodes.select("node", "size", F.posexplode("labels").alias("tree", "key"))
+    groups = checkpoint(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).where("n > 1"))
+    # Trie nodes of one text, nearly all, end here; what is left is small.
+    rows = checkpoint(rows.join(sized_broadcast(groups, 48), "key"))
+    few = rows.where(f"n <= {SMALL}").groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("m"))
+    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice(F.col("m"), i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    return few.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct(), rows.where(f"n > {SMALL}").select("key", "node", "tree", blocks.alias("blocks"))
 
 
 def connected_components(links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -201,31 +278,45 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``members`` has one row per input row: id, node, class_id, copies, n_links.
     ``class_id`` is the least id of the class, ``copies`` the number of rows with
     the same shingle set, ``n_links`` the number of other nodes that the node is
-    linked to. ``links`` holds the verified pairs: a, b, jaccard (of nodes).
+    linked to. ``links`` holds the verified pairs: a, b, jaccard (of nodes); those
+    of crowds are worked out only when it is read.
 
     Texts without words (null and empty ones) have no node, link to nothing and
     are each their own class. Rows that repeat an id and text are copies. Rows
     with a null id take part; ``class_id`` is null only if all ids of the class
     are. Empty table: no rows. Other columns are ignored.
     """
-    shallow = shortest_prefix(similarity, recall)
-    depths = list(range(shallow, DEPTH + 1))
+    depth = shortest_prefix(similarity, recall)
     docs = documents_of(df, id_col, text_col)
     kind = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("node", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("labels", T.ArrayType(T.LongType()))])
-    signed = checkpoint(docs.mapInArrow(_sign(words, depths), kind))
+    signed = checkpoint(docs.mapInArrow(_sign(words, depth), kind))
     full = signed.where("node IS NOT NULL")
-    nodes = checkpoint(full.groupBy("node").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.any_value("labels").alias("labels")))
+    nodes = checkpoint(full.groupBy("node").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.any_value("size").alias("size"), F.any_value("labels").alias("labels")))
 
-    pairs = checkpoint(_candidates(nodes.select("node", "labels"), len(depths)))
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    pairs, crowds = map(checkpoint, _candidates(nodes.select("node", "size", "labels")))
+    # A node's crowds by tree; 0 where its trie node is small.
+    in_crowds = crowds.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("of"))
+    in_crowds = checkpoint(in_crowds.select("node", F.array(*[F.coalesce(F.try_element_at("of", F.lit(k)), F.lit(0)) for k in range(TREES)]).alias("crowds")))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(in_crowds.select("node")).distinct()
     wanted = checkpoint(nodes.select("node", F.col("least_id").alias("want")).join(ends, "node"))
     texts = docs.join(sized_broadcast(wanted), docs["id"].eqNullSafe(F.col("want"))).select("node", "text")
-    sets = checkpoint(texts.mapInArrow(_sets(words), "node binary, hashes binary").dropDuplicates(["node"]))
-    left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    links = checkpoint(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a binary, b binary, jaccard double"))
-
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    roots = connected_components(links.select("a", "b"))
+    sets = texts.mapInArrow(_sets(words), "node binary, hashes binary").dropDuplicates(["node"])
+    sets = checkpoint(sets.join(sized_broadcast(in_crowds, 192), "node", "left"))
+    left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"), F.col("crowds").alias("p")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"), F.col("crowds").alias("q"))
+    # A pair that meets in a crowd as well is left to the crowd.
+    crowded = F.exists(F.arrays_zip("p", "q"), lambda z: (z["p"] == z["q"]) & (z["p"] != 0))
+    apart = pairs.join(right, "b").join(left, "a").where(~F.coalesce(crowded, F.lit(False)))
+    few = checkpoint(apart.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a binary, b binary, jaccard double"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cells = crowds.join(sets.where("crowds IS NOT NULL"), "node").select("key", "tree", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"), "node", "hashes", "crowds")
+    cells = cells.select("key", "tree", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "hashes", "crowds").groupBy("key", "i", "j")
+    met = cells.applyInArrow(_meet(similarity, False), "node binary, other binary, n long")
+    links = few.union(cells.applyInArrow(_meet(similarity, True), "a binary, b binary, jaccard double"))
+
+    one = F.lit(1).cast("long")
+    ties = checkpoint(met.union(few.select("a", "b", one)).union(few.select("b", "b", one)))
+    degree = ties.groupBy("node").agg(F.sum("n").alias("n_links"))
+    roots = connected_components(ties.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     linked = checkpoint(nodes.select("node", "least_id").join(roots, "node"))
     least = linked.groupBy("root").agg(F.min("least_id").alias("class_id"))
     classes = linked.join(least, "root").join(degree, "node").select("node", "class_id", "n_links")

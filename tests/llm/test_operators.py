@@ -266,6 +266,67 @@ def test_jaccard_classes_against_all_pairs(spark):
         assert abs(r.jaccard - len(a & b) / len(a | b)) < 1e-9 and r.jaccard >= 0.8
 
 
+def test_intersections_and_forest_against_sets(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 7)
+    rng = random.Random(9)
+    x, y = ([np.array(sorted(rng.sample(range(60), rng.randint(1, 30))), dtype=np.uint64) for _ in range(n)] for n in (13, 17))
+    assert jaccard_join.intersections(x, y).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
+    keep = np.array([[rng.random() < 0.06 for _ in y] for _ in x])
+    rows, columns = jaccard_join._forest(keep)
+    assert all(rows[i] == columns[j] >= 0 for i, j in zip(*np.nonzero(keep), strict=True))
+    assert ((rows < 0) == ~keep.any(axis=1)).all() and ((columns < 0) == ~keep.any(axis=0)).all()
+
+
+@pytest.mark.parametrize("block", [1024, 200])
+def test_crowd_of_copies_unlike_each_other(spark, monkeypatch, block):
+    """1,000 copies linked to one base and hardly to each other, and a dense crowd."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block, raising=False)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(204)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1001):
+        own = list(base)
+        for k in range(3):  # 15 of 200 shingles, so 0.86 to the base
+            own[rng.randrange(5, 60) + 65 * k] = f"x{i}.{k}"
+        rows.append((i, " ".join(own)))
+    other = [f"v{i}" for i in range(120)]
+    for i in range(1001, 1061):
+        own = list(other)
+        own[rng.randrange(5, 115)] = f"y{i}"
+        rows.append((i, " ".join(own)))
+    sets = {i: _grams(t) for i, t in rows}
+    want = {(i, j) for (i, a), (j, b) in itertools.combinations(sets.items(), 2) if len(a & b) >= 0.8 * len(a | b)}
+    assert sum(j <= 1000 for i, j in want if not i) == 1000
+    members, links = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = members.collect()
+    node = {bytes(r.node): r.doc_id for r in got}
+    found = [tuple(sorted((node[bytes(r.a)], node[bytes(r.b)]))) for r in links.collect()]
+    assert len(found) == len(set(found)) and set(found) <= want
+    assert len(found) >= 0.99 * len(want) and sum(not i for i, _ in found) >= 990
+    degree = defaultdict(int)
+    for pair in found:
+        for i in pair:
+            degree[i] += 1
+    assert {r.doc_id: r.n_links for r in got} == {r.doc_id: degree[r.doc_id] for r in got}
+    classes = _classes_of(found, sets)
+    assert {r.doc_id: r.class_id for r in got} == classes
+    assert sum(c == 0 for c in classes.values()) >= 991 and sum(c == 1001 for c in classes.values()) == 60
+
+
+def _classes_of(pairs, nodes):
+    root = {i: i for i in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        x, y = find(i), find(j)
+        root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in nodes}
+
+
 def test_components_on_random_graphs(spark):
     rng = random.Random(8)
     edges = [(f"{rng.randrange(120):03d}", f"{rng.randrange(120):03d}") for _ in range(90)] + [(f"p{i:02d}", f"p{i + 1:02d}") for i in range(40)] + [("hub", f"s{i}") for i in range(50)]
