@@ -31,8 +31,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import checkpoint, documents_of, mix64, prefix_sums, sized_broadcast, span_hashes, table, word_spans
 
-#: Lines of fewer words are never dropped.
-EXACT_WORDS = 3
+#: Lines of fewer words are never dropped: only lines without words, so that
+#: layout stays.
+EXACT_WORDS = 1
 #: Lines of at least so many words are also dropped as near copies.
 NEAR_WORDS = 10
 
@@ -173,7 +174,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ex
 
     A line is dropped if an earlier line (whether itself dropped or not) is its
     copy, or within one word edit of it if both have ``near_words`` words.
-    Lines are compared in lower case with single blanks.
+    Lines are compared in lower case with single blanks. Lines of fewer than
+    ``exact_words`` words, by default those of blanks only, stay.
 
     Null text: the empty text, one line, kept. Rows that repeat an id count as
     one document: what is dropped of it goes by line number in each of them.

@@ -470,6 +470,12 @@ def test_lines_against_all_pairs(spark):
     assert len(drop) > 50
 
 
+def test_short_lines_go_as_exact_copies(spark):
+    rows = [(1, "Ietzte.\n\nein wort\n这是没有空格的一整行文字"), (2, "ietzte.\n\n  EIN  wort\nein ort"), (3, "这是没有空格的一整行文字\n \nietzte")]
+    out = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: (rows[0][1], 0), 2: ("\nein ort", 2), 3: (" \nietzte", 1)}
+
+
 def test_one_edit():
     words = [list(p) for n in range(5) for p in itertools.product("ab", repeat=n)]
 
