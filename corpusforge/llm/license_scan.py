@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import checkpoint, sized_broadcast, table, text_of
 
 #: Licence texts and notices, as published.
 LICENSES = {
@@ -83,18 +83,28 @@ def canonical(c: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """digest, license_id of the fixed texts; a few dozen rows."""
-    rows = [(k, v) for k, v in LICENSES.items()] + [(v, k) for k, v in NOTICES.items()]
-    known = spark.createDataFrame(rows, "license_id string, text string")
-    return known.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+def fixed_licenses(spark: SparkSession) -> DataFrame:
+    """license_id, text, line of the fixed texts and notices; a few dozen rows."""
+    rows = [(k, v, False) for k, v in LICENSES.items()] + [(v, k, True) for k, v in NOTICES.items()]
+    return spark.createDataFrame(rows, "license_id string, text string, line boolean")
 
 
-def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def known_digests(known: DataFrame) -> DataFrame:
+    """digest, license_id of known texts; those without words are left out."""
+    known = known.select("license_id", canonical(text_of("text")).alias("form")).where("form <> ''")
+    return known.select(F.sha2("form", 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+
+
+def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
     """One row per input row: id, canonical_sha256, license_id, notices.
 
     ``license_id`` names the licence that the whole text is, or is null.
     ``notices`` holds the sorted distinct licences that a single line names.
+    ``known`` is the table of what is looked up: license_id, text and line, which
+    tells that the text is a notice of one line; by default ``fixed_licenses``.
+    A licence may have any number of texts, such as one with its title. Of two
+    licences with one canonical text the least id is named. Notices (not whole
+    texts) are gathered on the driver.
 
     Null text: the empty text, no licence. A text whose lines are all copyright
     lines counts as empty. Ties and repeated rows: each row by itself. Empty
@@ -102,22 +112,22 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    known = F.broadcast(known_digests(spark))
     whole = docs.select("id", "text", F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    whole = whole.join(known, "digest", "left")
+    if known is None:
+        known = fixed_licenses(spark)
+        whole = whole.join(F.broadcast(known_digests(known)), "digest", "left")
+    else:
+        whole = whole.join(sized_broadcast(checkpoint(known_digests(known)), 128), "digest", "left")
+    lines = known.where("line")
     # A line is hashed only if it is no longer than the longest notice.
-    longest = 4 * max(map(len, NOTICES))
+    longest = 4 * (lines.agg(F.max(F.length("text"))).first()[0] or 0)
     short = F.filter(F.split("text", "\n"), lambda s: F.length(s).between(8, longest) & F.lower(s).rlike("licen[sc]|public domain"))
-    names = F.create_map(*[x for d in _notice_digests(spark) for x in (F.lit(d[0]), F.lit(d[1]))])
+    found = [tuple(r) for r in known_digests(lines).collect()]
+    names = F.create_map(*[F.lit(x) for d in found for x in d]) if found else F.create_map().cast("map<string,string>")
     notices = F.array_sort(F.array_distinct(F.array_compact(F.transform(short, lambda s: F.try_element_at(names, F.sha2(canonical(s), 256))))))
     return whole.select(F.col("id").alias(id_col), F.col("digest").alias("canonical_sha256"), "license_id", notices.alias("notices"))
 
 
-def _notice_digests(spark: SparkSession) -> list[tuple[str, str]]:
-    rows = spark.createDataFrame(list(NOTICES.items()), "text string, license_id string")
-    return [tuple(r) for r in rows.select(F.sha2(canonical(F.col("text")), 256), "license_id").distinct().collect()]
-
-
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "canonical_sha256", F.coalesce("license_id", F.lit("")).alias("license_id"), F.array_join("notices", ",").alias("notices"))

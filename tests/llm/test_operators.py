@@ -14,7 +14,7 @@ from conftest import SF, rows_of
 from pyspark.sql import functions as F
 
 from corpusforge import llm
-from corpusforge.llm import chat, exact_dedup, jaccard_join, line_dedup, media, mixing, pieces, pii, toxicity
+from corpusforge.llm import chat, exact_dedup, jaccard_join, license_scan, line_dedup, media, mixing, pieces, pii, toxicity
 
 # --- against SQL -------------------------------------------------------------------
 
@@ -489,6 +489,21 @@ def test_one_edit():
     assert all(line_dedup.within_one_edit(a, b) == (distance(a, b) <= 1) for a in words for b in words)
 
 
+# --- licences ---------------------------------------------------------------------------
+
+
+def test_licenses_of_a_given_table(spark):
+    mit = license_scan.LICENSES["MIT"]
+    more = [("MIT", "MIT License\n\n" + mit, False), ("X-1", "Do as you like,\nbut keep this text.", False), ("X-1", "Under the X licence, version 1.", True), ("none", "", False)]
+    known = license_scan.fixed_licenses(spark).union(spark.createDataFrame(more, "license_id string, text string, line boolean"))
+    rows = [(1, f"MIT License\n\nCopyright (c) 2020 A. B.\n\n{mit}"), (2, "do as you like but KEEP this text"), (3, "some words\nUnder the X License version 1\nmore"), (4, mit), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: (r.license_id, r.notices) for r in license_scan.license_scan(docs, known=known).collect()}
+    assert out == {1: ("MIT", []), 2: ("X-1", []), 3: (None, ["X-1"]), 4: ("MIT", []), 5: (None, [])}
+    whole = known.where("NOT line")
+    assert [r.license_id for r in license_scan.license_scan(docs, known=whole).orderBy("doc_id").collect()] == ["MIT", "X-1", None, "MIT", None]
+
+
 # --- chat --------------------------------------------------------------------------------
 
 
