@@ -2,10 +2,10 @@
 
 1. Texts with one set of shingles are one class of copies, found by one
    aggregation; all later steps see one representative ("node") of a class.
-2. A node's MinHash signature is cut into TREES labels of DEPTH values. Sorted
-   by label, each tree is a prefix trie. Matching starts from the full label and
-   shortens the prefix until the recall that all trees together reach at the
-   threshold is at least the target; that depth is the shallowest level used.
+2. A node's MinHash signature is cut into TREES labels of DEPTH values. From the
+   full label the prefix is shortened until the recall that all trees together
+   reach at the threshold, by formula, is at least the target. Labels are hashed
+   at that depth and grouped; no label is sorted and nothing is measured on data.
 3. Every trie node of that level yields all its pairs. Those of a small one are
    made one by one; a larger one (a crowd) is dealt into blocks, and each pair of
    blocks is one task's work: all intersections at once, as a matrix product. A
