@@ -7,10 +7,14 @@ import tempfile
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast only if its counted rows times its assumed row
-#: width stay below this many bytes; beyond it the join shuffles.
+#: A side of a join is broadcast only if its measured size stays below this many
+#: bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
+#: A key is heavy if it holds at least this share of all rows, so there are at
+#: most so many heavy keys.
+HEAVY_KEYS = 4096
 
 _U = np.uint64
 #: Odd multiplier of the polynomial hash and its inverse modulo 2**64.
@@ -22,24 +26,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: whole texts are long, and a batch is held several times.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets small Arrow batches for a session; queries do this, operators never.
+
+    Batches are cut by a setting of the session alone, so whoever owns the run
+    sets it. Results do not depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_of(name: str) -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-#: Rows of an Arrow batch: whole texts are long, and a batch is held several times.
-BATCH_ROWS = 512
-
-
 def documents_of(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
-    """(id, text, more) for a Python operator, in small Arrow batches from now on."""
-    conf = df.sparkSession.conf
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """(id, text, more) for a Python operator."""
     return df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), *more)
 
 
+def row_hash(name: str = "text") -> Column:
+    """With the id this tells rows apart: rows equal in both have one text."""
+    return F.xxhash64(text_of(name))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the folder that the cluster shares.
 
@@ -53,12 +69,49 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized_broadcast(small: DataFrame, row_bytes: int = 48) -> DataFrame:
-    """``small`` with a broadcast hint if its counted size allows one.
+def _width(of: Column, kind: T.DataType) -> Column | int:
+    """Bytes of a value: a number for fixed widths, else a measure."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(of), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.StructType):
+        return F.greatest(F.size(of), F.lit(0)) * 8 + 16
+    if isinstance(kind, T.StructType):
+        parts = [_width(of[f.name], f.dataType) for f in kind.fields]
+        return sum(parts[1:], parts[0]) + 8
+    if isinstance(kind, T.ArrayType | T.MapType):
+        return F.coalesce(F.octet_length(F.to_json(of)), F.lit(0)) + 16
+    return 16
+
+
+def fits(small: DataFrame) -> bool:
+    """True if the rows take at most BROADCAST_BYTES, by a measuring pass.
+
+    ``small`` should be checkpointed, so that the pass is cheap.
+    """
+    widths = [_width(F.col(f.name), f.dataType) for f in small.schema.fields]
+    row = small.agg(F.sum(sum(widths[1:], widths[0]) + F.lit(16)).alias("bytes")).first()
+    return (row["bytes"] or 0) <= BROADCAST_BYTES
+
+
+def sized_broadcast(small: DataFrame) -> DataFrame:
+    """``small`` with a broadcast hint if its measured size allows one."""
+    return F.broadcast(small) if fits(small) else small
+
+
+def join_heavy(big: DataFrame, small: DataFrame, key: str, n: str) -> DataFrame:
+    """``big`` joined to ``small`` (one row per key) by key, hot keys apart.
 
-    ``small`` should be checkpointed, so that counting it is cheap.
+    ``n`` is a column of ``small`` with the rows of ``big`` that hold its key.
+    Where ``small`` is too large to be broadcast, the rows of heavy keys, at
+    most HEAVY_KEYS of them, are broadcast and only the rest is shuffled.
     """
-    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
+    if fits(small):
+        return big.join(F.broadcast(small), key)
+    total = small.agg(F.sum(n)).first()[0] or 0
+    heavy = F.col(n) * HEAVY_KEYS >= total
+    hot = F.broadcast(small.where(heavy))
+    cold = big.join(F.broadcast(small.where(heavy).select(key)), key, "left_anti").join(small.where(~heavy), key)
+    return big.join(hot, key).unionByName(cold)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, documents_of, sized_broadcast, table
+from .common import checkpoint, documents_of, join_heavy, sized_broadcast, small_batches, table
 
 FINGERPRINT_BITS = 48
 
@@ -118,8 +118,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     the row with the largest id stays.
 
     * null text: the empty text; all empty texts are one group.
-    * ties: rows that repeat an id and a text are each counted in group_size,
-      and each is marked as its id is (``kept`` if it is the largest).
+    * ties: rows that repeat an id and a text are each counted in group_size;
+      of those with the largest id one is kept, the first as they were read.
     * null id: the row takes part; it stays only if no row of its group has an
       id, and ``keep_id`` is then null.
     * empty table: no rows. Other columns are ignored, whatever their names.
@@ -142,12 +142,18 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     folded = F.translate("text", upper, upper.lower())
     texts = docs.join(sized_broadcast(ids), docs["id"].eqNullSafe(F.col("suspect_id")), "left_semi").select("id", folded.alias("folded"))
     groups = texts.groupBy("folded").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).select(F.sha2("folded", 256).alias("sha"), "keep_id", "group_size")
-    twins = marked.where("suspect").select("id", "sha").join(groups, "sha").select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), "sha")
+    # A text of very many copies is met by a broadcast of the heavy groups.
+    numbered = checkpoint(marked.where("suspect").select("id", "sha", F.monotonically_increasing_id().alias("at")))
+    twins = join_heavy(numbered, checkpoint(groups), "sha", "group_size").withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
+    # One row of a group stays, so repeats of the largest id do not.
+    tied = twins.where("kept").groupBy("sha").agg(F.min("at").alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "stays")
+    twins = twins.join(sized_broadcast(checkpoint(tied)), "sha", "left").select("id", "keep_id", "group_size", (F.col("kept") & (F.col("at") == F.coalesce("stays", "at"))).alias("kept"), "sha")
     single = marked.where("NOT suspect").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     return twins.unionByName(single).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -2,15 +2,20 @@
 
 1. Texts with one set of shingles are one class of copies, found by one
    aggregation; all later steps see one representative ("node") of a class.
-2. A node's MinHash signature is cut into TREES labels of DEPTH values. From the
-   full label the prefix is shortened until the recall that all trees together
-   reach at the threshold, by formula, is at least the target. Labels are hashed
-   at that depth and grouped; no label is sorted and nothing is measured on data.
-3. Every trie node of that level yields all its pairs. Those of a small one are
+2. A node's MinHash signature gives TREES labels of DEPTH bytes, one 64-bit
+   number each. In number order the labels of a tree are its sorted trie, and a
+   shift to the right is the prefix that names a trie node; equal prefixes are
+   grouped, which needs no global sort.
+3. Prefixes are matched from the full label on and shortened until the recall
+   is reached. It is measured: a pair of similarity s is found at a depth with a
+   known probability p(s), so the links found there stand for the sum of 1 / p(s)
+   links in all. ``shortest_prefix`` bounds the search: at that depth even pairs
+   at the threshold are found with the target recall.
+4. Every trie node of a depth yields all its pairs. Those of a small one are
    made one by one; a larger one (a crowd) is dealt into blocks, and each pair of
    blocks is one task's work: all intersections at once, as a matrix product. A
    pair that meets in several crowds counts in the first of them only.
-4. Candidates are verified on their whole shingle sets. A pair of blocks hands on
+5. Candidates are verified on their whole shingle sets. A pair of blocks hands on
    how many links each node has there and a spanning forest of them, so that a
    crowd's links are never moved. Links are closed to classes by alternating star
    contraction.
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, documents_of, inverse_powers, mix64, prefix_sums, sized_broadcast, table, word_spans
+from .common import checkpoint, documents_of, inverse_powers, join_heavy, mix64, prefix_sums, row_hash, sized_broadcast, small_batches, table, word_spans
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -42,6 +47,8 @@ BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 #: Shingles that a matrix of a block holds at a time.
 COLUMNS = 2048
 _SEED = 20231
+#: Bits of a label for each step down a trie.
+STEP = 8
 
 
 def shortest_prefix(similarity: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -89,25 +96,32 @@ def _set_hash(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _labels(sig: np.ndarray, depth: int) -> np.ndarray:
-    """Hashed prefixes of a depth, one for each tree."""
-    trees = sig.reshape(TREES, DEPTH).astype(np.uint64)
-    state = mix64(np.arange(1, TREES + 1, dtype=np.uint64))
-    for k in range(depth):
-        state = mix64(state * np.uint64(31) + trees[:, k] + np.uint64(1))
-    return state.astype(np.int64)
+def labels(sig: np.ndarray) -> np.ndarray:
+    """A label for each tree: the low bytes of its DEPTH values, first one on top."""
+    trees = sig.reshape(TREES, DEPTH).astype(np.uint64) & np.uint64((1 << STEP) - 1)
+    shifts = np.arange(DEPTH - 1, -1, -1, dtype=np.uint64) * np.uint64(STEP)
+    return (trees << shifts).sum(axis=1, dtype=np.uint64).astype(np.int64)
 
 
-def _sign(words: int, depth: int):
+def chance(similarity, depth: int):
+    """The probability that a pair shares a prefix of ``depth`` in some tree.
+
+    Takes numbers, arrays and columns.
+    """
+    step = similarity + (1 - similarity) / 2**STEP
+    return 1 - (1 - step**depth) ** TREES
+
+
+def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, labels = [], [], []
-            for text in b.column(1).to_pylist():
+            nodes, sizes, own = [], [], []
+            for text in b.column(2).to_pylist():
                 h = shingles(text, words)
                 nodes.append(_set_hash(h) if len(h) else None)
                 sizes.append(len(h))
-                labels.append(_labels(signature(h), depth) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(labels, pa.list_(pa.int64()))], ["id", "node", "size", "labels"])
+                own.append(labels(signature(h)) if len(h) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(own, pa.list_(pa.int64()))], ["id", "row", "node", "size", "labels"])
 
     return run
 
@@ -185,11 +199,11 @@ def _forest(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, columns
 
 
-def _meet(similarity: float, whole: bool):
+def _meet(similarity: float, depth: int, whole: bool):
     """Verifies all pairs of two blocks of a crowd, or of one with itself.
 
-    Yields the pairs if ``whole``, else (node, other, n): a node's links here
-    and a node of its component.
+    Yields the pairs if ``whole``, else (node, other, n, w): a node's links here,
+    a node of its component, and how many links those found stand for.
     """
 
     def run(cell: pa.Table) -> pa.Table:
@@ -217,116 +231,137 @@ def _meet(similarity: float, whole: bool):
         if i == j:
             keep |= keep.T
         rows, columns = _forest(keep)
-        ends = [(left, rows, keep.sum(axis=1))] + ([] if i == j else [(right, columns, keep.sum(axis=0))])
-        out = [(node[at], node[left[root]], int(n)) for side, roots, many in ends for at, root, n in zip(side.tolist(), roots.tolist(), many.tolist(), strict=True) if n]
-        return pa.table({"node": pa.array([x for x, _, _ in out], pa.binary()), "other": pa.array([x for _, x, _ in out], pa.binary()), "n": pa.array([x for _, _, x in out], pa.int64())})
+        stand = np.where(keep, 1 / chance(jaccard, depth), 0.0) if keep.any() else np.zeros(keep.shape)
+        if i == j:
+            stand = np.maximum(stand, stand.T)
+        ends = [(left, rows, keep.sum(axis=1), stand.sum(axis=1))] + ([] if i == j else [(right, columns, keep.sum(axis=0), stand.sum(axis=0))])
+        out = [(node[at], node[left[root]], int(n), w) for side, roots, many, sums in ends for at, root, n, w in zip(side.tolist(), roots.tolist(), many.tolist(), sums.tolist(), strict=True) if n]
+        kinds = {"node": pa.binary(), "other": pa.binary(), "n": pa.int64(), "w": pa.float64()}
+        return pa.table({name: pa.array([row[k] for row in out], kind) for k, (name, kind) in enumerate(kinds.items())})
 
     return run
 
 
-def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(distinct pairs (a < b) of small trie nodes, rows of crowds).
+def _candidates(nodes: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(distinct pairs (a < b) of small trie nodes, rows of crowds) at a depth.
 
     Rows of crowds are key, node, tree and the number of blocks of the crowd.
     """
-    rows = nodes.select("node", "size", F.posexplode("labels").alias("tree", "key"))
+    prefix = F.shiftrightunsigned("label", STEP * (DEPTH - depth))
+    rows = nodes.select("node", "size", F.posexplode("labels").alias("tree", "label")).select("node", "size", "tree", F.xxhash64("tree", prefix).alias("key"))
     groups = checkpoint(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).where("n > 1"))
     # Trie nodes of one text, nearly all, end here; what is left is small.
-    rows = checkpoint(rows.join(sized_broadcast(groups, 48), "key"))
+    rows = checkpoint(join_heavy(rows, groups, "key", "n"))
     few = rows.where(f"n <= {SMALL}").groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice(F.col("m"), i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     return few.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct(), rows.where(f"n > {SMALL}").select("key", "node", "tree", blocks.alias("blocks"))
 
 
-def connected_components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b); root is the least node.
 
-    Alternating large-star and small-star contraction. Each round's edges are
-    checkpointed; a node with very many neighbours is met as a partial minimum.
+    Alternating large-star and small-star contraction, until nothing changes.
+    Each round's edges are checkpointed. A node with very many neighbours takes
+    its minimum from partial ones, and gives it back as a heavy key.
     """
 
+    def spread(edges: DataFrame, of: str, least: DataFrame) -> DataFrame:
+        return join_heavy(edges, checkpoint(least), of, "n")
+
     def large(e: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        return spread(both.where("v > u"), "u", least).select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
 
     def small(e: DataFrame) -> DataFrame:
-        least = e.groupBy("b").agg(F.min("a").alias("m"))
-        moved = e.join(least, "b")
+        moved = spread(e, "b", e.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n")))
         return moved.select(F.col("m").alias("a"), F.col("a").alias("b")).union(moved.select(F.col("m").alias("a"), F.col("b"))).where("a < b").distinct()
 
     edges = checkpoint(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     if edges.isEmpty():
         return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = mark(edges)
-    for _ in range(rounds):
-        edges = checkpoint(small(large(edges)))
-        now = mark(edges)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
+    before, now = None, mark(edges)
+    while now != before:
+        edges = checkpoint(small(checkpoint(large(edges))))
+        before, now = now, mark(edges)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, recall: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
-    ``members`` has one row per input row: id, node, class_id, copies, n_links.
-    ``class_id`` is the least id of the class, ``copies`` the number of rows with
-    the same shingle set, ``n_links`` the number of other nodes that the node is
-    linked to. ``links`` holds the verified pairs: a, b, jaccard (of nodes); those
-    of crowds are worked out only when it is read.
+    ``members`` has one row per input row: id, row (a hash of the text), node,
+    class_id, class_row, copies, n_links. ``class_id`` and ``class_row`` are
+    those of the class's least row by (id, row), ``copies`` the number of rows
+    with the same shingle set, ``n_links`` the number of other nodes that the
+    node is linked to. ``links`` holds the verified pairs: a, b, jaccard (of
+    nodes); those of crowds are worked out only when it is read.
 
     Texts without words (null and empty ones) have no node, link to nothing and
-    are each their own class. Rows that repeat an id and text are copies. Rows
-    with a null id take part; ``class_id`` is null only if all ids of the class
+    are each their own class. Rows that repeat an id are told apart by ``row``;
+    rows that repeat id and text are copies. Rows with a null id take part and
+    count as the last ones; ``class_id`` is null only if all ids of the class
     are. Empty table: no rows. Other columns are ignored.
     """
-    depth = shortest_prefix(similarity, recall)
-    docs = documents_of(df, id_col, text_col)
-    kind = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("node", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("labels", T.ArrayType(T.LongType()))])
-    signed = checkpoint(docs.mapInArrow(_sign(words, depth), kind))
+    docs = documents_of(df, id_col, text_col, row_hash(text_col).alias("row")).select("id", "row", "text")
+    least = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
+    kind = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("row", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("labels", T.ArrayType(T.LongType()))])
+    signed = checkpoint(docs.mapInArrow(_sign(words), kind))
     full = signed.where("node IS NOT NULL")
-    nodes = checkpoint(full.groupBy("node").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.any_value("size").alias("size"), F.any_value("labels").alias("labels")))
-
-    pairs, crowds = map(checkpoint, _candidates(nodes.select("node", "size", "labels")))
-    # A node's crowds by tree; 0 where its trie node is small.
-    in_crowds = crowds.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("of"))
-    in_crowds = checkpoint(in_crowds.select("node", F.array(*[F.coalesce(F.try_element_at("of", F.lit(k)), F.lit(0)) for k in range(TREES)]).alias("crowds")))
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(in_crowds.select("node")).distinct()
-    wanted = checkpoint(nodes.select("node", F.col("least_id").alias("want")).join(ends, "node"))
-    texts = docs.join(sized_broadcast(wanted), docs["id"].eqNullSafe(F.col("want"))).select("node", "text")
-    sets = texts.mapInArrow(_sets(words), "node binary, hashes binary").dropDuplicates(["node"])
-    sets = checkpoint(sets.join(sized_broadcast(in_crowds, 192), "node", "left"))
-    left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"), F.col("crowds").alias("p")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"), F.col("crowds").alias("q"))
-    # A pair that meets in a crowd as well is left to the crowd.
-    crowded = F.exists(F.arrays_zip("p", "q"), lambda z: (z["p"] == z["q"]) & (z["p"] != 0))
-    apart = pairs.join(right, "b").join(left, "a").where(~F.coalesce(crowded, F.lit(False)))
-    few = checkpoint(apart.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a binary, b binary, jaccard double"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cells = crowds.join(sets.where("crowds IS NOT NULL"), "node").select("key", "tree", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"), "node", "hashes", "crowds")
-    cells = cells.select("key", "tree", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "hashes", "crowds").groupBy("key", "i", "j")
-    met = cells.applyInArrow(_meet(similarity, False), "node binary, other binary, n long")
-    links = few.union(cells.applyInArrow(_meet(similarity, True), "a binary, b binary, jaccard double"))
-
-    one = F.lit(1).cast("long")
-    ties = checkpoint(met.union(few.select("a", "b", one)).union(few.select("b", "b", one)))
+    nodes = checkpoint(full.groupBy("node").agg(F.min(least).alias("least"), F.count(F.lit(1)).alias("copies"), F.any_value("size").alias("size"), F.any_value("labels").alias("labels")))
+
+    def fetched(ends: DataFrame) -> DataFrame:
+        """The shingle sets of nodes, made anew from one text of each."""
+        wanted = checkpoint(nodes.select("node", F.col("least").alias("want")).join(ends, "node"))
+        small = sized_broadcast(wanted)
+        texts = docs.join(small, docs["id"].eqNullSafe(small["want.id"]) & (docs["row"] == small["want.row"])).select("node", "text")
+        return checkpoint(texts.mapInArrow(_sets(words), "node binary, hashes binary").dropDuplicates(["node"]))
+
+    sets: DataFrame | None = None
+    shortest = shortest_prefix(similarity, recall)
+    for depth in range(DEPTH, shortest - 1, -1):
+        pairs, crowds = map(checkpoint, _candidates(nodes.select("node", "size", "labels"), depth))
+        # A node's crowds by tree; 0 where its trie node is small.
+        in_crowds = crowds.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("of"))
+        in_crowds = checkpoint(in_crowds.select("node", F.array(*[F.coalesce(F.try_element_at("of", F.lit(k)), F.lit(0)) for k in range(TREES)]).alias("crowds")))
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(in_crowds.select("node")).distinct()
+        # Prefixes that are shortened match all that they matched before.
+        sets = fetched(ends) if sets is None else sets.unionByName(fetched(ends.join(sets.select("node"), "node", "left_anti")))
+        known_sets = sets.join(sized_broadcast(in_crowds), "node", "left")
+        left, right = known_sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"), F.col("crowds").alias("p")), known_sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"), F.col("crowds").alias("q"))
+        # A pair that meets in a crowd as well is left to the crowd.
+        crowded = F.exists(F.arrays_zip("p", "q"), lambda z: (z["p"] == z["q"]) & (z["p"] != 0))
+        apart = pairs.join(right, "b").join(left, "a").where(~F.coalesce(crowded, F.lit(False)))
+        few = checkpoint(apart.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a binary, b binary, jaccard double"))
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        cells = crowds.join(known_sets.where("crowds IS NOT NULL"), "node").select("key", "tree", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"), "node", "hashes", "crowds")
+        cells = cells.select("key", "tree", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "hashes", "crowds").groupBy("key", "i", "j")
+        met = cells.applyInArrow(_meet(similarity, depth, False), "node binary, other binary, n long, w double")
+        one, stand = F.lit(1).cast("long"), 1 / chance(F.col("jaccard"), depth)
+        ties = checkpoint(met.union(few.select("a", "b", one, stand)).union(few.select("b", "b", one, stand)))
+        links = few.union(cells.applyInArrow(_meet(similarity, depth, True), "a binary, b binary, jaccard double"))
+        seen = ties.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
+        # Half of what the target allows to be lost is left to the measure's error.
+        if seen["n"] and seen["n"] / seen["w"] >= (1 + recall) / 2:
+            break
+
     degree = ties.groupBy("node").agg(F.sum("n").alias("n_links"))
     roots = connected_components(ties.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    linked = checkpoint(nodes.select("node", "least_id").join(roots, "node"))
-    least = linked.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    classes = linked.join(least, "root").join(degree, "node").select("node", "class_id", "n_links")
-    known = nodes.select("node", "least_id", "copies").join(classes, "node", "left").select("node", F.when(F.col("n_links").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("class_id"), "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    members = full.select("id", "node").join(known, "node").select("id", "node", "class_id", "copies", "n_links")
-    bare = signed.where("node IS NULL").select("id", "node", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_links"))
+    linked = checkpoint(nodes.select("node", "least").join(roots, "node"))
+    first = checkpoint(linked.groupBy("root").agg(F.min("least").alias("class"), F.count(F.lit(1)).alias("n")))
+    classes = join_heavy(linked.select("node", "root"), first, "root", "n").join(degree, "node").select("node", "class", "n_links")
+    known = nodes.select("node", "least", "copies").join(classes, "node", "left").select("node", F.coalesce("class", "least").alias("class"), "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # A node of very many copies is met by a broadcast of the heavy nodes.
+    members = join_heavy(full.select("id", "row", "node"), checkpoint(known), "node", "copies")
+    members = members.select("id", "row", "node", F.col("class.id").alias("class_id"), F.col("class.row").alias("class_row"), "copies", "n_links")
+    bare = signed.where("node IS NULL").select("id", "row", "node", F.col("id").alias("class_id"), F.col("row").alias("class_row"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_links"))
     return members.unionByName(bare).withColumnRenamed("id", id_col), links
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     members, _ = jaccard_join(table(spark, sf_dir, "documents"))
     return members.select("doc_id", "class_id", "copies", "n_links")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents_of, table
+from .common import documents_of, small_batches, table
 
 UNIT = 192
 FRAME_UNITS = 64

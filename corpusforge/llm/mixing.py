@@ -9,8 +9,8 @@ parent (a parent never gets more than its children can take together).
 A leaf with budget B and T tokens gives B // T whole epochs and, of the next
 one, the prefix of a seeded order whose tokens fit in the rest. The end of the
 prefix is found by histograms over ranges of the order's hash, each round only
-within the range that holds the end, so no leaf is ever sorted as a whole; the
-driver sees one row per leaf and range.
+within the range that holds the end, so no leaf is ever sorted as a whole. The
+driver sees the tree alone: the tokens and the budget of each leaf.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, sized_broadcast, table, text_of
+from .common import checkpoint, row_hash, sized_broadcast, small_batches, table, text_of
 
 MAX_EPOCHS = 2
 BUDGET_SHARE = 0.8
@@ -30,8 +30,8 @@ SEED = 7
 BITS, ROUNDS = 8, 7
 #: A range with at most so many documents is ordered row by row.
 RANGE_ROWS = 4096
-#: More leaves than a plan may have.
-MAX_LEAVES = 200_000
+#: Leaves of a tree, which the driver holds; a tree of more is refused.
+MAX_LEAVES = 1_000_000
 
 
 @dataclass
@@ -99,70 +99,65 @@ def _order(seed: int, epoch: Column) -> Column:
 
 
 def mix(df: DataFrame, root: Node, levels: list[Column], id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """One row per chosen document and epoch: id, leaf (array), epoch, tokens.
+    """One row per chosen document and epoch: id, row, leaf (array), epoch, tokens.
 
     ``levels`` are the columns of the tree from the root down. The budget is
     ``budget_share`` times the tokens of the table; ``tokens`` counts those of a
-    document (default: runs of non-blanks of its text).
+    document (default: runs of non-blanks of its text). ``row`` is a hash of the
+    text.
 
     Null levels count as the empty name. Null and empty texts have no tokens;
     they go with the prefix that they fall in. A leaf without any tokens gives
-    nothing. Rows that repeat an id fall together in the order, and equal ones
-    are chosen or left one by one. Empty table: no rows. Other columns are
-    ignored.
+    nothing. Rows that repeat an id fall together in the order and go by
+    ``row``; equal ones are chosen or left one by one. Empty table: no rows.
+    Other columns are ignored. More than MAX_LEAVES leaves: a ValueError.
     """
     spark = df.sparkSession
     count = tokens if tokens is not None else F.regexp_count(text_of(text_col), F.lit(r"\S+"))
     leaf = F.array(*[F.coalesce(c.cast("string"), F.lit("")) for c in levels])
-    docs = checkpoint(df.select(F.col(id_col).alias("id"), leaf.alias("leaf"), count.cast("long").alias("tokens")))
+    docs = checkpoint(df.select(F.col(id_col).alias("id"), row_hash(text_col).alias("row"), leaf.alias("leaf"), count.cast("long").alias("tokens")))
     totals = docs.groupBy("leaf").agg(F.sum("tokens").alias("t")).limit(MAX_LEAVES + 1).collect()
     if len(totals) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves")
     available = {tuple(r.leaf): r.t for r in totals}
     budgets = propagate(root, available, int(budget_share * sum(available.values())), max_epochs)
 
-    # leaf -> [whole epochs, tokens of the partial epoch, hash range that holds its end]
-    plan = {k: [b // available[k], b % available[k], 0, 0] for k, b in budgets.items() if b and available[k]}
-    kind = T.StructType([T.StructField("leaf", T.ArrayType(T.StringType())), *[T.StructField(n, T.LongType()) for n in ("whole", "rest", "depth", "start")]])
-
-    def planned() -> DataFrame:
-        return F.broadcast(spark.createDataFrame([(list(k), *v) for k, v in plan.items()], kind))
-
-    open_leaves = {k for k, v in plan.items() if v[1]}
+    # Whole epochs, tokens of the partial one, and the hash range that holds its
+    # end: its first ``depth`` steps of BITS bits, 0 while there is none.
+    kind = T.StructType([T.StructField("leaf", T.ArrayType(T.StringType())), *[T.StructField(n, T.LongType()) for n in ("whole", "rest", "depth", "start", "inside")]])
+    rows = [(list(k), b // available[k], b % available[k], 0, 0, 0) for k, b in budgets.items() if b and available[k]]
+    plan = checkpoint(spark.createDataFrame(rows, kind))
+    done, todo = plan.where("rest = 0"), plan.where("rest > 0")
     for depth in range(ROUNDS):
-        if not open_leaves:
+        if todo.isEmpty():
             break
         # Only documents in the ranges that are still open are counted.
-        asked = F.broadcast(spark.createDataFrame([(list(k), *plan[k]) for k in open_leaves], kind))
-        h = docs.join(asked, "leaf").withColumn("h", _order(seed, F.col("whole")))
+        h = docs.join(sized_broadcast(todo), "leaf").withColumn("h", _order(seed, F.col("whole")))
         low = 56 - BITS * (depth + 1)
         h = h.where(F.shiftright("h", low + BITS) == F.shiftright("start", low + BITS))
-        bins = h.groupBy("leaf", F.shiftright("h", low).alias("bin")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
-        by_leaf: dict[tuple[str, ...], list] = {}
-        for r in bins:
-            by_leaf.setdefault(tuple(r.leaf), []).append((r.bin, r.t, r.n))
-        for k in list(open_leaves):
-            rest, inside = plan[k][1], 0
-            for b, t, n in sorted(by_leaf.get(k, [])):
-                if t > rest:
-                    plan[k][1:] = [rest, depth + 1, b << low]
-                    inside = n
-                    break
-                rest -= t
-            if inside <= RANGE_ROWS:
-                open_leaves.discard(k)
+        bins = h.groupBy("leaf", F.shiftright("h", low).alias("bin")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+        # At most 2**BITS rows of a leaf meet here.
+        upto = F.sum("t").over(Window.partitionBy("leaf").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        passed = bins.withColumn("upto", upto).join(todo.select("leaf", F.col("rest").alias("goal")), "leaf").where("upto > goal")
+        end = passed.groupBy("leaf").agg(F.min_by(F.struct("bin", "n", (F.col("upto") - F.col("t")).alias("below")), "bin").alias("e"))
+        # A range without an end can not be: its tokens are more than the rest.
+        plan = todo.join(end, "leaf").select("leaf", "whole", (F.col("rest") - F.col("e.below")).alias("rest"), F.lit(depth + 1).cast("long").alias("depth"), F.shiftleft("e.bin", low).alias("start"), F.col("e.n").alias("inside"))
+        plan = checkpoint(plan)
+        done, todo = done.unionByName(plan.where(f"inside <= {RANGE_ROWS}")), plan.where(f"inside > {RANGE_ROWS}")
 
     # Below the range: chosen. Inside it: chosen while the tokens fit.
-    own = docs.join(planned(), "leaf").withColumn("h", _order(seed, F.col("whole")))
+    planned = checkpoint(done.unionByName(todo).drop("inside"))
+    own = docs.join(sized_broadcast(planned), "leaf").withColumn("h", _order(seed, F.col("whole")))
     cut = "shiftright({}, 56 - cast(depth as int) * " + str(BITS) + ")"
     inside = F.expr(cut.format("h")) == F.expr(cut.format("start"))
     edge = F.when(F.col("depth") == 0, 0).when(inside, 1).when(F.col("h") < F.col("start"), 2).otherwise(0)
     own = own.withColumn("edge", edge)
-    inner = own.where("edge = 1").withColumn("upto", F.sum("tokens").over(Window.partitionBy("leaf").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = Window.partitionBy("leaf").orderBy("h", "id", "row").rowsBetween(Window.unboundedPreceding, 0)
+    inner = own.where("edge = 1").withColumn("upto", F.sum("tokens").over(so_far))
     epochs = F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)
-    full = own.where("whole > 0").select("id", "leaf", F.explode(epochs).alias("epoch"), "tokens")
-    below = own.where("edge = 2").select("id", "leaf", F.col("whole").alias("epoch"), "tokens")
-    fits = inner.where("upto <= rest").select("id", "leaf", F.col("whole").alias("epoch"), "tokens")
+    full = own.where("whole > 0").select("id", "row", "leaf", F.explode(epochs).alias("epoch"), "tokens")
+    below = own.where("edge = 2").select("id", "row", "leaf", F.col("whole").alias("epoch"), "tokens")
+    fits = inner.where("upto <= rest").select("id", "row", "leaf", F.col("whole").alias("epoch"), "tokens")
     return full.unionByName(below).unionByName(fits).withColumnRenamed("id", id_col)
 
 
@@ -185,6 +180,7 @@ def tree_levels() -> list[Column]:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     chosen = mix(table(spark, sf_dir, "documents"), TARGET, tree_levels())
     return chosen.select("doc_id", F.col("leaf")[0].alias("domain"), F.col("leaf")[1].alias("lang"), F.col("leaf")[2].alias("source"), "epoch", "tokens")
 

@@ -504,6 +504,48 @@ def test_licenses_of_a_given_table(spark):
     assert [r.license_id for r in license_scan.license_scan(docs, known=whole).orderBy("doc_id").collect()] == ["MIT", "X-1", None, "MIT", None]
 
 
+def _file(title, notice, text, width, lead=""):
+    import textwrap
+
+    body = "\n".join(textwrap.fill(part, width) for part in text.split("\n"))
+    return "\n".join(lead + x for x in f"{title}\n\n{notice}\n\n{body}\n".split("\n"))
+
+
+def test_usual_license_files(spark):
+    """Titles, copyright notices, rights lines, wrapping and comment signs do not matter."""
+    known, rows, want = license_scan.LICENSES, [], {}
+    titles = {"MIT": "The MIT License (MIT)", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": 'BSD 3-Clause "New" or "Revised" License', "ISC": "ISC License", "Zlib": "zlib License", "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003", "0BSD": "Zero-Clause BSD License", "MIT-0": "MIT No Attribution License"}
+    for name, title in titles.items():
+        for width in (70, 75, 78, 80):
+            for notice in ("Copyright (c) 2011-2024 A. Person and others", "Copyright 2020 A. B.\nAll rights reserved.", "(c) 2019 The Authors\nCopyright © 2020 C"):
+                for lead in ("", "# ", " * "):
+                    want[len(rows)] = name
+                    rows.append((len(rows), _file(title, notice, known[name], width, lead)))
+    filled = known["BSD-3-Clause"].replace("the copyright holder nor", "Some Company, Inc. nor").replace("1. ", "* ").replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS")
+    want[len(rows)] = "BSD-3-Clause"
+    rows.append((len(rows), _file("", "Copyright (c) 1999 The Regents", filled.replace("2. ", "* ").replace("3. ", "* "), 72)))
+    near = [known["MIT"] + " More words.", known["MIT"].replace("without restriction", "with restriction"), "MIT License", known["Apache-2.0"] + "\n" + known["MIT"]]
+    for text in near:
+        want[len(rows)] = None
+        rows.append((len(rows), text))
+    out = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.license_id for r in out.collect()} == want
+
+
+@pytest.mark.skipif(not os.path.exists("/usr/share/common-licenses/GPL-3"), reason="no published texts here")
+def test_published_texts(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    rows = [(name, open(f"/usr/share/common-licenses/{name}", encoding="utf-8").read().upper().replace("\n", "\r\n")) for name in names]
+    out = license_scan.license_scan(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert {r.doc_id: r.license_id for r in out.collect()} == names
+
+
+def test_notice_lines_of_any_length(spark):
+    rows = [(1, "x\rReleased under the MIT License." + " " * 900 + "\ny"), (2, "// " + "-" * 500 + " Licensed under CC BY 4.0. " + "-" * 500), (3, "It was not Released under the MIT License.")]
+    out = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.notices for r in out.collect()} == {1: ["MIT"], 2: ["CC-BY-4.0"], 3: []}
+
+
 # --- chat --------------------------------------------------------------------------------
 
 
