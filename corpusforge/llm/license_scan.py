@@ -102,6 +102,7 @@ SPELLINGS = [
 #: canonical form and what stands for them.
 _NAMES = r"(?:[\p{L}\p{N}]+ ){1,20}?"
 BLANKS = [
+    ("non infringement", "noninfringement"),  # broken at the hyphen by a line end
     (rf"neither the names? of {_NAMES}nor the names of (?:its|their|the) contributors", "neither the name of the copyright holder nor the names of its contributors"),
     (rf"(software is provided by) {_NAMES}(as is)", "{1} the copyright holders {2}"),
     (rf"(in no event (?:shall|will)) {_NAMES}(be (?:held )?liable)", "{1} the copyright holders {2}"),
