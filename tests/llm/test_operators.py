@@ -36,22 +36,91 @@ def test_registry():
 
 
 def test_composed_machine_equals_its_parts():
-    parts = toxicity.machines()
-    table = toxicity.compose(parts)
+    """Every clause of up to five words, one machine after the other."""
     rng = random.Random(1)
-    for _ in range(500):
-        state, states, total, apart = 0, [0] * len(parts), 0.0, 0.0
-        for symbol in (rng.randrange(6) for _ in range(12)):
-            state, w = table[state][symbol]
+    weights = {k: rng.random() for k in toxicity.WEIGHTS}
+    machines, rows = toxicity.grammar_machines(weights), toxicity.composed(weights)
+    clauses = [list(c) for n in range(6) for c in itertools.product(range(6), repeat=n)] + [[rng.randrange(6) for _ in range(15)] for _ in range(500)]
+    for clause in clauses:
+        symbols, apart = clause, 0.0
+        for m in machines:
+            symbols, w = m.run(symbols)
+            apart += w
+        state, total, out = 0, 0.0, []
+        for symbol in clause:
+            state, put, w = rows[state][symbol]
             total += w
-            steps = [m.step(s, symbol) for m, s in zip(parts, states, strict=True)]
-            states, apart = [s for s, _ in steps], apart + sum(w for _, w in steps)
-        assert abs(total - apart) < 1e-9
+            out.append(put)
+        assert out == symbols and abs(total - apart) < 1e-9
+
+
+def _clause_weight(symbols):
+    """The grammar's rules told once more, by looking at a whole clause."""
+    total, insults, waits = 0.0, 0, None
+    targets, negations, reports = ([i for i, x in enumerate(symbols) if x == c] for c in (toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT))
+    for i, x in enumerate(symbols):
+        if x == toxicity.TARGET and waits is not None and min(targets) == i:
+            total += toxicity.AFTERWARDS[waits]
+        if x not in (toxicity.INSULT, toxicity.THREAT):
+            continue
+        marks = toxicity.REPORTED * any(r < i for r in reports) | toxicity.NEGATED * any(0 < i - n <= toxicity.NEGATION_SCOPE for n in negations)
+        marks |= toxicity.DIRECTED * any(t < i for t in targets)
+        total += toxicity.WEIGHTS[x | marks]
+        if x == toxicity.INSULT:
+            total += toxicity.HEAPED * (insults > 0 and not marks & (toxicity.REPORTED | toxicity.NEGATED))
+            insults += 1
+        if not marks:
+            waits = x
+    return total
+
+
+def test_grammar_against_its_rules():
+    rows = toxicity.composed(toxicity.WEIGHTS)
+    for clause in (c for n in range(7) for c in itertools.product(range(6), repeat=n)):
+        state, total = 0, 0.0
+        for symbol in clause:
+            state, _, w = rows[state][symbol]
+            total += w
+        assert abs(total - _clause_weight(clause)) < 1e-9, clause
+
+
+def test_clauses_decide_and_not_words():
+    predict = lambda t: toxicity.Scorer(toxicity.Grammar())(t)[0] >= toxicity.THRESHOLD
+    assert predict("You are an idiot.") and predict("An idiot, you!") and predict("Stupid, worthless trash.")
+    assert not predict("The word idiot is old.") and not predict("He is not an idiot.") and not predict("She said that he was called an idiot.")
+    assert predict("I will kill you.") and not predict("I will not kill you.") and not predict("The paper reported that they burn.")
+
+
+def test_fit_learns_negation_reporting_and_weights(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcde") for _ in range(6)) for _ in range(400)]
+    rows = []
+    for i in range(900):
+        text, kind = rng.choices(words, k=12), i % 6
+        insult = rng.choice(["idiot", "moron"])
+        text[6:6] = {0: ["zlo", insult], 1: ["qrep", "that", "was", "indeed", "one", "such", insult], 2: [insult]}.get(kind, [])
+        rows.append((i, " ".join(text), int(kind == 2)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    grammar = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    assert grammar.others["zlo"] == toxicity.NEGATION and grammar.others["qrep"] == toxicity.REPORT
+    assert not grammar.words and not grammar.prefixes
+    score = toxicity.Scorer(grammar)
+    assert score("The idiot.")[0] >= toxicity.THRESHOLD  # labels taught that it stands alone in toxic texts
+    assert score("A zlo idiot.")[0] < toxicity.THRESHOLD and score("Qrep as it was back then the idiot.")[0] < toxicity.THRESHOLD
+
+
+def test_fit_edges(spark):
+    docs = spark.createDataFrame([(1, None, "x"), (None, "you idiot", "x"), (2, "", "x"), (2, "a", "x")], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(1, 1, "t"), (None, 1, "t"), (2, None, "t"), (2, 0, "t")], "doc_id long, toxic int, text string")
+    for d, y in ((docs, labels), (docs.limit(0), labels), (docs, labels.limit(0))):
+        assert toxicity.fit(d, y) == toxicity.Grammar()
+    assert toxicity.reject_toxic(docs, toxicity.Grammar()).count() == 3 and toxicity.reject_toxic(docs.limit(0), toxicity.Grammar()).count() == 0
 
 
 def test_clauses_matter():
     score = lambda t: toxicity.Scorer(toxicity.Grammar())(t)[0]
     assert score("You are an idiot.") > score("An idiot.") > score("Not an idiot.") > 0
+    assert score("An idiot.") < toxicity.THRESHOLD
     assert score("You are an idiot.") > score("You are not an idiot.")
     assert score("Reports quoted the idiot.") < score("The idiot left.")
     assert score("I will hurt you.") > 0.3 and score("It may hurt.") == 0
