@@ -1,8 +1,9 @@
 """Media columns: AVI files of motion JPEG.
 
-The reader parses the RIFF index, decodes intra frames (baseline JPEG, any
-Huffman tables) and cuts shots where the luma histogram changes by more than an
-adaptive threshold; each shot is a timed clip row.
+The reader parses the RIFF indexes (idx1 and OpenDML's, or the chunks in order
+where there is none), decodes intra frames (baseline JPEG, any Huffman tables, the
+standard ones where a frame has none) and cuts shots where the luma histogram
+changes by more than an adaptive threshold; each shot is a timed clip row.
 
 ``store_payload`` keeps bytes losslessly in such a file: a frame's quantised
 coefficients are its units. Amplitudes of size 8 are exactly 256 values, so a
@@ -36,6 +37,22 @@ FPS = 25
 WINDOW, DEVIATIONS, LEAST_CHANGE, BINS = 8, 3.0, 0.25, 16
 #: The zigzag order of an 8x8 block.
 ZIGZAG = np.array([0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63])
+
+def _symbols(head: str) -> bytes:
+    """A standard AC table: the symbols named first, then all others in order."""
+    first = bytes.fromhex(head)
+    every = {0x00, 0xF0} | {run << 4 | size for run in range(16) for size in range(1, 11)}
+    return first + bytes(sorted(every - set(first)))
+
+
+#: The Huffman tables of the JPEG standard, for frames without any;
+#: table -> (codes of each length, symbols). The AC tables end in number order.
+STANDARD = {
+    0x00: (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes(range(12))),
+    0x01: (bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]), bytes(range(12))),
+    0x10: (bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125]), _symbols("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282")),
+    0x11: (bytes([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119]), _symbols("0001020311040521310612415107617113223281081442" + "91a1b1c109233352f0156272d10a162434e125f1")),
+}
 _k = np.arange(8)
 #: DCT[u, x]: the orthonormal cosine basis.
 DCT = (np.cos((2 * _k[None, :] + 1) * _k[:, None] * np.pi / 16) * np.where(_k == 0, np.sqrt(1 / 8), 0.5)[:, None]).astype(np.float32)
@@ -121,38 +138,80 @@ class Avi:
 
 
 def _walk(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(name, first, past last byte) of the chunks of a list, in order."""
     while at + 8 <= end:
         name, n = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        yield name, at + 8, min(at + 8 + n, end)
+        if at + 8 + n > end:
+            raise ValueError("the file is cut")
+        yield name, at + 8, at + 8 + n
         at += 8 + n + n % 2
 
 
+def _in_order(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """The chunks of a list of frames and of the lists in it."""
+    for name, a, b in _walk(data, at, end):
+        if name == b"LIST":
+            yield from _in_order(data, a + 4, b)
+        else:
+            yield name, a, b
+
+
+def _open_index(data: bytes, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """(place, size) of what an OpenDML index lists, through its sub-indexes."""
+    wide, kind, n = struct.unpack_from("<HxBI", data, a)
+    if kind == 0:
+        for k in range(n):
+            at = struct.unpack_from("<Q", data, a + 24 + 4 * wide * k)[0]
+            yield from _open_index(data, at + 8, at + 8 + struct.unpack_from("<I", data, at + 4)[0])
+    elif kind == 1:
+        base = struct.unpack_from("<Q", data, a + 12)[0]
+        for k in range(n):
+            offset, size = struct.unpack_from("<II", data, a + 24 + 4 * wide * k)
+            yield base + offset, size & 0x7FFFFFFF
+
+
 def read_avi(data: bytes) -> Avi:
-    """Parse a RIFF AVI file; frames come by the index, or by order without one."""
+    """Parse a RIFF AVI file; frames come by an index, or by order without one."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    micros, width, height, movi, index, chunks = 1_000_000 // FPS, 0, 0, (12, 12), b"", {}
-    for name, a, b in _walk(data, 12, len(data)):
-        if name == b"LIST" and data[a : a + 4] == b"movi":
-            movi = (a, b)
-        elif name == b"LIST" and data[a : a + 4] == b"hdrl":
-            for n2, a2, _ in _walk(data, a + 4, b):
-                if n2 == b"avih":
-                    micros = struct.unpack_from("<I", data, a2)[0] or micros
-                    width, height = struct.unpack_from("<II", data, a2 + 32)
-        elif name == b"idx1":
-            index = data[a:b]
-        elif name != b"LIST":
-            chunks[name] = data[a:b]
-    frames = []
-    if index:
+    fps, width, height, stream, seen = float(FPS), 0, 0, None, 0
+    movi, index, opened, chunks = [], b"", None, {}
+    # A long file has further RIFF parts behind the first.
+    for part, first, end in _walk(data, 0, len(data)):
+        for name, a, b in _walk(data, first + 4, end) if part == b"RIFF" else ():
+            kind = data[a : a + 4] if name == b"LIST" else None
+            if kind == b"movi":
+                movi.append((a, b))
+            elif kind == b"hdrl":
+                for n2, a2, b2 in _walk(data, a + 4, b):
+                    if n2 == b"avih":
+                        fps = 1_000_000 / (struct.unpack_from("<I", data, a2)[0] or 1_000_000 // FPS)
+                        width, height = struct.unpack_from("<II", data, a2 + 32)
+                    elif n2 == b"LIST" and data[a2 : a2 + 4] == b"strl":
+                        own = {n3: (a3, b3) for n3, a3, b3 in _walk(data, a2 + 4, b2)}
+                        head = own.get(b"strh", (a2, a2))
+                        if stream is None and data[head[0] : head[0] + 4] == b"vids":
+                            stream, opened = seen, own.get(b"indx")
+                            scale, rate = struct.unpack_from("<II", data, head[0] + 20)
+                            fps = rate / scale if scale and rate else fps
+                        seen += 1
+            elif name == b"idx1":
+                index = data[a:b]
+            elif kind is None:
+                chunks[name] = data[a:b]
+    prefix = f"{stream or 0:02d}".encode()
+    ours = lambda name: name[:2] == prefix and name[2:] in (b"dc", b"db")
+    if opened:
+        frames = [data[at : at + n] for at, n in _open_index(data, *opened)]
+    elif index and movi:
         entries = list(struct.iter_unpack("<4sIII", index[: len(index) // 16 * 16]))
         # Offsets count from the list's type; some writers count from the file.
-        base = movi[0] if entries and data[movi[0] + entries[0][2] : movi[0] + entries[0][2] + 4] == entries[0][0] else 0
-        frames = [data[base + o + 8 : base + o + 8 + n] for name, _, o, n in entries if name[2:] in (b"dc", b"db")]
+        at = movi[0][0]
+        base = at if entries and data[at + entries[0][2] : at + entries[0][2] + 4] == entries[0][0] else 0
+        frames = [data[base + o + 8 : base + o + 8 + n] for name, _, o, n in entries if ours(name)]
     else:
-        frames = [data[a:b] for name, a, b in _walk(data, movi[0] + 4, movi[1]) if name[2:] in (b"dc", b"db")]
-    return Avi(1_000_000 / micros, width, height, frames, chunks)
+        frames = [data[a:b] for m in movi for name, a, b in _in_order(data, m[0] + 4, m[1]) if ours(name)]
+    return Avi(fps, width, height, frames, chunks)
 
 
 def _codes(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
@@ -209,6 +268,11 @@ def _read_head(head: bytes) -> Head:
                 c, t = body[1 + 2 * i : 3 + 2 * i]
                 components[c][4:] = [t >> 4, 16 + (t & 15)]
         at += 2 + n
+    # Most writers of motion JPEG leave the standard tables out.
+    for c in components.values():
+        for t in c[4:]:
+            if t not in tables and t in STANDARD:
+                tables[t] = _codes(*STANDARD[t])
     return Head(width, height, [tuple(c) for c in components.values()], quantisers, tables, restart)
 
 
@@ -217,6 +281,8 @@ def _split_frame(frame: bytes) -> tuple[Head, bytes]:
         raise ValueError("not a JPEG frame")
     at = 2
     while frame[at + 1] != 0xDA:
+        if frame[at] != 0xFF:
+            raise ValueError("a JPEG frame has no scan")
         at += 2 + struct.unpack_from(">H", frame, at + 2)[0]
     at += 2 + struct.unpack_from(">H", frame, at + 2)[0]
     end = len(frame) - 2 if frame[-2:] == b"\xff\xd9" else len(frame)
@@ -360,7 +426,8 @@ def _clips(id_type: pa.DataType):
                     avi = read_avi(media.as_buffer().to_pybytes())
                     found, error = shots(_histograms(avi)[1]), None
                 except (ValueError, IndexError, KeyError, struct.error) as e:
-                    found, error = [(0, 0)], str(e) or type(e).__name__
+                    # A key or place that is missing says little by itself.
+                    found, error = [(0, 0)], str(e) if type(e) is ValueError else f"broken file: {type(e).__name__} {e}"
                     avi = Avi(FPS, 0, 0, [], {})
                 for k, (a, z) in enumerate(found):
                     for into, x in zip(rows, (i.as_py(), k, a, z, a / avi.fps, z / avi.fps, "MJPG" if error is None else None, error), strict=True):
@@ -374,9 +441,10 @@ def _clips(id_type: pa.DataType):
 def clip_rows(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """Timed clip rows of AVI files: id, clip, frames, seconds, codec, error.
 
-    Null, cut or foreign media give one row with an ``error`` and no frames; a
-    file without frames gives none. Repeated rows: each by itself. Empty table:
-    no rows. Other columns are ignored.
+    Null, cut, broken or foreign media give one row with an ``error`` and no
+    frames; a file without frames gives none. Repeated rows: each by itself.
+    Empty table: no rows. Other columns are ignored, whatever their names. A
+    file is read whole in one task.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -421,8 +489,25 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return text_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_media": op7_media}
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            part = b.slice(at, 64)
+            media = [store_payload(pad((t or "").encode("utf-8", "surrogatepass"))) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], ["id", "media"])
+
+
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clip rows of the files that whole texts are stored in."""
+    small_batches(spark)
+    docs = documents_of(table(spark, sf_dir, "documents"), "doc_id", "text")
+    files = docs.mapInArrow(_stored, T.StructType([docs.schema["id"], T.StructField("media", T.BinaryType())]))
+    return clip_rows(files.withColumnRenamed("id", "doc_id"))
+
+
+QUERIES = {"op7_media": op7_media, "media_clips": media_clips}
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,7 @@ import itertools
 import os
 import random
 import re
+import struct
 from collections import defaultdict
 
 import numpy as np
@@ -490,7 +491,94 @@ def test_ordinary_frames_and_shots(spark):
     df = spark.createDataFrame([(1, data), (2, None), (3, b"junk"), (4, data[:100]), (5, media.write_avi([], 8, 8))], "doc_id long, media binary")
     rows = media.clip_rows(df).collect()
     assert [(r.first_frame, r.end_frame, r.start_s, r.end_s) for r in rows if r.doc_id == 1] == [(0, 10, 0.0, 2.0), (10, 15, 2.0, 3.0), (15, 25, 3.0, 5.0)]
-    assert {r.doc_id for r in rows if r.error} == {2, 3} and not [r for r in rows if r.doc_id == 5]
+    assert {r.doc_id: r.error for r in rows if r.error} == {2: "no media", 3: "not an AVI file", 4: "the file is cut"} and not [r for r in rows if r.doc_id == 5]
+
+
+def _standard_jpeg(coefficients, wide, tables=False):
+    """A 4:2:0 frame of random coefficients in the standard's Huffman codes."""
+    codes = {k: {v: c for c, v in media._codes(*t).items()} for k, t in media.STANDARD.items()}
+    bits, last = [], [0, 0, 0]
+
+    def put(table, symbol, value, size):
+        length, code = codes[table][symbol]
+        bits.append(f"{code:0{length}b}" + (f"{value if value > 0 else value + (1 << size) - 1:0{size}b}" if size else ""))
+
+    for unit in coefficients:
+        for block, part in zip(unit, (0, 0, 0, 0, 1, 2), strict=True):
+            table = int(part > 0)
+            size = abs(block[0] - last[part]).bit_length()
+            put(table, size, block[0] - last[part], size)
+            last[part], run = block[0], 0
+            for k in range(1, 64):
+                if not block[k]:
+                    run += 1
+                    continue
+                while run > 15:
+                    put(16 + table, 0xF0, 0, 0)
+                    run -= 16
+                size = abs(block[k]).bit_length()
+                put(16 + table, run << 4 | size, block[k], size)
+                run = 0
+            if run:
+                put(16 + table, 0, 0, 0)
+    text = "".join(bits)
+    text += "1" * (-len(text) % 8)
+    scan = int(text, 2).to_bytes(len(text) // 8, "big").replace(b"\xff", b"\xff\0")
+    seg, high = media._segment, len(coefficients) // wide
+    dht = b"".join(seg(0xC4, bytes([k]) + n + v) for k, (n, v) in media.STANDARD.items()) if tables else b""
+    return b"\xff\xd8" + seg(0xE0, b"AVI1") + seg(0xDB, b"\0" + b"\2" * 64) + seg(0xC0, bytes([8, 0, 16 * high, 0, 16 * wide, 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])) + dht + seg(0xDA, bytes([3, 1, 0, 2, 0x11, 3, 0x11, 0, 63, 0])) + scan + b"\xff\xd9"
+
+
+def test_frames_without_tables():
+    assert [len(v) for _, v in media.STANDARD.values()] == [sum(n) for n, _ in media.STANDARD.values()] == [12, 12, 162, 162]
+    rng = random.Random(13)
+    blocks = [[[rng.randint(-300, 300) if rng.random() < 0.3 else 0 for _ in range(64)] for _ in range(6)] for _ in range(6)]
+    for tables in (False, True):
+        head, got = media.decode_coefficients(_standard_jpeg(blocks, 3, tables))
+        assert (head.width, head.height) == (48, 32) and got.tolist() == blocks
+
+
+def _avi(frames, layout):
+    """The same frames without an index, in rec lists, or behind an OpenDML index."""
+    c, li, rate = media._chunk, media._list, struct.pack("<II", 2, 20)
+    strh = b"vidsMJPG" + bytes(12) + rate + bytes(28)
+    sound = li(b"strl", c(b"strh", b"auds" + bytes(52)))
+    body = [c(b"00wb", b"noise") + c(b"01dc", f) for f in frames]
+    if layout == "rec":
+        body = [li(b"rec ", x) for x in body]
+    indx = c(b"indx", bytes(24 + 16)) if layout == "odml" else b""
+    hdrl = lambda more: li(b"hdrl", c(b"avih", bytes(56)), sound, li(b"strl", c(b"strh", strh), more))
+    riff = lambda *parts: c(b"RIFF", b"AVI " + b"".join(parts))
+    if layout != "odml":
+        return riff(hdrl(indx), li(b"movi", *body))
+    start = 12 + len(hdrl(indx)) + 12
+    places, at = [], start
+    for f in frames:
+        places.append((at + len(c(b"00wb", b"noise")) + 8, len(f)))
+        at += len(c(b"00wb", b"noise")) + len(c(b"01dc", f))
+    ix = c(b"ix01", struct.pack("<HBBI4sQI", 2, 0, 1, len(frames), b"01dc", 0, 0) + b"".join(struct.pack("<II", *x) for x in places))
+    top = c(b"indx", struct.pack("<HBBI4sQI", 4, 0, 0, 1, b"01dc", 0, 0) + struct.pack("<QII", at, len(ix), len(frames)))
+    return riff(hdrl(top), li(b"movi", *body, ix))
+
+
+@pytest.mark.parametrize("layout", ["plain", "rec", "odml"])
+def test_layouts_of_files(spark, layout):
+    frames = [_gray_jpeg(v) for v in [20] * 6 + [200] * 4]
+    data = _avi(frames, layout)
+    avi = media.read_avi(data)
+    assert avi.frames == frames and avi.fps == 10
+    df = spark.createDataFrame([(1, data, "x"), (2, data[:-30], "y"), (3, data.replace(b"\xff\xda", b"\xff\xd5"), "z")], "doc_id long, media binary, clip string")
+    out = [(r.doc_id, r.start_s, r.end_s, bool(r.error)) for r in media.clip_rows(df).collect()]
+    assert sorted(out) == [(1, 0.0, 0.6, False), (1, 0.6, 1.0, False), (2, 0.0, 0.0, True), (3, 0.0, 0.0, True)]
+
+
+def test_clips_query(spark):
+    features = {r.doc_id: r.feature for r in media.op7_media(spark, SF).collect()}
+    clips = defaultdict(list)
+    for r in media.media_clips(spark, SF).collect():
+        assert r.error is None
+        clips[r.doc_id].append((r.clip, f"{r.start_s:.2f}-{r.end_s:.2f}"))
+    assert {i: ",".join(c for _, c in sorted(own)) for i, own in clips.items()} == {i: f.rsplit("clips=", 1)[1] for i, f in features.items()}
 
 
 def test_media_query(spark):
