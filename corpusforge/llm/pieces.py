@@ -6,8 +6,9 @@ A text is cut where no piece of the vocabulary crosses, so that its piece
 lattice is a chain of independent small lattices. In each, a forward Viterbi
 pass gives the best score of every prefix; a backward A* search from the end
 uses those scores as its exact heuristic and pops the N best segmentations in
-order. Chains are merged by their N smallest losses. Small lattices repeat, so
-their results are kept in a bounded cache.
+order. Chains are merged by their N smallest losses; a segmentation but the best
+differs from it in a few units, whose ids are put in place. Small lattices repeat,
+so their results are kept in a bounded cache.
 
 A character without a piece falls back to its byte pieces. A literal U+2581 is
 written in bytes as well, so decoding gives back every text exactly.
@@ -30,7 +31,10 @@ from pyspark.sql import types as T
 
 from .common import documents_of, small_batches, table
 
+#: Where the registered query and the pipeline find a model file, unless the
+#: session names one in MODEL_SETTING.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL_SETTING = "spark.corpusforge.pieces.model"
 SPACE = "▁"
 N_BEST = 3
 #: Score of a byte-fallback character, below every piece: the least score minus this.
@@ -75,11 +79,18 @@ class PieceModel:
 
     def __init__(self, data: bytes):
         self.pieces: list[tuple[str, float, int]] = []
+        normal: dict[int, object] = {}
         for number, value in _fields(data):
+            if number == 3:
+                normal = dict(_fields(value))
             if number == 1:
                 piece = dict(_fields(value))
                 score = struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0
                 self.pieces.append((piece[1].decode(), score, piece.get(3, NORMAL)))
+        # The normaliser's settings: a character map, a leading blank, blanks squeezed.
+        if normal.get(2) or normal.get(4, 1):
+            raise ValueError("the model changes texts, so they cannot be decoded exactly")
+        self.lead = " " if normal.get(3, 1) else ""
         self.ids = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
         self.scores = [s for _, s, _ in self.pieces]
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
@@ -164,14 +175,13 @@ class PieceModel:
         best[size] = at[0][0]
         return best, arcs
 
-    def encode_unit(self, unit: str, n: int, paths: bool = True) -> list[tuple[float, list[int]]]:
+    def encode_unit(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
         """The N best segmentations of a unit, best first.
 
         A* runs backwards from the end. With the exact heuristic the cost of a
         state is the best score minus what its arcs so far lose, so a popped
         state is completed along the best arcs at once, and only the arcs that
         leave that path are put on the agenda, if they can be among the N best.
-        Only the first segmentation has its ids if ``paths`` is false.
         """
         best, arcs = self.lattice(unit)
         size = len(best) - 1
@@ -199,7 +209,7 @@ class PieceModel:
                 tail = (piece, start, tail)
                 at = start
             path: list[int] = []
-            while (paths or not out) and tail:
+            while tail:
                 piece, start, tail = tail
                 if piece >= 0:
                     path.append(piece)
@@ -221,7 +231,9 @@ def read_model(path: str) -> bytes:
 
 
 class Units(dict):
-    """unit -> place in tables of the best ids, its score and the losses of the rest."""
+    """unit -> place in tables of the best ids, its score and the losses of the rest.
+
+    ``others`` holds the ids of the rest, as bytes."""
 
     def __init__(self, model: PieceModel, n: int):
         self.model, self.n = model, n
@@ -233,6 +245,7 @@ class Units(dict):
         self.score, self.start, self.size = np.empty(1024), np.empty(1024, dtype=np.int64), np.empty(1024, dtype=np.int64)
         self.losses = np.full((1024, max(1, self.n - 1)), np.inf)
         self.ids = np.empty(8192, dtype="<i4")
+        self.others: list[tuple[bytes, ...]] = []
 
     def _double(self, *names: str) -> None:
         for name in names:
@@ -242,7 +255,7 @@ class Units(dict):
             setattr(self, name, new)
 
     def __missing__(self, unit: str) -> int:
-        found = self.model.encode_unit(unit, self.n, paths=False)
+        found = self.model.encode_unit(unit, self.n)
         score, ids = found[0]
         at = self.count
         if at == len(self.score):
@@ -252,6 +265,7 @@ class Units(dict):
         self.score[at], self.start[at], self.size[at] = score, self.used, len(ids)
         for k, (other, _) in enumerate(found[1:]):
             self.losses[at, k] = score - other
+        self.others.append(tuple(np.array(path, dtype="<i4").tobytes() for _, path in found[1:]))
         self.ids[self.used : self.used + len(ids)] = ids
         self.count, self.used = at + 1, self.used + len(ids)
         if len(unit) <= 64:
@@ -259,19 +273,22 @@ class Units(dict):
         return at
 
 
-def merge_losses(losses: np.ndarray, n: int) -> list[float]:
-    """The n least total losses of a chain, each unit taking one of its own.
+def merge_losses(losses: np.ndarray, n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+    """The n least total losses of a chain, each unit taking one of its own, and
+    the choices: (unit, which of its losses) of the units that are not at best.
 
     Row = unit, ascending. Only the n - 1 units with the least first losses can
     take part: there are n totals no worse than one that leaves another's best.
     """
+    least: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
     if n == 1 or not len(losses):
-        return [0.0]
+        return least
+    units = np.arange(len(losses))
     if len(losses) > n - 1:
-        losses = losses[np.argpartition(losses[:, 0], n - 2)[: n - 1]]
-    least = [0.0]
-    for row in losses.tolist():
-        least = heapq.nsmallest(n, [a + b for a in least for b in (0.0, *row) if b != np.inf])
+        units = np.sort(np.argpartition(losses[:, 0], n - 2)[: n - 1])
+    for u, row in zip(units.tolist(), losses[units].tolist(), strict=True):
+        own = [(x, k) for k, x in enumerate(row) if x != np.inf]
+        least = heapq.nsmallest(n, least + [(a + x, (*how, (u, k))) for a, how in least for x, k in own])
     return least
 
 
@@ -280,49 +297,58 @@ def units_of(data: bytes, n: int) -> Units:
     return Units(parse_model(data), n)
 
 
-def encode(text: str, units: Units) -> tuple[bytes, list[float]]:
-    """(ids of the best segmentation as int32, the n best scores)."""
+def encode(text: str, units: Units) -> tuple[list[bytes], list[float]]:
+    """(ids as int32 and score of each of the n best segmentations), best first."""
     if not text:
-        return b"", [0.0]
+        return [b""], [0.0]
     if units.count >= _CACHE:
         units.reset()
-    at = np.array(list(map(units.__getitem__, units.model.atom.findall(" " + text))))
+    at = np.array(list(map(units.__getitem__, units.model.atom.findall(units.model.lead + text))))
     size = units.size[at]
     ends = np.cumsum(size)
-    ids = units.ids[np.repeat(units.start[at] - ends + size, size) + np.arange(ends[-1])]
+    ids = units.ids[np.repeat(units.start[at] - ends + size, size) + np.arange(ends[-1])].tobytes()
     best = float(units.score[at].sum())
-    return ids.tobytes(), [best - x for x in merge_losses(units.losses[at], units.n)]
+    out, scores = [], []
+    for loss, choices in merge_losses(units.losses[at], units.n):
+        parts, done = [], 0
+        for u, k in choices:
+            end = 4 * int(ends[u])
+            parts += [ids[done : end - 4 * int(size[u])], units.others[at[u]][k]]
+            done = end
+        out.append(b"".join([*parts, ids[done:]]) if parts else ids)
+        scores.append(best - loss)
+    return out, scores
 
 
 def decode(ids: np.ndarray, model: PieceModel) -> str:
     surface = model.surface
     out = b"".join([surface[i] for i in ids.tolist()])
-    return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
+    return (out[1:] if model.lead and out[:1] == b" " else out).decode("utf-8", "replace")
 
 
 def _encode(data: bytes, n_best: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = units_of(data, n_best)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
                 found = [encode(t, units) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([i for i, _ in found], pa.binary()), pa.array([s for _, s in found], pa.list_(pa.float64()))], ["id", "text", "ids", "scores"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([i[0] for i, _ in found], pa.binary()), pa.array([s for _, s in found], pa.list_(pa.float64())), pa.array([i[1:] for i, _ in found], pa.list_(pa.binary()))], ["id", "text", "ids", "scores", "others"])
 
     return run
 
 
 def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, n_best: int = N_BEST) -> DataFrame:
-    """One row per input row: id, text, ids (int32 little endian), scores.
+    """One row per input row: id, text, ids (int32 little endian), scores, others.
 
-    ``scores`` holds the best segmentation's score and those of the next best,
-    at most ``n_best``. Null text: the empty text, without ids, score 0. Ties
+    ``ids`` are of the best segmentation, ``others`` of the next best, in order.
+    ``scores`` holds the scores of all of them, at most ``n_best``. Null text: the empty text, without ids, score 0. Ties
     between segmentations go by the order of the search, which is fixed.
     Repeated rows: each by itself. Empty table: no rows. Other columns are
     ignored.
     """
     docs = documents_of(df, id_col, text_col)
-    fields = [("id", docs.schema["id"].dataType), ("text", T.StringType()), ("ids", T.BinaryType()), ("scores", T.ArrayType(T.DoubleType()))]
+    fields = [("id", docs.schema["id"].dataType), ("text", T.StringType()), ("ids", T.BinaryType()), ("scores", T.ArrayType(T.DoubleType())), ("others", T.ArrayType(T.BinaryType()))]
     return docs.mapInArrow(_encode(read_model(model), n_best), T.StructType([T.StructField(*f) for f in fields])).withColumnRenamed("id", id_col)
 
 
@@ -337,7 +363,12 @@ def _decode(data: bytes):
 
 
 def decode_pieces(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
-    """One row per input row: id, text. Null ids: the empty text."""
+    """One row per input row: id, text.
+
+    Null and empty ids: the empty text. Ids of control pieces stand for nothing.
+    Repeated rows: each by itself. Empty table: no rows. Other columns are
+    ignored.
+    """
     own = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     kind = T.StructType([T.StructField("id", own.schema["id"].dataType), T.StructField("text", T.StringType())])
     return own.mapInArrow(_decode(read_model(model)), kind).withColumnRenamed("id", id_col)
@@ -349,15 +380,16 @@ def _round_trip(data: bytes, n_best: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = units_of(data, n_best)
         for b in batches:
-            rows: list[list] = [[] for _ in range(8)]
+            rows: list[list] = [[] for _ in range(9)]
             for text in b.column(1).to_pylist():
-                ids, scores = encode(text, units)
+                every, scores = encode(text, units)
+                ids = every[0]
                 back = decode(np.frombuffer(ids, dtype="<i4"), units.model)
-                found = (len(text), len(ids) // 4, hashlib.sha256(ids).hexdigest(), scores[0], scores, hashlib.sha256(back.encode("utf-8", "replace")).hexdigest(), back == text, ids)
+                found = (len(text), len(ids) // 4, hashlib.sha256(ids).hexdigest(), scores[0], scores, [hashlib.sha256(x).hexdigest() for x in every[1:]], hashlib.sha256(back.encode("utf-8", "replace")).hexdigest(), back == text, ids)
                 for into, x in zip(rows, found, strict=True):
                     into.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, t) for x, t in zip(rows, kinds, strict=True)]], ["id", "n_chars", "n_tokens", "ids_sha256", "best_score", "scores", "decoded_sha256", "exact", "ids"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, t) for x, t in zip(rows, kinds, strict=True)]], ["id", "n_chars", "n_tokens", "ids_sha256", "best_score", "scores", "others_sha256", "decoded_sha256", "exact", "ids"])
 
     return run
 
@@ -365,16 +397,22 @@ def _round_trip(data: bytes, n_best: int):
 def piece_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, n_best: int = N_BEST) -> DataFrame:
     """Encode, decode and digest every row.
 
-    ``exact`` tells that decoding gave back the text; ``ids`` are as encoded.
+    ``exact`` tells that decoding gave back the text; ``ids`` are as encoded;
+    ``others_sha256`` are the digests of the ids of the next best segmentations.
     Edge cases are those of ``encode_pieces``.
     """
     docs = documents_of(df, id_col, text_col)
-    fields = [("id", docs.schema["id"].dataType), ("n_chars", T.LongType()), ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("best_score", T.DoubleType()), ("scores", T.ArrayType(T.DoubleType())), ("decoded_sha256", T.StringType()), ("exact", T.BooleanType()), ("ids", T.BinaryType())]
+    fields = [("id", docs.schema["id"].dataType), ("n_chars", T.LongType()), ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("best_score", T.DoubleType()), ("scores", T.ArrayType(T.DoubleType())), ("others_sha256", T.ArrayType(T.StringType())), ("decoded_sha256", T.StringType()), ("exact", T.BooleanType()), ("ids", T.BinaryType())]
     return docs.mapInArrow(_round_trip(read_model(model), n_best), T.StructType([T.StructField(*f) for f in fields])).withColumnRenamed("id", id_col)
 
 
+def model_path(spark: SparkSession) -> str:
+    return spark.conf.get(MODEL_SETTING, MODEL)
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_digests(table(spark, sf_dir, "documents")).drop("ids")
+    small_batches(spark)
+    return piece_digests(table(spark, sf_dir, "documents"), model=model_path(spark)).drop("ids")
 
 
 QUERIES = {"op3_pieces": op3_pieces}

@@ -236,10 +236,28 @@ def test_chain_of_units_equals_whole_lattice():
     rng = random.Random(6)
     for _ in range(300):
         text = "".join(rng.choice(["the", " ", "  ", "\n", "1", "23", "été", ".", ",", "²", "▁", "😀", "A", "-", "\t"]) for _ in range(rng.randint(1, 8)))
-        ids, scores = pieces.encode(text, units)
+        every, scores = pieces.encode(text, units)
         whole = m.encode_unit(" " + text, 3)
-        assert np.allclose(scores, [s for s, _ in whole], rtol=1e-12)
-        assert pieces.decode(np.frombuffer(ids, "<i4"), m) == text
+        assert np.allclose(scores, [s for s, _ in whole], rtol=1e-12) and len(set(every)) == len(every) == len(scores)
+        for ids, score in zip(every, scores, strict=True):
+            ids = np.frombuffer(ids, "<i4")
+            assert pieces.decode(ids, m) == text
+            lost = sum(m.pieces[i][2] == pieces.BYTE for i in ids.tolist())
+            assert lost or abs(sum(m.scores[i] for i in ids.tolist()) - score) < 1e-6
+
+
+@needs_model
+def test_all_segmentations_come_out_and_decode(spark):
+    rows = [(1, "hello there, world"), (2, None), (3, ""), (4, "▁ 😀\x00")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, ids string, scores string")
+    out = pieces.encode_pieces(df, n_best=4)
+    found = {r.doc_id: r for r in out.collect()}
+    assert len(found[1].others) == 3 and len(found[1].scores) == 4 and found[2].others == found[3].others == []
+    every = out.select("doc_id", F.explode(F.concat(F.array("ids"), "others")).alias("ids"))
+    assert {(r.doc_id, r.text) for r in pieces.decode_pieces(every).collect()} == {(i, t or "") for i, t in rows}
+    assert pieces.decode_pieces(out.limit(0)).count() == 0
+    null = spark.createDataFrame([(1, None, "x")], "doc_id long, ids binary, text string")
+    assert [tuple(r) for r in pieces.decode_pieces(null).collect()] == [(1, "")]
 
 
 @needs_model
