@@ -735,6 +735,25 @@ def test_windows_repeat_context_and_mask_once(spark):
     assert [x for w in out for x in w.loss] == [t for _, _, r, t in rows if r == "assistant"]
 
 
+def test_windows_keep_their_budget(spark):
+    """Every window is within the bound or one turn alone, whatever the turns' lengths."""
+    rng = random.Random(14)
+    rows = []
+    for c in range(40):
+        rows += [(c, 0, "system", "rule " * rng.choice([3, 20, 500]))] if c % 3 else []
+        rows += [(c, k, rng.choice(["user", "assistant"]), f"w{k} " * rng.choice([0, 1, 5, 30, 60, 99, 101, 250, 1001, 5000])) for k in range(1, 30)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_chat(df, span_tokens=100, history_tokens=40, system_tokens=50).withColumn("turns", chat.parse_chat(F.col("formatted"))).withColumn("loss", chat.loss_texts(F.col("formatted"), F.col("loss_spans"))).collect()
+    tokens = lambda t: max(1, len(t.split()))
+    for w in out:
+        assert w.n_tokens == sum(tokens(t.text) for t in w.turns)
+        assert w.n_tokens <= 290 or len(w.turns) == 1
+    for c in range(40):
+        own = sorted((w for w in out if w.conv_id == c), key=lambda w: w.window)
+        assert [(t.role, t.text) for w in own for t in w.turns[w.n_context :]] == [(r, t) for i, _, r, t in rows if i == c]
+        assert [x for w in own for x in w.loss] == [t for i, _, r, t in rows if i == c and r == "assistant"]
+
+
 def test_pipeline(spark):
     if importlib.util.find_spec("corpus_pipeline") is None:
         pytest.skip("no pipeline here")
