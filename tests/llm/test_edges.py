@@ -67,3 +67,84 @@ def test_chat_edges(spark):
     assert [tuple(t) for t in out[2].t] == [("system", "s<|im_sep|>"), ("we\nird", "\\|<|")]
     assert out[None].l == ["x"]
     assert chat.format_chat(df.limit(0)).count() == 0
+
+
+def stages():
+    return pytest.importorskip("corpus_pipeline")
+
+
+def near(text, k=3):
+    words = text.split()
+    words[k] = "other"
+    return " ".join(words)
+
+
+A = " ".join(f"w{i}" for i in range(80))
+B = " ".join(f"unique{i}" for i in range(70))
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stage_edges(spark, k):
+    """Nulls, empty and long texts, repeats, empty tables and clashing columns."""
+    P = stages()
+    stage = P.STAGES[k][1]
+    extra = documents(spark, [*TEXTS, (9, None), (None, None)]).withColumn("extra", F.lit("e")).withColumn("carried", F.lit(1)).withColumn("row", F.lit("r"))
+    sf = "/root/testdata/sf0.001"
+    out = stage(spark, extra, sf)
+    rows = out.collect()
+    if k < 4:
+        assert out.columns == extra.columns and dict(out.dtypes) == dict(extra.dtypes)
+        assert all(r.extra == "e" and r.carried == 1 and r.row == "r" for r in rows)
+    ids = sorted((r.doc_id for r in rows), key=lambda x: (x is None, x))
+    want = {
+        0: [2, 3, 4, 5, 6, 6, 7, 8, 9, None, None],  # 1 is an insult at somebody
+        1: [1, 2, 3, 4, 5, 7, 8, 9, None, None],  # 6 holds only copies
+        2: [1, 2, 3, 4, 5, 7, 8, 9, None, None],
+        4: [1, 2, 3, 4, 5, 6, 6, 7, 8, 9, None, None],
+    }
+    if k == 3:
+        assert set(ids) <= set(want[4]) and ids
+    else:
+        assert ids == want[k]
+    empty = stage(spark, extra.limit(0), sf)
+    assert empty.collect() == [] and (k == 4 or empty.columns == extra.columns)
+
+
+def test_repeated_ids_keep_unique_texts(spark):
+    P = stages()
+    docs = documents(spark, [(3, A), (5, near(A)), (5, B), (5, B), (None, near(B, 9))])
+    one = [(r.doc_id, r.text) for r in P.keep_one_of_similar(spark, docs, "").collect()]
+    assert sorted(one) == [(3, A), (5, B)]
+    docs = documents(spark, [(5, "alpha beta gamma delta\nfirst line of some words"), (5, "second quite unique line\nalpha beta gamma delta"), (7, "second quite unique line\nlast")])
+    two = [(r.doc_id, r.text) for r in P.drop_repeated_lines(spark, docs, "").collect()]
+    lines = [x for _, t in two for x in t.split("\n")]
+    assert sorted(lines) == ["alpha beta gamma delta", "first line of some words", "last", "second quite unique line"]
+    many = documents(spark, [(1, f"text number {i} of this leaf") for i in range(50)])
+    kept = [r.text for r in P.mix_sources(spark, many, "").collect()]
+    assert len(kept) == len(set(kept)) == 45
+
+
+def test_line_order_with_null_ids(spark):
+    line = " ".join(f"w{i}" for i in range(12))
+    docs = documents(spark, [(2, near(line)), (None, line), (1, line + "\nz")])
+    out = {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()}
+    assert out == {None: line, 1: "z", 2: ""}
+
+
+def test_mixing_ties(spark):
+    docs = documents(spark, [(1, "a b"), (1, "a b"), (1, "c d"), (2, "")])
+    out = mixing.mix(docs, mixing.TARGET, [F.lit("x")], budget_share=1.0, max_epochs=1).collect()
+    assert sorted((r.doc_id, r.tokens) for r in out if r.tokens) == [(1, 2), (1, 2), (1, 2)]
+
+
+def test_heavy_keys(spark, monkeypatch):
+    """Heavy keys apart give what a plain join gives."""
+    from corpusforge.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HEAVY_KEYS", 5)
+    big = spark.range(3000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40)).alias("k"), "id")
+    small = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    got = common.join_heavy(big, small, "k", "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, big.join(small, "k").collect()))
+    assert common.join_heavy(big.limit(0), small.limit(0), "k", "n").count() == 0
