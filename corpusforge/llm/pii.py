@@ -29,8 +29,9 @@ KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 BASE_KINDS = KINDS[:4]
 #: kind -> (score of a validated span, further score if a context word is near)
 SCORES = {"email": (0.9, 0.1), "ip": (0.6, 0.3), "card": (0.8, 0.2), "phone": (0.7, 0.3), "iban": (0.9, 0.1), "ssn": (0.2, 0.7)}
-#: Context words, looked for in the CONTEXT code points before a span.
-CONTEXT = 48
+#: Context words, looked for in the CONTEXT code points before a span, through two
+#: earlier spans of its kind ("cards: A, B"), and in the first AFTER behind it.
+CONTEXT, AFTER = 48, 24
 CONTEXT_WORDS = {
     "email": r"(?i)\b(?:e-?mail|mailto|contact|write)",
     "ip": r"(?i)\b(?:ip|host|server|address|adresse)\b",
@@ -124,16 +125,23 @@ def _valid(kind: str, value: Column) -> Column:
     if kind == "iban":
         code = F.regexp_replace(value, "\\x20", "")
         return F.when(F.length(code).between(15, 34), mod97(code)).otherwise(False)
-    return F.lit(True)
+    # Numbers that are never given out: an area of 000, 666 or from 900 on, parts of noughts.
+    return ~value.rlike(r"^(?:000|666|9)|-00-|-0000$")
 
 
-def _gap(context: str):
-    """Maps the text before a match to its length and whether a context word ends it."""
+def _gap(text: Column) -> Column:
+    """The text between two matches: its length and its ends."""
+    return F.struct(F.length(text).alias("n"), F.right(text, F.lit(CONTEXT)).alias("tail"), F.left(text, F.lit(AFTER)).alias("head"))
 
-    def gap(text: Column) -> Column:
-        return F.struct(F.length(text).alias("n"), F.right(text, F.lit(CONTEXT)).rlike(context).alias("near"))
 
-    return gap
+def _near(kind: str, values: Column, gaps: Column, i: Column) -> Column:
+    """True if a context word stands near match ``i``."""
+
+    def part(k: int) -> Column:
+        return F.concat(F.coalesce(F.get(gaps, i - k)["tail"], F.lit("")), F.coalesce(F.get(values, i - k), F.lit("")))
+
+    before = F.right(F.concat(part(2), part(1), F.get(gaps, i)["tail"]), F.lit(CONTEXT))
+    return before.rlike(CONTEXT_WORDS[kind]) | F.get(gaps, i + 1)["head"].rlike(CONTEXT_WORDS[kind])
 
 
 def _span(kind: str, rank: int, values: Column, gaps: Column):
@@ -142,7 +150,7 @@ def _span(kind: str, rank: int, values: Column, gaps: Column):
 
     def span(end: Column, i: Column) -> Column:
         value = F.get(values, i)
-        total = F.lit(score) + F.when(F.get(gaps, i)["near"], more).otherwise(0.0)
+        total = F.lit(score) + F.when(_near(kind, values, gaps, i), more).otherwise(0.0)
         ok = _valid(kind, value) if kind in BASE_KINDS else _valid(kind, value) & (total >= LEAST_SCORE)
         return F.when(ok, F.struct((end - F.length(value)).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.round(total, 3).alias("score")))
 
@@ -164,7 +172,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     for kind in KINDS:
         scanned, pattern = _scanned(kind, F.col("text")), F.lit(_pattern(kind))
         out = out.withColumn(f"{kind}_v", F.when(_possible(kind, F.col("text")), F.regexp_extract_all(scanned, pattern, F.lit(0))))
-        gaps = F.transform(F.split(scanned, _pattern(kind), -1), _gap(CONTEXT_WORDS[kind]))
+        gaps = F.transform(F.split(scanned, _pattern(kind), -1), _gap)
         out = out.withColumn(f"{kind}_g", F.when(F.size(f"{kind}_v") > 0, gaps))
     for rank, kind in enumerate(KINDS):
         v, g = F.col(f"{kind}_v"), F.col(f"{kind}_g")

@@ -186,6 +186,18 @@ def test_pii_query_and_added_spans(spark):
     assert found == {0: [("iban", 1.0), ("ssn", 0.9)], 1: []}
 
 
+def test_context_before_through_and_after(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"cards: {card}, {card} and {card}", f"{card} (credit)", f"{card} " + "x" * 60 + " visa", f"visa {'x' * 60} {card}", card]
+    texts += ["ssn 000-12-3456 ssn 666-12-3456, ssn 912-34-5678, ssn 123-00-4567, ssn 123-45-0000", "SSN 123-45-6789 and 234-56-7890", "123-45-6789 is my tax id"]
+    rows = list(enumerate(texts))
+    out = {r.doc_id: [(s.kind, s.score) for s in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == [("card", 1.0)] * 2 + [("card", 0.8)] and out[1]  # the third is too far away
+    assert out[1] == [("card", 1.0)]
+    assert out[2] == out[3] == out[4] == [("card", 0.8)]
+    assert out[5] == [] and out[6] == [("ssn", 0.9)] * 2 and out[7] == [("ssn", 0.9)]
+
+
 def test_native_operators_run_no_python(spark):
     for df in (pii.op2_pii(spark, SF), chat.op8_chat(spark, SF)):
         plan = df._jdf.queryExecution().toString()
