@@ -40,7 +40,8 @@ N_BEST = 3
 #: Score of a byte-fallback character, below every piece: the least score minus this.
 FALLBACK_LOSS = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-_CACHE = 600_000
+#: Units that a worker holds at most; they take some 250 bytes each.
+_CACHE = 400_000
 #: Blanks become the piece alphabet's space; the literal sign of it gets no piece.
 _TO_PIECES = {ord(" "): SPACE, ord(SPACE): "\uffff"}
 
@@ -175,13 +176,14 @@ class PieceModel:
         best[size] = at[0][0]
         return best, arcs
 
-    def encode_unit(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
+    def encode_unit(self, unit: str, n: int, paths: bool = True) -> list[tuple[float, list[int]]]:
         """The N best segmentations of a unit, best first.
 
         A* runs backwards from the end. With the exact heuristic the cost of a
         state is the best score minus what its arcs so far lose, so a popped
         state is completed along the best arcs at once, and only the arcs that
         leave that path are put on the agenda, if they can be among the N best.
+        Only the first segmentation has its ids if ``paths`` is false.
         """
         best, arcs = self.lattice(unit)
         size = len(best) - 1
@@ -209,7 +211,7 @@ class PieceModel:
                 tail = (piece, start, tail)
                 at = start
             path: list[int] = []
-            while tail:
+            while (paths or not out) and tail:
                 piece, start, tail = tail
                 if piece >= 0:
                     path.append(piece)
@@ -233,7 +235,7 @@ def read_model(path: str) -> bytes:
 class Units(dict):
     """unit -> place in tables of the best ids, its score and the losses of the rest.
 
-    ``others`` holds the ids of the rest, as bytes."""
+    The ids of the rest are not held: few units of a text need them."""
 
     def __init__(self, model: PieceModel, n: int):
         self.model, self.n = model, n
@@ -245,7 +247,6 @@ class Units(dict):
         self.score, self.start, self.size = np.empty(1024), np.empty(1024, dtype=np.int64), np.empty(1024, dtype=np.int64)
         self.losses = np.full((1024, max(1, self.n - 1)), np.inf)
         self.ids = np.empty(8192, dtype="<i4")
-        self.others: list[tuple[bytes, ...]] = []
 
     def _double(self, *names: str) -> None:
         for name in names:
@@ -255,7 +256,7 @@ class Units(dict):
             setattr(self, name, new)
 
     def __missing__(self, unit: str) -> int:
-        found = self.model.encode_unit(unit, self.n)
+        found = self.model.encode_unit(unit, self.n, paths=False)
         score, ids = found[0]
         at = self.count
         if at == len(self.score):
@@ -265,7 +266,6 @@ class Units(dict):
         self.score[at], self.start[at], self.size[at] = score, self.used, len(ids)
         for k, (other, _) in enumerate(found[1:]):
             self.losses[at, k] = score - other
-        self.others.append(tuple(np.array(path, dtype="<i4").tobytes() for _, path in found[1:]))
         self.ids[self.used : self.used + len(ids)] = ids
         self.count, self.used = at + 1, self.used + len(ids)
         if len(unit) <= 64:
@@ -303,7 +303,8 @@ def encode(text: str, units: Units) -> tuple[list[bytes], list[float]]:
         return [b""], [0.0]
     if units.count >= _CACHE:
         units.reset()
-    at = np.array(list(map(units.__getitem__, units.model.atom.findall(units.model.lead + text))))
+    atoms = units.model.atom.findall(units.model.lead + text)
+    at = np.array(list(map(units.__getitem__, atoms)))
     size = units.size[at]
     ends = np.cumsum(size)
     ids = units.ids[np.repeat(units.start[at] - ends + size, size) + np.arange(ends[-1])].tobytes()
@@ -313,7 +314,8 @@ def encode(text: str, units: Units) -> tuple[list[bytes], list[float]]:
         parts, done = [], 0
         for u, k in choices:
             end = 4 * int(ends[u])
-            parts += [ids[done : end - 4 * int(size[u])], units.others[at[u]][k]]
+            other = units.model.encode_unit(atoms[u], units.n)[k + 1][1]
+            parts += [ids[done : end - 4 * int(size[u])], np.array(other, dtype="<i4").tobytes()]
             done = end
         out.append(b"".join([*parts, ids[done:]]) if parts else ids)
         scores.append(best - loss)
@@ -380,16 +382,18 @@ def _round_trip(data: bytes, n_best: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = units_of(data, n_best)
         for b in batches:
-            rows: list[list] = [[] for _ in range(9)]
-            for text in b.column(1).to_pylist():
-                every, scores = encode(text, units)
-                ids = every[0]
-                back = decode(np.frombuffer(ids, dtype="<i4"), units.model)
-                found = (len(text), len(ids) // 4, hashlib.sha256(ids).hexdigest(), scores[0], scores, [hashlib.sha256(x).hexdigest() for x in every[1:]], hashlib.sha256(back.encode("utf-8", "replace")).hexdigest(), back == text, ids)
-                for into, x in zip(rows, found, strict=True):
-                    into.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, t) for x, t in zip(rows, kinds, strict=True)]], ["id", "n_chars", "n_tokens", "ids_sha256", "best_score", "scores", "others_sha256", "decoded_sha256", "exact", "ids"])
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                rows: list[list] = [[] for _ in range(9)]
+                for text in part.column(1).to_pylist():
+                    every, scores = encode(text, units)
+                    ids = every[0]
+                    back = decode(np.frombuffer(ids, dtype="<i4"), units.model)
+                    found = (len(text), len(ids) // 4, hashlib.sha256(ids).hexdigest(), scores[0], scores, [hashlib.sha256(x).hexdigest() for x in every[1:]], hashlib.sha256(back.encode("utf-8", "replace")).hexdigest(), back == text, ids)
+                    for into, x in zip(rows, found, strict=True):
+                        into.append(x)
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, t) for x, t in zip(rows, kinds, strict=True)]], ["id", "n_chars", "n_tokens", "ids_sha256", "best_score", "scores", "others_sha256", "decoded_sha256", "exact", "ids"])
 
     return run
 
