@@ -40,8 +40,8 @@ N_BEST = 3
 #: Score of a byte-fallback character, below every piece: the least score minus this.
 FALLBACK_LOSS = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Units that a worker holds at most; they take some 250 bytes each.
-_CACHE = 400_000
+#: Units that a worker holds at most, of some 250 bytes each; results do not depend on it.
+HELD = 600_000
 #: Blanks become the piece alphabet's space; the literal sign of it gets no piece.
 _TO_PIECES = {ord(" "): SPACE, ord(SPACE): "\uffff"}
 
@@ -237,8 +237,8 @@ class Units(dict):
 
     The ids of the rest are not held: few units of a text need them."""
 
-    def __init__(self, model: PieceModel, n: int):
-        self.model, self.n = model, n
+    def __init__(self, model: PieceModel, n: int, held: int):
+        self.model, self.n, self.held = model, n, held
         self.reset()
 
     def reset(self) -> None:
@@ -293,15 +293,15 @@ def merge_losses(losses: np.ndarray, n: int) -> list[tuple[float, tuple[tuple[in
 
 
 @lru_cache(maxsize=4)
-def units_of(data: bytes, n: int) -> Units:
-    return Units(parse_model(data), n)
+def units_of(data: bytes, n: int, held: int = HELD) -> Units:
+    return Units(parse_model(data), n, held)
 
 
 def encode(text: str, units: Units) -> tuple[list[bytes], list[float]]:
     """(ids as int32 and score of each of the n best segmentations), best first."""
     if not text:
         return [b""], [0.0]
-    if units.count >= _CACHE:
+    if units.count >= units.held:
         units.reset()
     atoms = units.model.atom.findall(units.model.lead + text)
     at = np.array(list(map(units.__getitem__, atoms)))
@@ -376,11 +376,11 @@ def decode_pieces(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", m
     return own.mapInArrow(_decode(read_model(model)), kind).withColumnRenamed("id", id_col)
 
 
-def _round_trip(data: bytes, n_best: int):
+def _round_trip(data: bytes, n_best: int, held: int):
     """Encodes and decodes in one pass: a text crosses to Python once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = units_of(data, n_best)
+        units = units_of(data, n_best, held)
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
@@ -398,16 +398,17 @@ def _round_trip(data: bytes, n_best: int):
     return run
 
 
-def piece_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, n_best: int = N_BEST) -> DataFrame:
+def piece_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, n_best: int = N_BEST, held: int = HELD) -> DataFrame:
     """Encode, decode and digest every row.
 
     ``exact`` tells that decoding gave back the text; ``ids`` are as encoded;
     ``others_sha256`` are the digests of the ids of the next best segmentations.
+    ``held`` bounds the units that a worker holds.
     Edge cases are those of ``encode_pieces``.
     """
     docs = documents_of(df, id_col, text_col)
     fields = [("id", docs.schema["id"].dataType), ("n_chars", T.LongType()), ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("best_score", T.DoubleType()), ("scores", T.ArrayType(T.DoubleType())), ("others_sha256", T.ArrayType(T.StringType())), ("decoded_sha256", T.StringType()), ("exact", T.BooleanType()), ("ids", T.BinaryType())]
-    return docs.mapInArrow(_round_trip(read_model(model), n_best), T.StructType([T.StructField(*f) for f in fields])).withColumnRenamed("id", id_col)
+    return docs.mapInArrow(_round_trip(read_model(model), n_best, held), T.StructType([T.StructField(*f) for f in fields])).withColumnRenamed("id", id_col)
 
 
 def model_path(spark: SparkSession) -> str:
