@@ -25,6 +25,8 @@ from corpusforge.llm.common import checkpoint, row_hash, sized_broadcast, small_
 ORACLE_SQL = None
 #: The mix takes each document once at most, and this share of all tokens.
 MIX_EPOCHS, MIX_SHARE = 1, 0.9
+#: Units that the encoder holds: executors still hold what earlier stages left.
+HELD = 400_000
 
 
 def _among(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
@@ -96,7 +98,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     One row per document, repeated ones too; null and empty texts have no ids.
     """
     small_batches(spark)
-    return pieces.piece_digests(docs, model=pieces.model_path(spark))
+    return pieces.piece_digests(docs, model=pieces.model_path(spark), held=HELD)
 
 
 STAGES = [
