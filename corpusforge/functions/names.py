@@ -47,8 +47,10 @@ def extension(name: Column) -> Column:
 
 
 def stem(path: Column) -> Column:
-    """The last part of a path without its last extension."""
-    return F.regexp_replace(basename(path), r"(?<=.)\.[^.]*\z", "")
+    """The last part of a path without its last extension.
+
+    ".md" is all extension, so its stem is empty; "doc." has none and stays."""
+    return F.regexp_replace(basename(path), r"\.[^./]+\z", "")
 
 
 def catalog_name(name: Column) -> Column:

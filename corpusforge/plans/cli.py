@@ -1,4 +1,10 @@
-"""Command line: plan (and, if asked, carry out) the clean-up of a folder."""
+"""Command line: plan (and, if asked, carry out) the clean-up of a folder.
+
+Carried out, it goes in rounds, each planned on what the one before left:
+archives are unpacked and their packages go; junk goes and volume sets inside are
+unpacked; then unpacked and given folders are flattened, pruned and renamed. An
+archive that could not be unpacked stays as it is.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +12,43 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from ..sources.config import load_config, validate_target
+from ..operators.targets import ORGANIZE
+from ..operators.tree import volume_sets
+from ..sources.config import OrganizeConfig, load_config, validate_target
 from ..sources.listing import list_tree
-from .commit import commit
-from .organize import plan_extractions, plan_organize, plan_targets
+from .commit import Done, commit
+from .organize import plan_dirty, plan_extractions, plan_organize, plan_targets, plan_volumes
+from .unpack import extractor
+
+
+def _entries(spark: SparkSession, roots: list[str]):
+    return list_tree(spark, *roots).select("root", "dir", "name", "kind")
+
+
+def organize(spark: SparkSession, base: str, config: OrganizeConfig, apply: bool = False) -> list[Done]:
+    """Everything that is to be done in a folder, done if ``apply`` is true."""
+    targets = plan_targets(spark, list_tree(spark, base), config, base)
+    # The targets are names of one folder; the rounds below are planned by name.
+    found = targets.collect()
+    folders = [r.full_path for r in found if r.phase == ORGANIZE]
+    unpack = extractor(config)
+    out = commit(plan_extractions(targets, config), base, not apply, unpack)
+    unpacked = [d.dst for d in out if d.op == "extract" and d.status == "done"]
+    sets: dict[str, str] = {}
+    if unpacked:
+        out += commit(plan_dirty(spark, _entries(spark, unpacked), config), base, False)
+        files = _entries(spark, unpacked).where("kind = 'file'").select("root", "dir", "name")
+        sets = {r.root: r.base for r in volume_sets(files).select("root", "base").collect()}
+        volumes = commit(plan_volumes(files, config), base, False, unpack)
+        out += volumes
+        # A set that could not be unpacked leaves its folder for another run.
+        failed = {r for r in sets for d in volumes if d.op == "extract" and d.status != "done" and d.src.startswith(f"{r}/")}
+        unpacked = [r for r in unpacked if r not in failed]
+    if folders or unpacked:
+        came = spark.createDataFrame([(r, sets.get(r)) for r in unpacked], "root string, base string") if unpacked else None
+        out += commit(plan_organize(spark, _entries(spark, folders + unpacked), config, came), base, not apply)
+    return out
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -26,13 +63,7 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     config = load_config(base)
     spark = SparkSession.builder.getOrCreate()
-    entries = list_tree(spark, str(base))
-    targets = plan_targets(spark, entries, config, str(base))
-    folders = [r.full_path for r in targets.where("phase = 'organize'").collect()]
-    plan = plan_extractions(targets, config)
-    if folders:
-        plan = plan.unionByName(plan_organize(spark, list_tree(spark, *folders).select("root", F.col("dir"), "name", "kind"), config))
-    for done in commit(plan, base, dry_run=not args.apply):
+    for done in organize(spark, str(base), config, args.apply):
         print(done.status, done.op, done.src, *([done.dst] if done.dst else []), *([done.error] if done.error else []))
     return 0
 

@@ -47,6 +47,13 @@ def plan_extractions(targets: DataFrame, config: OrganizeConfig) -> DataFrame:
     return out.unionByName(_actions(rows, 1, "delete", F.col("full_path"), F.lit(None), "package")) if config.delete_packages else out
 
 
+def plan_dirty(spark: SparkSession, entries: DataFrame, config: OrganizeConfig) -> DataFrame:
+    """Junk in folders, wherever it lies."""
+    names = spark.createDataFrame([(n,) for n in config.dirty_files], "name string")
+    dirty = dirty_files(entries.where("kind = 'file'").select("root", "dir", "name"), names)
+    return _actions(dirty, 5, "delete", _path(), F.lit(None), "junk")
+
+
 def plan_volumes(files: DataFrame, config: OrganizeConfig) -> DataFrame:
     """Second round, over unpacked folders: what multi-volume sets need."""
     sets = volume_sets(files)

@@ -25,7 +25,7 @@ FILES = """SELECT doc_id, root || '/' || dir || '/' || base || '.' || ext AS pat
   CAST(doc_id % 30 AS STRING) || '.' || source AS dir,
   CASE WHEN doc_id % 11 = 0 THEN '~$' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN '（指向）' ELSE '' END || 'doc' || CAST(doc_id AS STRING) AS base,
   CASE doc_id % 3 WHEN 0 THEN 'txt' WHEN 1 THEN 'docx' ELSE 'doc' END AS ext FROM documents) q"""
-MD = """SELECT doc_id, 'docs/docx/manual/' || CAST(doc_id % 30 AS STRING) || '.' || source || '/doc' || CAST(doc_id AS STRING) || '.md' AS path,
+MD = """SELECT doc_id, 'docs/docx/manual/' || CAST(doc_id % 30 AS STRING) || '.' || source || '/' || CASE doc_id % 17 WHEN 0 THEN '.md' WHEN 1 THEN 'doc.' ELSE 'doc' || CAST(doc_id AS STRING) || '.md' END AS path,
  CASE WHEN doc_id % 7 = 0 THEN '# 标题' || chr(10) || chr(10) ELSE '' END
  || CASE WHEN doc_id % 4 = 0 THEN '### 概述' ELSE '## 概述' END || chr(10) || chr(10)
  || '### ' || lang || ' ' || source || chr(10) || '#### 小节' || chr(10) || coalesce(text, '') || chr(10)
@@ -42,10 +42,13 @@ ENTRIES = f"""SELECT * FROM (SELECT p_partkey AS number, CASE p_partkey % 6 WHEN
  UNION ALL SELECT p_partkey, {_PAD} || '.7z', 'file' FROM part WHERE p_partkey % 12 = 2) q"""
 TREE = """SELECT DISTINCT l_orderkey AS root, CASE WHEN l_linenumber = 1 THEN '' WHEN l_linenumber % 2 = 0 THEN '/a' WHEN l_linenumber % 5 = 0 THEN '/a/b.zip' ELSE '/a/c' END AS dir,
  CASE WHEN l_returnflag = 'R' THEN 'set.7z.00' || CAST(l_linenumber AS STRING) WHEN l_linenumber = 4 THEN 'junk.url' ELSE 'img' || CAST(l_linenumber % 3 AS STRING) || '.jpg' END AS name FROM lineitem"""
+#: Trees with files named like numbered ones.
+TAKEN = """SELECT DISTINCT l_orderkey AS root, CASE WHEN l_linenumber = 1 THEN '' WHEN l_linenumber % 2 = 0 THEN '/a' ELSE '/a/c' || CAST(l_linenumber AS STRING) END AS dir,
+ CASE WHEN l_linenumber = 1 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'img0-1.jpg' ELSE 'img0.jpg' END ELSE 'img' || CAST(l_linenumber % 2 AS STRING) || '.jpg' END AS name FROM lineitem"""
 IMAGES = """SELECT l_orderkey AS doc_id, 'Doc: ' || CAST(l_orderkey AS STRING) || '/v?.' AS doc_name, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS pos,
  CASE l_returnflag WHEN 'A' THEN 'image/png' WHEN 'N' THEN 'image/jpeg' ELSE CASE WHEN l_linenumber % 3 = 0 THEN 'image/x-emf' WHEN l_linenumber % 3 = 1 THEN 'bmp' ELSE 'image/tiff' END END AS content_type,
  CASE WHEN l_linestatus = 'O' AND l_linenumber % 4 = 0 THEN 4 ELSE 400 END AS b64_len FROM lineitem"""
-_SOURCES = {"files": (FILES, "documents"), "md": (MD, "documents"), "entries": (ENTRIES, "part"), "tree": (TREE, "lineitem"), "images": (IMAGES, "lineitem")}
+_SOURCES = {"taken": (TAKEN, "lineitem"), "files": (FILES, "documents"), "md": (MD, "documents"), "entries": (ENTRIES, "part"), "tree": (TREE, "lineitem"), "images": (IMAGES, "lineitem")}
 IGNORED = "corpus/node_modules"
 IGNORED_DIRTY = ["junk"]
 
@@ -67,7 +70,8 @@ ORACLES: dict[str, str] = {}
 
 
 def _with(*names: str, **more: str) -> str:
-    parts = [f"fx_{n} AS ({_SOURCES[n][0]})" for n in names] + [f"{k} AS ({v})" for k, v in more.items()]
+    # Worked out once: a view that is read in a subquery is else made for each look.
+    parts = [f"fx_{n} AS MATERIALIZED ({_SOURCES[n][0]})" for n in names] + [f"{k} AS MATERIALIZED ({v})" if k == "sets" else f"{k} AS ({v})" for k, v in more.items()]
     return "WITH RECURSIVE " + ", ".join(parts) + " "
 
 
@@ -93,7 +97,7 @@ def txt_md(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _H1_SQL = f"regexp_matches(content, '(?m)^#{WS_RE2}+[^#\\n]+$')"
-_STEM_SQL = r"regexp_extract(path, '([^/]*?)(\.[^./]*)?$', 1)"
+_STEM_SQL = r"regexp_extract(path, '([^/]*?)(\.[^./]+)?$', 1)"
 _TAGS_SQL = "[" + ", ".join(f"'{t}'" for t in HTML_TAGS) + "]"
 _WORD = "[`A-Za-z0-9_]"
 #: Cleaner -> SQL of its result; ``content`` and ``path`` are columns.
@@ -266,12 +270,14 @@ _TARGETS = """SELECT number, CASE WHEN rank <= 6 THEN 'decompress' ELSE 'organiz
             WHEN kind = 'file' AND e.name = w.bare || '.7z' THEN 5 WHEN kind = 'file' AND e.name = w.full_ || '.7z' THEN 6
             WHEN kind = 'dir' AND e.name = w.bare THEN 7 WHEN kind = 'dir' AND e.name = w.full_ THEN 8
             WHEN kind = 'dir' AND NOT contains(e.name, 'NO.') THEN 9 END AS rank
-        FROM (SELECT i AS number, CAST(i AS STRING) AS bare, printf('%03d', i) AS full_ FROM range(1, 1501) t(i)) w
+        FROM (SELECT i AS number, CAST(i AS STRING) AS bare, printf('%03d', i) AS full_ FROM (SELECT unnest(range(min(number), max(number) + 1)) AS i FROM fx_entries)) w
         JOIN fx_entries e ON regexp_extract(e.name, '^[0-9]*') IN (w.bare, w.full_)) WHERE rank IS NOT NULL) WHERE rn = 1"""
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets.detect_targets(targets.number_range(spark, 1, 1500), view(spark, sf_dir, "entries"), "/base")
+    entries = view(spark, sf_dir, "entries")
+    ends = entries.agg(F.min("number").alias("a"), F.max("number").alias("z")).first()
+    return targets.detect_targets(targets.number_range(spark, ends.a, ends.z), entries, "/base")
 
 
 query("q_range_targets", _with("entries") + _TARGETS)(_targets)
@@ -311,6 +317,15 @@ def q_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.unique_names_exact(view(spark, sf_dir, "tree"))
 
 
+_TAKEN = f"""SELECT root, dir, name, CASE WHEN n = 0 THEN name ELSE {_SUFFIX.format(1)} || '-' || CAST(n + CASE WHEN name = 'img0.jpg' AND numbered THEN 1 ELSE 0 END AS STRING) || {_SUFFIX.format(2)} END AS dest
+    FROM (SELECT *, row_number() OVER (PARTITION BY root, name ORDER BY dir <> '', dir) - 1 AS n, bool_or(name = 'img0-1.jpg') OVER (PARTITION BY root) AS numbered FROM fx_taken)"""
+
+
+@query("q_unique_names_taken", _with("taken") + _TAKEN)
+def q_unique_names_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.unique_names_exact(view(spark, sf_dir, "taken"))
+
+
 @query("q_flatten_moves", _with("tree") + f"SELECT * FROM ({_UNIQUE.format(where='WHERE NOT ' + _ARCHIVE.format('name') + chr(32) + 'OR dir = ' + repr(''))}) WHERE dir <> ''")
 def q_flatten_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.flatten_moves(view(spark, sf_dir, "tree"))

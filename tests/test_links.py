@@ -27,7 +27,6 @@ def test_banned_letters_and_no_links(spark):
 def test_catalog(spark):
     rows = A.catalog_rows(spark.createDataFrame([("d", "b.docx"), ("d", "（指向）a.txt"), ("e", "c.doc")], "dir string, file string"))
     assert {r.dir: r.names for r in A.catalog(rows).collect()} == {"d": ["b", "（指向）a"], "e": ["c"]}
-    assert A.as_map(rows).first()["index"] == {"d": ["b", "（指向）a"], "e": ["c"]}
     assert [tuple(r) for r in A.pointing_rows(rows).collect()] == [("d", "a")]
     ignored = spark.createDataFrame([("x/a",), ("x/b",), ("y/~$c",), ("x2/a",)], "path string")
     assert {r.path for r in A.ignore_filter(ignored, ["x"]).collect()} == {"x2/a"}

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusforge.plans import build as B
+from corpusforge.plans import cli
+from corpusforge.plans import unpack as U
 from corpusforge.plans.commit import commit
 from corpusforge.plans.organize import plan_extractions, plan_organize, plan_targets, plan_volumes
 from corpusforge.sources import listing
@@ -153,3 +155,64 @@ def test_stream_equals_batch(spark, tmp_path):
     query = write_stream(clean_stream(document_stream(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(60)
     assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(clean_stream(docs).collect())
+
+
+def zipped(members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in members.items():
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+ROW = "root string, seq int, op string, src string, dst string, reason string"
+
+
+def test_an_extraction_that_is_not_done_keeps_its_archive(spark, tmp_path):
+    def broken(src, dst):
+        raise {"a": TimeoutError, "b": RuntimeError, "c": OSError}[src.stem]("no")
+
+    for name in "abc":
+        (tmp_path / f"{name}.zip").write_bytes(b"x")
+    plan = spark.createDataFrame([(str(tmp_path / n), k, op, str(tmp_path / f"{n}.zip"), str(tmp_path / n) if op == "extract" else None, "x") for n in "abcd" for k, op in enumerate(("extract", "delete"))], ROW)
+    for extractor in (None, broken):
+        done = commit(plan, tmp_path, dry_run=False, extractor=extractor)
+        assert [d.status for d in done if d.op == "delete"] == ["skipped"] * 4 and "done" not in {d.status for d in done}
+        assert sorted(p.name for p in tmp_path.iterdir()) == ["a.zip", "b.zip", "c.zip"]
+
+
+def test_command_line_unpacks_flattens_and_renames(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "221.zip").write_bytes(zipped({"x/01.jpg": b"1", "x/y/01.jpg": b"2", "junk.url": b"j"}))
+    (tmp_path / "222.7z").write_bytes(b"no archive")
+    (tmp_path / "223.zip").write_bytes(b"broken")
+    (tmp_path / "224.zip").write_bytes(zipped({"deep/set.7z.001": b"a", "deep/set.7z.002": b"b", "deep/other.txt": b"c"}))
+    monkeypatch.setattr(U, "_program", lambda: None)
+    assert cli.main([str(tmp_path)]) == 0 and "done" not in capsys.readouterr().out
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["221.zip", "222.7z", "223.zip", "224.zip"]
+    assert cli.main([str(tmp_path), "--apply"]) == 0
+    shown = capsys.readouterr().out
+    assert "failed extract" in shown and "no reader for .7z" in shown
+    left = {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()}
+    # 222 and 223 could not be unpacked and stay; the volume set of 224 has no reader, so its volumes stay.
+    assert left == {"221/01.jpg", "221/01-1.jpg", "222.7z", "223.zip", "224/deep/set.7z.001", "224/deep/set.7z.002"}
+
+    def volumes(src, into, password):
+        return ["/bin/cp", str(src), str(into / "big.jpg")]
+
+    monkeypatch.setattr(U, "_command", lambda src, into, password: volumes(src, into, password) if src.suffix == ".001" else [U.sys.executable, "-m", U.__name__, str(src), str(into)])
+    (tmp_path / "224.zip").write_bytes(zipped({"deep/set.7z.001": b"a", "deep/set.7z.002": b"b"}))
+    for name in ("222.7z", "223.zip"):
+        (tmp_path / name).unlink()
+    assert cli.main([str(tmp_path), "--apply"]) == 0
+    left = {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()}
+    assert {"set/big.jpg"} <= left and not any("7z" in x or x.endswith(".zip") for x in left)
+
+
+def test_time_limit_and_paths(tmp_path, monkeypatch):
+    (tmp_path / "a.zip").write_bytes(zipped({"../out.txt": b"x"}))
+    with pytest.raises(RuntimeError, match="outside"):
+        U.extractor(OrganizeConfig())(tmp_path / "a.zip", tmp_path / "a")
+    monkeypatch.setattr(U, "_command", lambda *a: ["/bin/sleep", "30"])
+    with pytest.raises(TimeoutError):
+        U.extractor(OrganizeConfig(timeout=0.2))(tmp_path / "a.zip", tmp_path / "a")
+    assert [p.name for p in tmp_path.iterdir()] == ["a.zip"]
