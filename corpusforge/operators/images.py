@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import image_file, image_name, image_status, image_type, safe_name
 
-#: Stands for an image that cannot be shown.
+#: Stands for an image that cannot be shown; callers give the address of their own.
 PLACEHOLDER = "./images/placeholder.png"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.jstext import WS_INNER, trim
 from ..functions.names import POINTING
 
+#: The pattern of a mention and the address of the manual.
 #: A directory word has none of the letters p, n, g and no dot: the original
 #: pattern lists them in a character class.
 _DIR = rf"[^>.png{WS_INNER}]+"
@@ -40,23 +41,26 @@ def extract_links(docs: DataFrame, pointing: DataFrame, keys: tuple[str, ...] =
     return joined.select(*keys, "seq", "dir", "name", "pointing", target.alias("target"))
 
 
-def rewrite_links(docs: DataFrame, pointing: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+def rewrite_links(docs: DataFrame, pointing: DataFrame, content: str = "content") -> DataFrame:
     """``docs`` with every mention in ``content`` turned into a link.
 
     The pieces of a text are put together by position, so a mention that is a
-    part of another is never replaced inside it. The index is attached to a
-    document only for the directories it mentions: mentions are grouped by
-    document and joined back, no map of the whole index is built.
+    part of another is never replaced inside it. The texts are read once: a row
+    per mention is joined with the index by (dir, name), only the first row of a
+    document carries its columns, and the rows of a document meet again by a
+    number that is given to it on the way. Nothing needs a unique key.
     """
-    held = docs.select(F.col(key).alias("__k"), F.posexplode(links_of(F.col(content))).alias("seq", "link")).select("__k", "seq", F.col("link.dir").alias("dir"), trim(F.col("link.name")).alias("key"))
-    known = pointing.select("dir", F.col("name").alias("key")).distinct()
-    hits = held.join(known, ["dir", "key"], "left_semi").groupBy("__k").agg(F.collect_set("seq").alias("__hits"))
-    joined = docs.join(hits, docs[key].eqNullSafe(F.col("__k")), "left").drop("__k")
-    c = F.col(content)
-    rendered = F.transform(links_of(c), lambda l, i: render(l["dir"], l["name"], F.coalesce(F.array_contains("__hits", i), F.lit(False))))
+    rows = docs.withColumn("__links", links_of(F.col(content))).select(F.monotonically_increasing_id().alias("__row"), F.struct("__links", *[f"`{x}`" for x in docs.columns]).alias("__doc"))
+    each = rows.select("__row", "__doc", F.posexplode_outer("__doc.__links").alias("__seq", "__link"))
+    each = each.select("__row", F.when(F.coalesce("__seq", F.lit(0)) == 0, F.col("__doc")).alias("__doc"), "__seq", F.col("__link.dir").alias("dir"), trim(F.col("__link.name")).alias("key"))
+    known = pointing.select("dir", F.col("name").alias("key")).distinct().withColumn("__hit", F.lit(True))
+    found = each.join(known, ["dir", "key"], "left").groupBy("__row").agg(F.first("__doc", ignorenulls=True).alias("__doc"), F.collect_set(F.when(F.col("__hit"), F.col("__seq"))).alias("__hits"))
+    c = F.col(f"__doc.{content}")
+    rendered = F.transform("__doc.__links", lambda l, i: render(l["dir"], l["name"], F.array_contains("__hits", i)))
     gaps = F.split(c, LINK, -1)
     text = F.array_join(F.flatten(F.zip_with(gaps, rendered, lambda g, r: F.array(g, F.coalesce(r, F.lit(""))))), "")
-    return joined.withColumn(content, F.when(F.size(gaps) > 1, text).otherwise(c)).drop("__hits")
+    whole = F.when(F.size("__doc.__links") > 0, text).otherwise(c)
+    return found.select(*[(whole if x == content else F.col(f"__doc.`{x}`")).alias(x) for x in docs.columns])
 
 
 def dangling_links(links: DataFrame, names: DataFrame) -> DataFrame:

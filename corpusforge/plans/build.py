@@ -95,21 +95,32 @@ def collisions(documents: DataFrame) -> DataFrame:
     return documents.groupBy("path").agg(F.count_distinct("source").alias("n")).where("n > 1")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder's path as listings show it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
 def build(spark: SparkSession, source: str, target: str, manual: str, config: BuildConfig | None = None) -> Built:
     """Build the corpus below ``source``; ``manual`` is the folder of the catalog.
 
-    ``source`` and the paths in the configuration are as Spark lists files.
+    ``source`` is one folder, no pattern; the paths in the configuration are as
+    Spark lists files.
     """
     config = config or BuildConfig()
-    listed = ignore_filter(scan(spark, source), list(config.ignored_folders), list(config.ignored_files)).select("path")
-    base = listed.select(F.min("path")).first()[0] or source
-    base = base[: base.find(source.split(":", 1)[-1].rstrip("/")) + len(source.split(":", 1)[-1].rstrip("/"))]
+    base = qualified(spark, source)
+
+    def ours(files: DataFrame) -> DataFrame:
+        """By path alone, so contents of ignored files are not read."""
+        return ignore_filter(files, list(config.ignored_folders), list(config.ignored_files))
+
+    listed = ours(scan(spark, source)).select("path")
     rows = catalog_rows(catalog_files(scan(spark, source), manual)) if not config.skip_data_preparation else spark.createDataFrame([], EMPTY_INDEX)
     errors = spark.createDataFrame([], "path string, stage string, error string")
     if config.skip_transform:
         return Built(spark.createDataFrame([], "path string, content string"), None, errors)
-    texts = text_documents(read_texts(spark, source).join(listed, "path", "left_semi"), base, target)
-    office, images, bad = office_documents(read_binaries(spark, source, "*.{doc,docx}").join(listed, "path", "left_semi"), base, target)
+    texts = text_documents(ours(read_texts(spark, source)), base, target)
+    office, images, bad = office_documents(ours(read_binaries(spark, source, "*.{doc,docx}")), base, target)
     wanted = listed.where(F.col("path").rlike(r"\.(txt|doc|docx)\z")).select(target_path(F.col("path"), base, target).alias("path"), F.col("path").alias("source"))
     wanted = wanted.join(bad.select(F.col("path").alias("source")), "source", "left_anti")
     documents = last_writer(texts.unionByName(office), wanted)

@@ -180,7 +180,7 @@ def _rewrite_sql(src: str) -> str:
 
 @query("q_link_rewrite", _with("files", "md", **_LINK_CTES) + _rewrite_sql("fx_md"))
 def q_link_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.rewrite_links(view(spark, sf_dir, "md"), catalog.pointing_rows(_rows(spark, sf_dir)), key="doc_id").select("doc_id", "content")
+    return links.rewrite_links(view(spark, sf_dir, "md"), catalog.pointing_rows(_rows(spark, sf_dir))).select("doc_id", "content")
 
 
 @query("q_dangling_links", _with("files", "md", **_LINK_CTES) + "SELECT doc_id, CAST(seq AS INT) AS seq, dir, name FROM resolved r WHERE NOT EXISTS (SELECT 1 FROM cat c WHERE c.dir = r.dir AND c.name = CASE WHEN r.pointing THEN '（指向）' ELSE '' END || r.name)")

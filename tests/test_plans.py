@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusforge.plans import build as B
 from corpusforge.plans import cli
 from corpusforge.plans import unpack as U
+from corpusforge.plans import write
 from corpusforge.plans.commit import commit
 from corpusforge.plans.organize import plan_extractions, plan_organize, plan_targets, plan_volumes
 from corpusforge.sources import listing
@@ -216,3 +217,32 @@ def test_time_limit_and_paths(tmp_path, monkeypatch):
     with pytest.raises(TimeoutError):
         U.extractor(OrganizeConfig(timeout=0.2))(tmp_path / "a.zip", tmp_path / "a")
     assert [p.name for p in tmp_path.iterdir()] == ["a.zip"]
+
+
+def test_build_and_write(spark, tmp_path, capsys):
+    base, out = tmp_path / "corpus", tmp_path / "out"
+    picture = docx(PARAGRAPH + PICTURE.format("i1"), {"i1.png": b"x" * 40})
+    for path, data in {"1.a/x.txt": b"hello", "1.a/corpus.docx": picture, "1.a/old.doc": b"old", "skip/z.txt": b"z"}.items():
+        (base / path).parent.mkdir(parents=True, exist_ok=True)
+        (base / path).write_bytes(data)
+    (out / "docs").mkdir(parents=True)
+    (out / "docs/stale.md").write_text("gone")
+    assert write.main([str(base), str(out), "--ignore", f"file:{base}/skip"]) == 0
+    assert capsys.readouterr().out == "docx 1\n"
+    files = {str(p.relative_to(out)): p.read_bytes() for p in out.rglob("*") if p.is_file() and not p.name.startswith(".")}
+    assert set(files) == {"docs/1.a/x.md", "docs/1.a/corpus.md", "docs/images/corpus/corpus-001.png"}
+    assert files["docs/1.a/x.md"].decode().startswith("# x") and files["docs/images/corpus/corpus-001.png"] == b"x" * 40
+    bad = write.write_files(spark.createDataFrame([("../a", b"x"), ("b", None)], "path string, data binary"), str(out)).collect()
+    assert [(r.path, bool(r.error)) for r in bad] == [("../a", True), ("b", False)] and (out / "b").read_bytes() == b""
+
+
+def test_links_in_documents_without_a_key(spark):
+    from corpusforge.operators.links import rewrite_links
+
+    docs = spark.createDataFrame([("p", "1.a > X.docx", None), ("p", "1.a > X.docx 1.a > Y.docx", 2), (None, None, 3), ("q", "none", 4)], "path string, content string, `odd.name` int")
+    known = spark.createDataFrame([("1.a", "X"), ("1.a", "X")], "dir string, name string")
+    out = rewrite_links(docs, known)
+    assert out.columns == docs.columns and out.count() == 4
+    got = {r["odd.name"]: r.content for r in out.collect()}
+    assert got[None] == "[`1.a > X.docx`](/docx/插件详细手册/1.a/（指向）X.md)" and got[2] == got[None] + " [`1.a > Y.docx`](/docx/插件详细手册/1.a/Y.md)"
+    assert got[3] is None and got[4] == "none"
