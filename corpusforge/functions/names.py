@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from .jstext import WS_INNER, padded
 
+#: What names count as archives, volumes and pointing documents.
 ARCHIVE = r"(?i).\.(?:gz|zip|7z)\z|\.7z\.[0-9]+\z"
 VOLUME = r"\.7z\.[0-9]+\z"
 NAME = r"(?s)\A(.+?)(\.[^.]*)?\z"
 POINTING = "（指向）"
-#: Image types that no browser shows.
+#: Image types that no browser shows, and the least length of a picture.
 UNSUPPORTED = ("x-emf", "gif", "wmf", "emf")
 LEAST_BASE64 = 10
 
@@ -22,15 +23,18 @@ def forward(path: Column) -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    """Slashes forward, doubled ones and ``.`` parts dropped, ``..`` resolved.
-
-    ``..`` is resolved one level at a time, as deep as paths go in practice (8).
-    """
-    out = F.regexp_replace(forward(path), r"/{2,}", "/")
-    out = F.regexp_replace(out, r"(?<=\A|/)\./", "")
-    for _ in range(8):
-        out = F.regexp_replace(out, r"(?<=\A|/)(?!\.\./)[^/]+/\.\.(?:/|\z)", "")
-    return F.regexp_replace(out, r"(?<=.)/\z", "")
+    """Slashes forward, doubled ones and ``.`` parts dropped, ``..`` resolved at
+    any depth; those that lead out of a relative path stay."""
+    full = forward(path)
+    rooted = full.startswith("/")
+
+    def step(kept: Column, part: Column) -> Column:
+        above = F.try_element_at(kept, F.lit(-1))
+        up = F.when(above.isNotNull() & (above != ".."), F.slice(kept, F.lit(1), F.size(kept) - 1)).when(rooted, kept).otherwise(F.concat(kept, F.array(part)))
+        return F.when(part.isin("", "."), kept).when(part == "..", up).otherwise(F.concat(kept, F.array(part)))
+
+    parts = F.aggregate(F.split(full, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(rooted, "/").otherwise(""), F.array_join(parts, "/"))
 
 
 def basename(path: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 _HEADINGS = {f"h{n}": n for n in range(1, 7)}
 _BLOCKS = {"p", "div", "section", "article", "header", "footer", "main", "aside", "nav", "figure", "address", "form", "fieldset", "dl", "dd", "dt"}
 _SILENT = {"script", "style", "template", "noscript", "title", "svg"}
+_PARTS = {"table", "tr", "td", "th", "ul", "ol", "li", "blockquote", "pre", "hr"}
 _MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "del": "~~", "s": "~~"}
 
 
@@ -28,7 +29,8 @@ class _Writer(HTMLParser):
         self.open: list[tuple[str, str]] = []  # inline marks
         self.prefix = ""
         self.quote = 0
-        self.silent = 0
+        self.silent: list[str] = []  # open tags whose text is not shown
+        self.inner = 0  # tables inside a cell
         self.pre = False
         self.link: list[str] = []
         self.table: list[list[str]] | None = None
@@ -56,10 +58,16 @@ class _Writer(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
+        while self.silent and self.silent[-1] in ("svg", "title") and (tag in _BLOCKS or tag in _HEADINGS or tag in _PARTS):
+            self.silent.pop()  # no such tag can stand in them, so they were left open
         if tag in _SILENT:
-            self.silent += 1
+            self.silent.append(tag)
         elif self.silent:
             return
+        elif self.cell and tag == "table":
+            self.inner += 1
+        elif self.cell and (tag in _BLOCKS or tag in _HEADINGS or (tag in _PARTS and (self.inner or tag not in ("tr", "td", "th")))):
+            self.line.append(" ")  # a cell is one line
         elif tag in _HEADINGS:
             self.flush()
             self.prefix = "#" * _HEADINGS[tag] + " "
@@ -107,9 +115,15 @@ class _Writer(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _SILENT:
-            self.silent = max(0, self.silent - 1)
+            if tag in self.silent:
+                del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
         elif self.silent:
             return
+        elif self.inner and tag == "table":
+            self.inner -= 1
+            self.line.append(" ")
+        elif self.cell and (tag in _BLOCKS or tag in _HEADINGS or (tag in _PARTS and (self.inner or tag not in ("tr", "td", "th", "table")))):
+            self.line.append(" ")
         elif tag in ("ul", "ol"):
             self.flush()
             if self.lists:

@@ -246,3 +246,11 @@ def test_links_in_documents_without_a_key(spark):
     got = {r["odd.name"]: r.content for r in out.collect()}
     assert got[None] == "[`1.a > X.docx`](/docx/插件详细手册/1.a/（指向）X.md)" and got[2] == got[None] + " [`1.a > Y.docx`](/docx/插件详细手册/1.a/Y.md)"
     assert got[3] is None and got[4] == "none"
+
+
+def test_blocks_in_cells_and_open_tags():
+    assert html_to_markdown("<table><tr><td><p>x</p><p>y</p></td><td><ul><li>a<li>b</ul></td></tr><tr><td><h3>h</h3></td><td>z</td></tr></table>") == "| x y | a b |\n| --- | --- |\n| h | z |\n"
+    assert html_to_markdown("<table><tr><td>a<table><tr><td>i<td>j</table></td><td>b</td></tr></table><p>after") == "| a i j | b |\n| --- | --- |\n\nafter\n"
+    assert html_to_markdown("<p>a</p><svg><path><p>b</p>") == "a\n\nb\n"
+    assert html_to_markdown("<title>t<h1>x</h1><noscript><p>n</p></noscript><p>y") == "# x\n\ny\n"
+    assert html_to_markdown("<svg><title>t</title></svg>z") == "z\n"
