@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import catalog_name, is_lock_file, is_pointing, strip_pointing, under
@@ -14,13 +14,9 @@ def ignore_filter(files: DataFrame, folders: list[str] | None = None, ignored: l
     A short list of ignored files is folded into the scan's filter; a DataFrame
     (column ``path``) is an anti join, whatever its size.
     """
-    p = F.col(path)
-    for folder in folders or []:
-        files = files.where(~under(p, folder))
-    files = files.where(~is_lock_file(p))
     if isinstance(ignored, DataFrame):
-        return files.join(ignored.select(F.col("path").alias(path)), path, "left_anti")
-    return files.where(~p.isin(*ignored)) if ignored else files
+        return files.where(ignore_test(F.col(path), folders)).join(ignored.select(F.col("path").alias(path)), path, "left_anti")
+    return files.where(ignore_test(F.col(path), folders, ignored))
 
 
 def catalog_rows(names: DataFrame) -> DataFrame:
@@ -43,3 +39,15 @@ def catalog_counts(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_distinct("dir").alias("n_dirs"), F.count(F.lit(1)).alias("n_names"), F.count_distinct(F.when(mark, F.col("dir"))).alias("n_pointing_dirs"), F.count_if(mark).alias("n_pointing"))
 
 
+def ignore_test(path: Column, folders: list[str] | None = None, ignored: list[str] | None = None) -> Column:
+    """True for files that the ignore rules keep."""
+    keep = ~is_lock_file(path)
+    for folder in folders or []:
+        keep = keep & ~under(path, folder)
+    return keep & ~path.isin(*ignored) if ignored else keep
+
+
+def file_counts(files: DataFrame, folders: list[str] | None = None, ignored: list[str] | None = None, path: str = "path") -> DataFrame:
+    """One row: n_found files, n_ignored of them by the ignore rules, n_kept."""
+    keep = ignore_test(F.col(path), folders, ignored)
+    return files.agg(F.count(F.lit(1)).alias("n_found"), F.count_if(~keep).alias("n_ignored"), F.count_if(keep).alias("n_kept"))

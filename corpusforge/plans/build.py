@@ -7,6 +7,7 @@ its status; ``errors`` splits failed ones off, and a failure never ends a run.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,7 +127,12 @@ def build(spark: SparkSession, source: str, target: str, manual: str, config: Bu
     documents = last_writer(texts.unionByName(office), wanted)
     if not config.skip_clean:
         documents = clean_documents(documents, pointing_rows(rows))
-    return Built(documents, images, errors.unionByName(bad))
+    return Built(documents, images, all_errors([errors, bad]))
+
+
+def all_errors(parts: list[DataFrame]) -> DataFrame:
+    """The error tables of several stages as one: path, stage, error."""
+    return reduce(DataFrame.unionByName, [p.select("path", "stage", "error") for p in parts])
 
 
 def report(built: Built) -> DataFrame:

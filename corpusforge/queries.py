@@ -17,7 +17,11 @@ from .functions import cleaners as C
 from .functions import names as N
 from .functions.jstext import HTML_TAGS, WS_INNER_RE2, WS_RE2
 from .operators import catalog, images, links, targets, tree
-from .plans.build import clean_documents
+from .plans.build import Built, all_errors, clean_documents, collisions, office_documents, overwritten, report
+from .plans.organize import plan_dirty, plan_extractions, plan_organize, plan_targets, plan_volumes
+from .sources import listing
+from .sources.config import OrganizeConfig
+from .sources.docx import docx_to_html
 from .sources.html import pages_to_markdown
 
 FILES = """SELECT doc_id, root || '/' || dir || '/' || base || '.' || ext AS path, dir, base AS name, base || '.' || ext AS file, ext FROM (
@@ -366,11 +370,208 @@ def q_html_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_to_markdown(_table(spark, sf_dir, "pages"), key="page_id").select("page_id", "content", "error")
 
 
-@query("q_errors", _with("files") + "SELECT path, 'scan' AS stage, 'lock file' AS error FROM fx_files WHERE starts_with(file, '~$') UNION ALL SELECT path, 'docx', 'not a zip file' FROM fx_files WHERE ext = 'doc' UNION ALL SELECT path, 'scan', 'ignored folder' FROM fx_files WHERE starts_with(path, 'corpus/node_modules/')")
+#: Word-processor files of the view that hold no document: an empty archive, or none.
+_OFFICE = "SELECT path, CASE WHEN doc_id % 4 = 0 THEN '\"There is no item named ''word/document.xml'' in the archive\"' ELSE 'File is not a zip file' END AS error, ext FROM fx_files WHERE ext IN ('doc', 'docx') AND NOT starts_with(file, '~$')"
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    empty = F.unhex(F.lit("504B0506" + "00" * 18))
+    files = view(spark, sf_dir, "files").where(F.col("ext").isin("doc", "docx"))
+    return files.select("path", "ext", F.when(F.col("doc_id") % 4 == 0, empty).otherwise(F.lit("old").cast("binary")).alias("content"))
+
+
+@query("q_errors", _with("files", office=_OFFICE) + "SELECT 'docx' AS stage, path, error FROM office")
 def q_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The error tables of several stages, put together."""
-    files = view(spark, sf_dir, "files")
-    path = F.col("path")
-    parts = [(N.is_lock_file(path), "scan", "lock file"), (F.col("ext") == "doc", "docx", "not a zip file"), (N.under(path, IGNORED), "scan", "ignored folder")]
-    rows = [files.where(test).select("path", F.lit(stage).alias("stage"), F.lit(error).alias("error")) for test, stage, error in parts]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    """The errors that the builder's readers give, of two runs put together."""
+    parts = [office_documents(_broken(spark, sf_dir).where(F.col("ext") == ext).drop("ext"), "corpus", "docs")[2] for ext in ("doc", "docx")]
+    return all_errors(parts).select("stage", "path", "error")
+
+
+@query("q_error_report", _with("files", office=_OFFICE) + "SELECT 'docx' AS stage, count(*) AS n FROM office")
+def q_error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(Built(*office_documents(_broken(spark, sf_dir).drop("ext"), "corpus", "docs")))
+
+
+@query("q_file_counts", _with("files") + f"SELECT count(*) AS n_found, count(*) FILTER (NOT k) AS n_ignored, count(*) FILTER (k) AS n_kept FROM (SELECT NOT starts_with(path, '{IGNORED}/') AND NOT starts_with(file, '~$') AND path <> 'corpus/manual/1.src1/doc1.docx' AS k FROM fx_files)")
+def q_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.file_counts(view(spark, sf_dir, "files"), [IGNORED], ["corpus/manual/1.src1/doc1.docx"])
+
+
+@query("q_distinct_matches", _with("md") + rf"""SELECT doc_id, len(m) AS n, array_to_string(list_sort(list_distinct(m)), '|') AS found, coalesce(m[1], '') AS first FROM (SELECT doc_id, regexp_extract_all(content, '@type{WS_RE2}+struct<[^>]*>') AS m FROM fx_md)""")
+def q_distinct_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("content")
+    return view(spark, sf_dir, "md").select("doc_id", C.match_count(c, "structs").alias("n"), F.array_join(F.array_sort(C.distinct_matches(c, "structs")), "|").alias("found"), F.coalesce(F.get(C.first_matches(c, "structs"), F.lit(0)), F.lit("")).alias("first"))
+
+
+@query("q_length_deltas", _with("md") + f"SELECT doc_id, length({STEPS['anchors']}) - length(content) AS anchors_delta, length({STEPS['colon_stars'].replace('content', '(' + STEPS['anchors'] + ')')}) - length({STEPS['anchors']}) AS colon_stars_delta FROM fx_md")
+def q_length_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = C.length_deltas(view(spark, sf_dir, "md"), chain=("anchors", "colon_stars"))
+    return out.select("doc_id", F.col("anchors_delta").cast("long").alias("anchors_delta"), F.col("colon_stars_delta").cast("long").alias("colon_stars_delta"))
+
+
+_UP = "../" * 12
+
+
+@query("q_normal_path", _with("files") + "SELECT doc_id, path AS a, '/' || path AS b, '../' || file AS c FROM fx_files")
+def q_normal_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same path, from forms with backslashes, empty parts, dots and twelve levels up."""
+    down = F.lit("x/" * 12)
+    bent = F.concat(F.lit("./"), down, F.lit(_UP), F.replace(F.col("path"), F.lit("/"), F.lit("\\.\\\\")))
+    return view(spark, sf_dir, "files").select("doc_id", N.normal_path(bent).alias("a"), N.normal_path(F.concat(F.lit("//../"), bent, F.lit("/"))).alias("b"), N.normal_path(F.concat(F.lit("q/../../"), "dir", F.lit("/../"), "file")).alias("c"))
+
+
+@query("q_scan_documents", _with("files") + "SELECT path FROM fx_files WHERE ext IN ('doc', 'docx') AND NOT starts_with(file, '~$')")
+def q_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.documents_among(view(spark, sf_dir, "files")).select("path")
+
+
+@query("q_catalog_files", _with("files") + "SELECT dir, file FROM fx_files WHERE starts_with(path, 'corpus/manual/')")
+def q_catalog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.catalog_files(view(spark, sf_dir, "files").select("path"), "corpus/manual")
+
+
+_LISTED = "SELECT name, kind, name AS path, CAST(1 + number % 3 AS INT) AS depth FROM fx_entries"
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "entries").select("name", "kind", F.col("name").alias("path"), (1 + F.col("number") % 3).cast("int").alias("depth"))
+
+
+@query("q_collect_files", _with("tree") + f"SELECT root, dir, name FROM fx_tree WHERE NOT {_ARCHIVE.format('name')}")
+def q_collect_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = view(spark, sf_dir, "tree").withColumn("kind", F.lit("file"))
+    dirs = tree.directories(entries).select("root", "dir", F.lit("d").alias("name"), F.lit("dir").alias("kind"))
+    return listing.collect_files(entries.unionByName(dirs), exclude_archives=True).select("root", "dir", "name")
+
+
+@query("q_flat_entries", _with("entries", listed=_LISTED) + "SELECT name FROM listed WHERE kind = 'dir' AND depth = 1")
+def q_flat_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.flat(_listed(spark, sf_dir), "dir").select("name")
+
+
+@query("q_existing", _with("entries", listed=_LISTED) + "SELECT CAST(p_partkey AS STRING) || '.gz' AS path FROM part WHERE CAST(p_partkey AS STRING) || '.gz' IN (SELECT path FROM listed WHERE kind = 'file')")
+def q_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = _table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".gz")).alias("path"))
+    return listing.existing(wanted, _listed(spark, sf_dir), "file")
+
+
+@query("q_collisions", _with("files") + r"SELECT target AS path, count(DISTINCT path) AS n FROM (SELECT path, 'docs/' || regexp_replace(file, '[0-9]*\.[^./]*$', '.md') AS target FROM fx_files) GROUP BY 1 HAVING n > 1")
+def q_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions(_same_targets(spark, sf_dir))
+
+
+@query("q_overwritten", _with("files") + r"""SELECT target AS path, path AS source FROM (
+    SELECT path, target, row_number() OVER (PARTITION BY target ORDER BY ext IN ('doc', 'docx') DESC, path DESC) AS r FROM (SELECT path, ext, 'docs/' || regexp_replace(file, '[0-9]*\.[^./]*$', '.md') AS target FROM fx_files)) WHERE r > 1""")
+def q_overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overwritten(_same_targets(spark, sf_dir))
+
+
+def _same_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "files").select(F.concat(F.lit("docs/"), F.regexp_replace("file", r"[0-9]*\.[^./]*$", ".md")).alias("path"), F.col("path").alias("source"))
+
+
+# --- plans -----------------------------------------------------------------------------
+
+_CONFIG = OrganizeConfig(dirty_files=tuple(IGNORED_DIRTY))
+
+
+def _actions_of(plan: DataFrame) -> DataFrame:
+    return plan.select("root", F.col("seq").cast("long").alias("seq"), "op", "src", "dst", "reason")
+
+
+@query("q_plan_targets", _with("entries") + r"SELECT 'decompress' AS phase, '/base/' || name AS full_path, name FROM fx_entries WHERE kind = 'file' AND regexp_matches(name, '^[0-9]+\.(gz|zip|7z)$')")
+def q_plan_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a range every archive is a target."""
+    return plan_targets(spark, view(spark, sf_dir, "entries").withColumn("depth", F.lit(1)), _CONFIG, "/base").select("phase", "full_path", "name")
+
+
+@query("q_plan_extractions", _with("entries", found=_TARGETS) + r"""SELECT '/base/' || regexp_extract(name, '^[0-9]+') AS root, CAST(s AS BIGINT) AS seq, CASE s WHEN 0 THEN 'extract' ELSE 'delete' END AS op, full_path AS src,
+    CASE s WHEN 0 THEN '/base/' || regexp_extract(name, '^[0-9]+') END AS dst, CASE s WHEN 0 THEN 'archive' ELSE 'package' END AS reason FROM found, range(2) t(s) WHERE phase = 'decompress'""")
+def q_plan_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In range mode the targets of a phase are unpacked, then their packages go."""
+    return _actions_of(plan_extractions(_targets(spark, sf_dir), _CONFIG))
+
+
+_AT = "'/t/' || CAST({0}.root AS STRING)"
+
+
+def _rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "tree").select(F.concat(F.lit("/t/"), F.col("root").cast("string")).alias("root"), "dir", "name")
+
+
+@query("q_plan_volumes", _with("tree", sets=_SETS) + f"""SELECT {_AT.format('t')} AS root, CAST(10 AS BIGINT) AS seq, 'delete' AS op, {_AT.format('t')} || t.dir || '/' || t.name AS src, NULL::VARCHAR AS dst, 'not a volume' AS reason
+    FROM fx_tree t JOIN sets s ON s.root = t.root AND s.dir = t.dir WHERE NOT starts_with(t.name, s.base || '.7z.')
+    UNION ALL SELECT {_AT.format('s')}, 11, 'extract', {_AT.format('s')} || dir || '/' || base || '.7z.001', {_AT.format('s')} || dir, 'volumes' FROM sets s
+    UNION ALL SELECT {_AT.format('s')}, 12, 'delete', {_AT.format('s')} || dir || '/' || f, NULL, 'volume' FROM (SELECT root, dir, unnest(string_split(files, ',')) AS f FROM sets) s""")
+def q_plan_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _actions_of(plan_volumes(_rooted(spark, sf_dir), _CONFIG))
+
+
+@query("q_plan_dirty", _with("tree") + f"SELECT {_AT.format('t')} AS root, CAST(5 AS BIGINT) AS seq, 'delete' AS op, {_AT.format('t')} || dir || '/' || name AS src, NULL::VARCHAR AS dst, 'junk' AS reason FROM fx_tree t WHERE name = 'junk' OR {_SUFFIX.format(1)} = 'junk'")
+def q_plan_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _actions_of(plan_dirty(spark, _rooted(spark, sf_dir).withColumn("kind", F.lit("file")), _CONFIG))
+
+
+_WRAPPED = "SELECT number, name, CASE number % 3 WHEN 0 THEN 'x' ELSE name END AS inner_name FROM fx_entries WHERE kind = 'dir'"
+
+
+@query("q_plan_rename", _with("entries", wrapped=_WRAPPED) + """SELECT root, CAST(seq AS BIGINT) AS seq, op, src, dst, reason FROM (
+    SELECT '/t/' || name AS root, 21 AS seq, 'move' AS op, '/t/' || name || '/' || inner_name || '/a.jpg' AS src, '/t/' || name || '/a.jpg' AS dst, 'flatten' AS reason FROM wrapped
+    UNION ALL SELECT '/t/' || name, 22, 'delete', '/t/' || name || '/' || inner_name, NULL, 'empty' FROM wrapped
+    UNION ALL SELECT '/t/' || name, 24, 'rename', '/t/' || name, '/t/' || inner_name, 'detected name' FROM wrapped WHERE name <> inner_name)""")
+def q_plan_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders that hold one folder: its files move up, it goes, its name is taken."""
+    wrapped = view(spark, sf_dir, "entries").where("kind = 'dir'").withColumn("inner", F.when(F.col("number") % 3 == 0, F.lit("x")).otherwise(F.col("name")))
+    root = F.concat(F.lit("/t/"), "name").alias("root")
+    entries = wrapped.select(root, F.lit("").alias("dir"), F.col("inner").alias("name"), F.lit("dir").alias("kind")).unionByName(wrapped.select(root, F.concat(F.lit("/"), "inner").alias("dir"), F.lit("a.jpg").alias("name"), F.lit("file").alias("kind")))
+    return _actions_of(plan_organize(spark, entries, _CONFIG))
+
+
+# --- readers ----------------------------------------------------------------------------
+
+#: Lines of whole texts without what XML cannot hold.
+_PLAIN_SQL = "regexp_replace(coalesce(text, ''), '[^\\n\\x20-\\x7e\\x{00A1}-\\x{D7FF}]', ' ', 'g')"
+
+
+def _docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word-processor file for each text, a paragraph for each line."""
+
+    def run(batches):
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        import pyarrow as pa
+
+        space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        for b in batches:
+            out = []
+            for text in b.column(1).to_pylist():
+                body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in text.split("\n"))
+                file = io.BytesIO()
+                with zipfile.ZipFile(file, "w") as z:
+                    z.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>')
+                out.append(file.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["path", "content"])
+
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\n\x20-\x7e\u00A1-\uD7FF]", " ")
+    texts = _table(spark, sf_dir, "documents").select(F.concat(F.lit("corpus/"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), plain.alias("text"))
+    return texts.mapInArrow(run, "path string, content binary")
+
+
+_PARAGRAPHS = f"list_filter(string_split({_PLAIN_SQL}, chr(10)), lambda x: trim(x) <> '')"
+
+
+@query("q_docx_html", f"SELECT 'corpus/' || CAST(doc_id AS STRING) || '.docx' AS path, array_to_string(list_transform({_PARAGRAPHS}, lambda x: '<p>' || replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>'), '') AS html FROM documents")
+def q_docx_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docx_to_html(_docx_files(spark, sf_dir)).select("path", "html")
+
+
+_PAGE = "'<h2>' || lang || '</h2><p>see <b>' || source || '</b> and <a href=\"u' || doc_id || '\">' || n_chars || '</a></p><ul><li>one<li>two</ul><table><tr><th>a<th>b<tr><td><p>' || lang || '</p><td>x|y</table>'"
+
+
+@query("q_html_blocks", "SELECT doc_id, '## ' || lang || chr(10) || chr(10) || 'see **' || source || '** and [' || n_chars || '](u' || doc_id || ')' || chr(10) || chr(10) || '- one' || chr(10) || '- two' || chr(10) || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || lang || ' | x' || chr(92) || '|y |' || chr(10) AS content FROM documents")
+def q_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings, marks, links, lists and tables to Markdown."""
+    pages = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_PAGE).alias("html"))
+    return pages_to_markdown(pages, key="doc_id").select("doc_id", "content")

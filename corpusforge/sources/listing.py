@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import is_archive
+from ..functions.names import is_archive, is_lock_file
 
 ENTRY = "root string, parent string, path string, dir string, name string, kind string, depth int"
 
@@ -26,10 +26,14 @@ def scan_texts(spark: SparkSession, path: str) -> DataFrame:
     return scan(spark, path, "*.txt")
 
 
+def documents_among(files: DataFrame) -> DataFrame:
+    """Word-processor files of a listing, without lock files."""
+    return files.where(F.col("path").rlike(r"\.docx?\z") & ~is_lock_file(F.col("path")))
+
+
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
     """Word-processor files without lock files."""
-    found = scan(spark, path, "*.{doc,docx}")
-    return found.where(~F.element_at(F.split("path", "/"), -1).startswith("~$"))
+    return documents_among(scan(spark, path, "*.{doc,docx}"))
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
