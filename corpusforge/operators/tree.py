@@ -120,8 +120,12 @@ def pruned_dirs(files: DataFrame, dirs: DataFrame | None = None) -> DataFrame:
     iff a file with another name lies in it, or below it with only directories
     of other names in between; and it stays iff all above it stay as well.
     """
-    dirs = directories(files) if dirs is None else dirs.select("root", F.explode(ancestors(F.col("dir"))).alias("dir")).distinct()
-    plain = files.where(~is_archive(F.col("name"))).select("root", "dir").distinct()
+    # One pass over the files: each directory once, with what it holds.
+    held = files.select("root", "dir", (~is_archive(F.col("name"))).alias("plain"))
+    held = held if dirs is None else held.unionByName(dirs.select("root", "dir", F.lit(False).alias("plain")))
+    held = held.groupBy("root", "dir").agg(F.bool_or("plain").alias("plain"))
+    dirs = held.select("root", F.explode(ancestors(F.col("dir"))).alias("dir")).distinct()
+    plain = held.where("plain")
     # From the file's directory upwards, as far as no archive-named directory is left behind.
     chain = ancestors(F.col("dir"))
     named = F.transform(chain, lambda d: is_archive(last_of(d)))
@@ -146,17 +150,17 @@ def deepest_dirs(entries: DataFrame, roots: DataFrame | None = None) -> DataFram
     sub = per.select("root", F.col("dir").alias("sub"), F.col("n_files").alias("sub_files"))
     per = per.withColumn("sub", F.concat("dir", F.lit("/"), "child")).join(sub, ["root", "sub"], "left")
     step = (F.col("n_dirs") == 1) & ((F.col("n_files") == 0) | (F.coalesce("sub_files", F.lit(0)) > 0))
-    steps = per.where(step).select("root", "dir", "sub", "child", (F.col("n_files") == 0).alias("pure"))
     # Steps of a tree form chains; the one from the root is followed by depth:
     # at depth d exactly one directory is reached, so the step there must start
     # where the one before ended.
-    depth = F.size(ancestors(F.col("dir")))
-    chain = steps.withColumn("depth", depth)
-    path = chain.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("depth", "dir", "sub", "child", "pure"))).alias("s"))
+    depth = F.size(F.split("dir", "/"))
+    steps = F.when(step, F.struct(depth.alias("depth"), "dir", "sub", "child", (F.col("n_files") == 0).alias("pure")))
+    path = per.groupBy("root").agg(F.array_sort(F.collect_list(steps)).alias("s"))
     start = F.struct(F.lit("").alias("dir"), F.lit(None).cast("string").alias("name"))
     end = F.aggregate("s", start, lambda acc, x: F.when(x["dir"] == acc["dir"], F.struct(x["sub"].alias("dir"), F.when(x["pure"], x["child"]).otherwise(F.coalesce(acc["name"], x["child"])).alias("name"))).otherwise(acc))
     found = path.select("root", end.alias("e")).select("root", F.col("e.dir").alias("dir"), F.col("e.name").alias("detected"))
-    roots = entries.select("root").distinct() if roots is None else roots
+    if roots is None:
+        return found
     return roots.join(found, "root", "left").select("root", F.coalesce("dir", F.lit("")).alias("dir"), "detected")
 
 
