@@ -20,6 +20,7 @@ from .operators import catalog, images, links, targets, tree
 from .plans.build import Built, all_errors, clean_documents, collisions, office_documents, overwritten, report
 from .plans.organize import plan_dirty, plan_extractions, plan_organize, plan_targets, plan_volumes
 from .sources import listing
+from .sources.archives import extract
 from .sources.config import OrganizeConfig
 from .sources.docx import docx_to_html
 from .sources.html import pages_to_markdown
@@ -362,6 +363,44 @@ def q_deepest_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.deepest_dirs(entries).select("root", "dir", F.coalesce("detected", F.lit("")).alias("detected"))
 
 
+@query("q_blanks", r"""SELECT doc_id, CASE WHEN c = '' THEN c ELSE c || chr(10) END AS content FROM (
+    SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS c FROM documents)""")
+def q_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", C.normalise_blanks(F.coalesce("text", F.lit(""))).alias("content"))
+
+
+def _zip_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of whole texts, by the rest of the id: zip, gzip, and two that nothing reads."""
+
+    def run(batches):
+        import gzip
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                file = io.BytesIO()
+                if path.endswith(".zip"):
+                    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+                        z.writestr("a/b.txt", text)
+                out.append(file.getvalue() if path.endswith(".zip") else gzip.compress(text.encode()) if path.endswith(".gz") else b"?")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["path", "content"])
+
+    ext = F.element_at(F.array(*map(F.lit, ("zip", "gz", "7z", "tar"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    texts = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInArrow(run, "path string, content binary")
+
+
+@query("q_extract", """SELECT 'd/' || doc_id || '.' || ext AS path, CASE ext WHEN 'zip' THEN 'a/b.txt' WHEN 'gz' THEN doc_id::VARCHAR ELSE '' END AS member, CASE WHEN ext IN ('zip', 'gz') THEN 'ok' ELSE 'unsupported' END AS status,
+    CASE WHEN ext IN ('zip', 'gz') THEN sha256(coalesce(text, '')) ELSE '' END AS sha FROM (SELECT *, ['zip', 'gz', '7z', 'tar'][doc_id % 4 + 1] AS ext FROM documents)""")
+def q_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract(_zip_files(spark, sf_dir))
+    return out.select("path", F.coalesce("member", F.lit("")).alias("member"), "status", F.coalesce(F.sha2("content", 256), F.lit("")).alias("sha"))
+
+
 # --- pages and errors ------------------------------------------------------------------
 
 

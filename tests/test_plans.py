@@ -254,3 +254,34 @@ def test_blocks_in_cells_and_open_tags():
     assert html_to_markdown("<p>a</p><svg><path><p>b</p>") == "a\n\nb\n"
     assert html_to_markdown("<title>t<h1>x</h1><noscript><p>n</p></noscript><p>y") == "# x\n\ny\n"
     assert html_to_markdown("<svg><title>t</title></svg>z") == "z\n"
+
+
+def test_fetch_a_corpus(tmp_path):
+    import subprocess
+
+    from corpusforge.sources.fetch import fetch_corpus
+
+    source, target = tmp_path / "source", tmp_path / "in/target"
+    git = lambda *a: subprocess.run(["git", "-C", str(source), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    source.mkdir()
+    git("init", "-q")
+    (source / "a.txt").write_text("x")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    target.mkdir(parents=True)
+    (target / "old.txt").write_text("old")
+    assert fetch_corpus(f"file://{source}", target) == 0
+    assert sorted(p.name for p in target.iterdir()) == [".git", "a.txt"]
+    assert fetch_corpus(f"file://{tmp_path}/none", target) != 0
+    with pytest.raises(OSError):
+        fetch_corpus(str(source), target, git="no-such-program")
+
+
+def test_formatter_and_its_failures(spark):
+    from corpusforge.operators.formatting import format_markdown
+
+    df = spark.createDataFrame([(1, "a é"), (2, None), (3, "")], "doc_id long, content string")
+    read = lambda *command, **more: {r.doc_id: r.content for r in format_markdown(df, command=command, **more).collect()}
+    assert read("tr", "a", "b") == {1: "b é", 2: None, 3: ""}
+    same = {1: "a é", 2: None, 3: ""}
+    assert read("no-such-program") == read("false") == read("sleep", "9", timeout=0.1) == same
