@@ -38,7 +38,7 @@ from .common import checkpoint, documents_of, inverse_powers, join_heavy, mix64,
 
 WORDS = 5
 SIMILARITY = 0.8
-TREES, DEPTH = 16, 8
+TREES, DEPTH = 16, 7
 TARGET_RECALL = 0.99
 #: Pairs of trie nodes of at most so many texts are made one by one.
 SMALL = 16
