@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -242,15 +242,29 @@ def _meet(similarity: float, depth: int, whole: bool):
     return run
 
 
-def _candidates(nodes: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+def _key(depth: int) -> Column:
+    """Names the trie node that a label belongs to at a depth."""
+    return F.xxhash64("tree", F.shiftrightunsigned("label", STEP * (DEPTH - depth)))
+
+
+def _colliding(nodes: DataFrame, depth: int) -> DataFrame:
+    """node, size, tree, label: the labels that share a prefix with another's.
+
+    Taken at the shortest prefix, these are all that can meet at longer ones;
+    nearly all labels end here, so every depth is looked at in few rows.
+    """
+    rows = nodes.select("node", "size", F.posexplode("labels").alias("tree", "label")).withColumn("key", _key(depth))
+    groups = checkpoint(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return checkpoint(join_heavy(rows, groups, "key", "n").select("node", "size", "tree", "label"))
+
+
+def _candidates(rows: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """(distinct pairs (a < b) of small trie nodes, rows of crowds) at a depth.
 
     Rows of crowds are key, node, tree and the number of blocks of the crowd.
     """
-    prefix = F.shiftrightunsigned("label", STEP * (DEPTH - depth))
-    rows = nodes.select("node", "size", F.posexplode("labels").alias("tree", "label")).select("node", "size", "tree", F.xxhash64("tree", prefix).alias("key"))
+    rows = rows.withColumn("key", _key(depth))
     groups = checkpoint(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).where("n > 1"))
-    # Trie nodes of one text, nearly all, end here; what is left is small.
     rows = checkpoint(join_heavy(rows, groups, "key", "n"))
     few = rows.where(f"n <= {SMALL}").groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice(F.col("m"), i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
@@ -321,8 +335,9 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     sets: DataFrame | None = None
     shortest = shortest_prefix(similarity, recall)
+    meeting = _colliding(nodes.select("node", "size", "labels"), shortest)
     for depth in range(DEPTH, shortest - 1, -1):
-        pairs, crowds = map(checkpoint, _candidates(nodes.select("node", "size", "labels"), depth))
+        pairs, crowds = map(checkpoint, _candidates(meeting, depth))
         # A node's crowds by tree; 0 where its trie node is small.
         in_crowds = crowds.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("of"))
         in_crowds = checkpoint(in_crowds.select("node", F.array(*[F.coalesce(F.try_element_at("of", F.lit(k)), F.lit(0)) for k in range(TREES)]).alias("crowds")))
