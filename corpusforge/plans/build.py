@@ -1,6 +1,7 @@
-"""The corpus builder: listing, conversion, cleaning, one lazy plan.
+"""The corpus builder: listing, conversion, cleaning.
 
-Conversion and cleaning meet in the plan, not on disk. Each document carries
+Conversion and cleaning meet in the plan, not on disk; word-processor files are
+read once, when it is made. Each document carries
 its status; ``errors`` splits failed ones off, and a failure never ends a run.
 """
 
@@ -21,6 +22,7 @@ from ..sources.config import BuildConfig
 from ..sources.docx import docx_to_html
 from ..sources.html import pages_to_markdown
 from ..sources.listing import catalog_files, read_binaries, read_texts, scan
+from .shared import kept, qualified
 
 EMPTY_INDEX = "dir string, name string"
 
@@ -58,11 +60,12 @@ def place_images(read: DataFrame, images: DataFrame) -> DataFrame:
 
 def office_documents(files: DataFrame, source_base: str, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(path, source, content), images and errors of files (path, content)."""
-    read = docx_to_html(files)
+    # Read once: html, images and errors are three looks at the same files.
+    read = kept(docx_to_html(files))
     images = document_images(read)
     pages = place_images(read, images)
     bad = pages.where("error IS NOT NULL").select("path", F.lit("docx").alias("stage"), "error")
-    converted = pages_to_markdown(pages.where("error IS NULL"))
+    converted = kept(pages_to_markdown(pages.where("error IS NULL")))
     bad = bad.unionByName(converted.where("error IS NOT NULL").select("path", F.lit("html").alias("stage"), "error"))
     good = converted.where("error IS NULL").select(target_path(F.col("path"), source_base, target).alias("path"), F.col("path").alias("source"), "content")
     return good, images, bad
@@ -96,12 +99,6 @@ def collisions(documents: DataFrame) -> DataFrame:
     return documents.groupBy("path").agg(F.count_distinct("source").alias("n")).where("n > 1")
 
 
-def qualified(spark: SparkSession, folder: str) -> str:
-    """A folder's path as listings show it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-
-
 def build(spark: SparkSession, source: str, target: str, manual: str, config: BuildConfig | None = None) -> Built:
     """Build the corpus below ``source``; ``manual`` is the folder of the catalog.
 
