@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules() -> tuple:
-    from . import chat, exact_dedup, jaccard_join, license_scan, line_dedup, media, mixing, pieces, pii, toxicity
+    from . import chat, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, media, mixing, pieces, pii, toxicity
 
-    return toxicity, pii, pieces, mixing, jaccard_join, exact_dedup, media, chat, license_scan, line_dedup
+    return toxicity, pii, pieces, mixing, jaccard_join, exact_dedup, media, chat, license_scan, line_dedup, decontaminate
 
 
 def queries() -> dict:
