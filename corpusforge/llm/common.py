@@ -56,19 +56,35 @@ def row_hash(name: str = "text") -> Column:
     return F.xxhash64(text_of(name))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` is used as the session has it; only where it is
-    unset (tests, one machine) a temporary folder is made.
+    ``spark.checkpoint.dir`` as the session has it. Only on one machine does a
+    temporary folder do where it is unset (tests): on a cluster each executor
+    would see another one, so that is refused.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None)
+    if folder is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="corpusforge-")
+    return folder.rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the folder that the cluster shares."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusforge-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _width(of: Column, kind: T.DataType) -> Column | int:
     """Bytes of a value: a number for fixed widths, else a measure."""
     if isinstance(kind, T.StringType | T.BinaryType):
