@@ -40,6 +40,11 @@ def oracle():
 
 
 def rows_of(frame, columns=None):
-    """Sorted text forms of the rows, columns by name."""
+    """Sorted text forms of the rows, columns by name; nulls and numbers beside
+    them have one form, whichever type a column of them came in."""
     columns = columns or sorted(frame.columns)
+    for c in columns:
+        if frame[c].isna().any():
+            whole = frame[c].convert_dtypes()
+            frame = frame.assign(**{c: whole.astype(object).where(whole.notna(), None)})
     return sorted(map(repr, frame[columns].astype(str).itertuples(index=False, name=None)))
