@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules() -> tuple:
-    from . import chat, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, media, mixing, pieces, pii, toxicity, vector_codes
+    from . import chat, conversation_trie, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, media, mixing, pieces, pii, toxicity, vector_codes
 
-    return toxicity, pii, pieces, mixing, jaccard_join, exact_dedup, media, chat, license_scan, line_dedup, decontaminate, vector_codes
+    return toxicity, pii, pieces, mixing, jaccard_join, exact_dedup, media, chat, license_scan, line_dedup, conversation_trie, decontaminate, vector_codes
 
 
 def queries() -> dict:
