@@ -230,7 +230,9 @@ def _meet(similarity: float, depth: int, whole: bool):
             return pa.table({"a": pa.array([p for p, _ in found], pa.binary()), "b": pa.array([q for _, q in found], pa.binary()), "jaccard": pa.array(jaccard[r, c] if len(r) else [], pa.float64())})
         if i == j:
             keep |= keep.T
-        rows, columns = _forest(keep)
+        # A block with itself: a node's row and column are one, so that both find the
+        # same component; without that a pair, a path or a star falls apart.
+        rows, columns = _forest(keep | np.diag(keep.any(axis=1)) if i == j else keep)
         stand = np.where(keep, 1 / chance(jaccard, depth), 0.0) if keep.any() else np.zeros(keep.shape)
         if i == j:
             stand = np.maximum(stand, stand.T)

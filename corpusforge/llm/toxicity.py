@@ -13,10 +13,12 @@ Their composition is one table over product states, built once. A clause, not a
 word, is scored: an undirected insult that stands alone stays below the
 threshold, one aimed at somebody passes it, a negated or quoted one weighs less.
 
-Labels teach three things, from a bounded sample (``fit_rows``): insult arcs of
+Labels teach four things, from a bounded sample (``fit_rows``): insult arcs of
 the lexicon (words, and word beginnings that stand for every word that starts
-so), negating and reporting arcs (words that stand before hits in clean texts),
-and the weight of a pattern where it is the only one in enough labelled texts.
+so), what a listed insult or threat is worth beside the others (more or less than
+its pattern's weight), negating and reporting arcs (words that stand before hits
+in clean texts), and the weight of a pattern where it is the only one in enough
+labelled texts.
 Labels, language, source and id are never inputs of a score.
 """
 
@@ -184,11 +186,13 @@ def composed(weights: dict[Symbol, float]) -> list[list[Step]]:
 @dataclass
 class Grammar:
     """words and prefixes: learned insult arcs and what they add to a hit's weight;
-    others: learned words of another class; weights: of a hit by its marks."""
+    others: learned words of another class; listed: what fixed insults and threats
+    add to, or take from, a hit's weight; weights: of a hit by its marks."""
 
     words: dict[str, float] = field(default_factory=dict)
     prefixes: dict[str, float] = field(default_factory=dict)
     others: dict[str, Symbol] = field(default_factory=dict)
+    listed: dict[str, float] = field(default_factory=dict)
     weights: dict[Symbol, float] = field(default_factory=lambda: dict(WEIGHTS))
 
 
@@ -205,7 +209,9 @@ class Lexicon(dict):
         g = self.grammar
         c = self.fixed.get(word, g.others.get(word, OTHER))
         found = max([g.words.get(word, 0.0), *(g.prefixes.get(word[:n], 0.0) for n in PREFIXES if len(word) > n)])
-        if found and c not in (INSULT, THREAT):
+        if c in (INSULT, THREAT):
+            out = (c, g.listed.get(word, found))
+        elif found:
             out = (INSULT, found)
         else:
             out = _PLAIN[c if c != OTHER or word[0].isalnum() else -1]
@@ -348,7 +354,15 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_co
         return grammar
     sample = checkpoint(sample)
     share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
-    best = _counted(sample, lambda: _features).where((F.col("toxic") >= LEAST_TEXTS) & (share >= LEAST_SHARE)).orderBy(F.desc(F.col("toxic") - 5 * F.col("clean")), "feature").collect()
+    listed = F.col("feature").isin(*["=" + w for c in (INSULT, THREAT) for w in WORDS[c]])
+    telling = (F.col("toxic") >= LEAST_TEXTS) & (share >= LEAST_SHARE)
+    counted = _counted(sample, lambda: _features).where(telling | listed & (F.col("toxic") + F.col("clean") >= LEAST_TEXTS)).select("*", telling.alias("telling"), listed.alias("listed"))
+    best = counted.orderBy(F.desc(F.col("toxic") - 5 * F.col("clean")), "feature").collect()
+    for r in best:
+        if r.listed:
+            # As many texts of either label: the word says what its pattern does.
+            grammar.listed[r.feature[1:]] = round(min(2.5, max(-2.0, math.log((r.toxic + 0.5) / (r.clean + 0.5)) / 2)), 3)
+    best = [r for r in best if r.telling]
     arcs = [r.feature for r in best]
     held = sample.where("toxic = 1").mapInArrow(_held(set(arcs)), "features array<string>").collect()
     kept = cover(arcs, [set(r.features) for r in held])
