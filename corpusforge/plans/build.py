@@ -18,6 +18,7 @@ from ..functions.names import basename, file_stem, image_file, image_name, image
 from ..operators.catalog import catalog_rows, ignore_filter, pointing_rows
 from ..operators.images import PLACEHOLDER
 from ..operators.links import rewrite_links
+from ..operators.plugins import clean_with_plugins, has_plugins, plugin_errors
 from ..sources.config import BuildConfig
 from ..sources.docx import docx_to_html
 from ..sources.html import pages_to_markdown
@@ -94,14 +95,30 @@ def clean_documents(documents: DataFrame, pointing: DataFrame, chain=CHAIN) -> D
     return rewrite_links(clean_frame(documents, chain=chain), pointing)
 
 
+def clean_checked(documents: DataFrame, pointing: DataFrame, chain=CHAIN) -> tuple[DataFrame, DataFrame | None]:
+    """Cleaned documents (path, content), and path, stage, error of failed ones.
+
+    A document that a plug-in of the chain fails on stays as it was, without
+    links too. A chain of column cleaners alone has no errors.
+    """
+    if not has_plugins(chain):
+        return clean_documents(documents, pointing, chain), None
+    # Worked out once: what is kept and what failed are two looks at it.
+    cleaned = kept(clean_with_plugins(documents, chain=chain))
+    good = rewrite_links(cleaned.where("failed IS NULL").select(documents.columns), pointing)
+    return good.unionByName(cleaned.where("failed IS NOT NULL").select(documents.columns)), plugin_errors(cleaned)
+
+
 def collisions(documents: DataFrame) -> DataFrame:
     """Target paths that several sources map to."""
     return documents.groupBy("path").agg(F.count_distinct("source").alias("n")).where("n > 1")
 
 
-def build(spark: SparkSession, source: str, target: str, manual: str, config: BuildConfig | None = None) -> Built:
+def build(spark: SparkSession, source: str, target: str, manual: str, config: BuildConfig | None = None, chain=CHAIN) -> Built:
     """Build the corpus below ``source``; ``manual`` is the folder of the catalog.
 
+    ``chain`` names the cleaners, plug-ins among them, in their order.
+
     ``source`` is one folder, no pattern; the paths in the configuration are as
     Spark lists files.
     """
@@ -122,9 +139,11 @@ def build(spark: SparkSession, source: str, target: str, manual: str, config: Bu
     wanted = listed.where(F.col("path").rlike(r"\.(txt|doc|docx)\z")).select(target_path(F.col("path"), base, target).alias("path"), F.col("path").alias("source"))
     wanted = wanted.join(bad.select(F.col("path").alias("source")), "source", "left_anti")
     documents = last_writer(texts.unionByName(office), wanted)
+    failed = [errors, bad]
     if not config.skip_clean:
-        documents = clean_documents(documents, pointing_rows(rows))
-    return Built(documents, images, all_errors([errors, bad]))
+        documents, unclean = clean_checked(documents, pointing_rows(rows), chain)
+        failed += [unclean] if unclean is not None else []
+    return Built(documents, images, all_errors(failed))
 
 
 def all_errors(parts: list[DataFrame]) -> DataFrame:

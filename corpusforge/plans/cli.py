@@ -12,13 +12,16 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.renames import rename_actions, resolve_renames
 from ..operators.targets import ORGANIZE
 from ..operators.tree import volume_sets
 from ..sources.config import OrganizeConfig, load_config, validate_target
 from ..sources.listing import list_tree
 from .commit import Done, commit
 from .organize import plan_dirty, plan_extractions, plan_organize, plan_targets, plan_volumes
+from .shared import kept
 from .unpack import extractor
 
 
@@ -26,8 +29,12 @@ def _entries(spark: SparkSession, roots: list[str]):
     return list_tree(spark, *roots).select("root", "dir", "name", "kind")
 
 
-def organize(spark: SparkSession, base: str, config: OrganizeConfig, apply: bool = False) -> list[Done]:
-    """Everything that is to be done in a folder, done if ``apply`` is true."""
+def organize(spark: SparkSession, base: str, config: OrganizeConfig, apply: bool = False, clobber: bool = False) -> list[Done]:
+    """Everything that is to be done in a folder, done if ``apply`` is true.
+
+    Folders whose new name is taken keep theirs; with ``clobber`` what has the
+    name is deleted.
+    """
     targets = plan_targets(spark, list_tree(spark, base), config, base)
     # The targets are names of one folder; the rounds below are planned by name.
     found = targets.collect()
@@ -47,7 +54,14 @@ def organize(spark: SparkSession, base: str, config: OrganizeConfig, apply: bool
         unpacked = [r for r in unpacked if r not in failed]
     if folders or unpacked:
         came = spark.createDataFrame([(r, sets.get(r)) for r in unpacked], "root string, base string") if unpacked else None
-        out += commit(plan_organize(spark, _entries(spark, folders + unpacked), config, came), base, not apply)
+        plan = kept(plan_organize(spark, _entries(spark, folders + unpacked), config, came))
+        # Renames come last, in an order in which every name is free.
+        wanted = plan.where("op = 'rename'").select("src", "dst")
+        standing = list_tree(spark, base).where("depth = 1").select(F.concat(F.lit(base.rstrip("/") + "/"), "name").alias("path"))
+        resolved = kept(resolve_renames(wanted, standing, clobber))
+        out += commit(plan.where("op <> 'rename' AND reason <> 'name taken'"), base, not apply)
+        out += commit(rename_actions(resolved, standing, 24, clobber), base, not apply)
+        out += [Done("rename", r.src, r.dst, "skipped", r.status) for r in resolved.where("status <> 'rename'").orderBy("src").toLocalIterator()]
     return out
 
 
@@ -55,6 +69,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="corpusforge-organize", description=__doc__)
     parser.add_argument("folder", help="absolute path of the folder with numbered archives and folders")
     parser.add_argument("--apply", action="store_true", help="carry the plan out; without it the plan is only shown")
+    parser.add_argument("--clobber", action="store_true", help="delete what has the name that a folder is to take")
     args = parser.parse_args(argv)
     try:
         base = validate_target(args.folder)
@@ -63,7 +78,7 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     config = load_config(base)
     spark = SparkSession.builder.getOrCreate()
-    for done in organize(spark, str(base), config, args.apply):
+    for done in organize(spark, str(base), config, args.apply, args.clobber):
         print(done.status, done.op, done.src, *([done.dst] if done.dst else []), *([done.error] if done.error else []))
     return 0
 

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .functions import cleaners as C
 from .functions import names as N
 from .functions.jstext import HTML_TAGS, WS_INNER_RE2, WS_RE2
-from .operators import catalog, images, links, targets, tree
-from .plans.build import Built, all_errors, clean_documents, collisions, office_documents, overwritten, report
+from .operators import catalog, images, links, plugins, renames, targets, tree
+from .plans.build import Built, all_errors, clean_checked, clean_documents, collisions, office_documents, overwritten, report
 from .plans.organize import plan_dirty, plan_extractions, plan_organize, plan_targets, plan_volumes
 from .sources import listing
 from .sources.archives import extract
@@ -208,6 +208,47 @@ def q_clean_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_documents(view(spark, sf_dir, "md"), catalog.pointing_rows(_rows(spark, sf_dir))).select("doc_id", "content")
 
 
+# Plug-ins of the queries below: one rewrites, one fails by what a text holds.
+def _mark_starts(text: str | None, path: str | None) -> str | None:
+    return text if text is None else text.replace("the ", "the* ")
+
+
+def _even_words(text: str | None, path: str | None) -> str | None:
+    if text is not None and text.count("the*") % 4 == 3:
+        raise ValueError(f"{text.count('the*')} marks in {(path or '').rsplit('/', 1)[-1]}")
+    return text
+
+
+plugins.register_plugin("mark_starts", _mark_starts)
+plugins.register_plugin("even_words", _even_words)
+CHECKED = ("overview", "mark_starts", "even_words", "headings", "add_h1", "colon_stars")
+_MARKED = f"replace({STEPS['overview']}, 'the ', 'the* ')"
+_MARKS = "(length(marked) - length(replace(marked, 'the*', ''))) // 4"
+
+
+def _checked_ctes() -> dict[str, str]:
+    out = {"marks": f"SELECT *, {_MARKS} AS n FROM (SELECT doc_id, path, content AS original, {_MARKED} AS marked FROM fx_md)", "step0": "SELECT doc_id, path, marked AS content FROM marks WHERE n % 4 <> 3"}
+    for i, name in enumerate(CHECKED[3:], 1):
+        out[f"step{i}"] = f"SELECT doc_id, path, {STEPS[name]} AS content FROM step{i - 1}"
+    return out | {"cat": _CATALOG, "pnt": _POINTING, "mentions": _MENTIONS.replace("@src@", "step3"), "resolved": _RESOLVED}
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    good, bad = clean_checked(view(spark, sf_dir, "md"), catalog.pointing_rows(_rows(spark, sf_dir)), CHECKED)
+    return good, bad
+
+
+@query("q_plugin_chain", _with("files", "md", **_checked_ctes()) + f"SELECT doc_id, content FROM ({_rewrite_sql('step3')}) UNION ALL SELECT doc_id, original FROM marks WHERE n % 4 = 3")
+def q_plugin_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column cleaners and plug-ins in one chain; documents that one fails on stay as they were."""
+    return _checked(spark, sf_dir)[0].select("doc_id", "content")
+
+
+@query("q_plugin_errors", _with("files", "md", **_checked_ctes()) + "SELECT path, 'clean even_words' AS stage, CAST(n AS STRING) || ' marks in ' || regexp_extract(path, '([^/]*)$', 1) AS error FROM marks WHERE n % 4 = 3")
+def q_plugin_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir)[1]
+
+
 @query("q_match_metrics", _with("md") + rf"""SELECT doc_id, len(regexp_extract_all(content, '##{WS_RE2}*概述{WS_RE2}*\n?')) AS n_overview, len(regexp_extract_all(content, '(?m)^#(#{{2,}}){WS_RE2}+(.+)$')) AS n_headings,
     len(regexp_extract_all(content, '@type{WS_RE2}+struct<[^>]*>')) AS n_structs, len(regexp_extract_all(content, '：\*\*')) AS n_colon_stars, (length(content) - length(replace(content, '**小结' || chr(92) || '*' || chr(92) || '*', ''))) // 8 AS n_summary_stars,
     len(content) - len({STEPS["overview"]}) AS overview_shorter FROM fx_md""")
@@ -566,6 +607,29 @@ def q_plan_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _actions_of(plan_organize(spark, entries, _CONFIG))
 
 
+#: Folders by their number's rest: a chain of three, cycles of two and three, a name
+#: that stays with a chain behind it, two that want one name and one that wants the loser's.
+_WANTED = """SELECT '/t/' || CAST(p_partkey AS STRING) AS src, '/t/' || CASE p_partkey % 20 WHEN 0 THEN CAST(p_partkey + 1 AS STRING) WHEN 1 THEN CAST(p_partkey + 1 AS STRING) WHEN 2 THEN 'free' || CAST(p_partkey AS STRING)
+ WHEN 3 THEN CAST(p_partkey + 1 AS STRING) WHEN 4 THEN CAST(p_partkey - 1 AS STRING) WHEN 5 THEN CAST(p_partkey + 1 AS STRING) WHEN 6 THEN CAST(p_partkey + 1 AS STRING) WHEN 7 THEN CAST(p_partkey - 2 AS STRING)
+ WHEN 8 THEN CAST(p_partkey + 1 AS STRING) WHEN 10 THEN CAST(p_partkey - 2 AS STRING) WHEN 11 THEN 'same' || CAST(p_partkey - 11 AS STRING) WHEN 13 THEN 'same' || CAST(p_partkey - 13 AS STRING) WHEN 14 THEN CAST(p_partkey - 1 AS STRING)
+ ELSE CAST(p_partkey AS STRING) END AS dst FROM part"""
+_SOURCES["wanted"] = (_WANTED, "part")
+_RENAMED = """WITH RECURSIVE fx_wanted AS MATERIALIZED (@wanted@),
+ marked AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY src) > 1 AS lost FROM fx_wanted WHERE src <> dst),
+ walk AS (SELECT src, dst AS loc, 1 AS n FROM marked WHERE NOT lost UNION ALL SELECT w.src, m.dst, w.n + 1 FROM walk w JOIN marked m ON m.src = w.loc AND NOT m.lost WHERE w.loc <> w.src),
+ ends AS (SELECT src, arg_max(loc, n) AS loc, max(n) AS n FROM walk GROUP BY src)
+ SELECT m.src, m.dst, CASE WHEN m.lost THEN 'collision' WHEN e.loc = m.src OR e.loc NOT IN (SELECT src FROM fx_wanted) THEN 'rename' WHEN e.n = 1 THEN 'taken' ELSE 'blocked' END AS status,
+  CASE WHEN NOT m.lost AND (e.loc = m.src OR e.loc NOT IN (SELECT src FROM fx_wanted)) THEN m.dst ELSE m.src END AS final FROM marked m LEFT JOIN ends e ON e.src = m.src"""
+
+
+@query("q_renames", _RENAMED.replace("@wanted@", _WANTED))
+def q_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each rename, and where its folder is at the end."""
+    wanted = view(spark, sf_dir, "wanted")
+    out = renames.resolve_renames(wanted, wanted.select(F.col("src").alias("path")))
+    return out.select("src", "dst", "status", F.when(F.col("status") == renames.RENAME, F.col("dst")).otherwise(F.col("src")).alias("final"))
+
+
 # --- readers ----------------------------------------------------------------------------
 
 #: Lines of whole texts without what XML cannot hold.
