@@ -8,11 +8,15 @@ the entry below the root, "" for the root itself, else starting with a slash),
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import extension, file_stem, is_archive, is_volume, volume_base
+from ..plans.shared import kept
 
 
 def ancestors(folder: Column) -> Column:
@@ -72,37 +76,82 @@ def unique_names(files: DataFrame) -> DataFrame:
     return files.select("root", "dir", "name", F.when(n == 0, F.col("name")).otherwise(numbered).alias("dest"))
 
 
-def _assign(group: pd.DataFrame) -> pd.DataFrame:
-    """Destinations in one tree, one file after another."""
-    group = group.sort_values(["dir", "name"])
-    taken = set(group.loc[group["dir"] == "", "name"])
-    dest = []
-    tried: dict[str, int] = {}
-    for folder, name, stem, ext in group[["dir", "name", "stem", "ext"]].itertuples(index=False):
-        out = name
-        if folder != "":
-            k = tried.get(name, 0)
-            while out in taken:
-                k += 1
-                out = f"{stem}-{k}{ext}"
-            # A later file of this name finds all numbers up to k taken.
-            tried[name] = k
-            taken.add(out)
-        dest.append(out)
-    return group.assign(dest=dest)[["root", "dir", "name", "dest"]]
+#: A name that looks like a numbered one: its stem without the number, and the number.
+NUMBERED = r"(?s)\A(.+)-([1-9][0-9]{0,17})\z"
+
+
+def _skipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (root, name, k, least) rows in order those numbers that are never given
+    out, with how many there are up to each: one is skipped if fewer than ``least``
+    were before it. Only that count is held."""
+    of, count = None, 0
+    for b in batches:
+        keep, counts = [], []
+        for root, name, k, least in zip(*(b.column(c).to_pylist() for c in ("root", "name", "k", "least")), strict=True):
+            if (root, name) != of:
+                of, count = (root, name), 0
+            keep.append(count < least)
+            count += keep[-1]
+            counts.append(count)
+        yield pa.RecordBatch.from_arrays([b.column("root"), b.column("name"), b.column("k"), pa.array(counts, pa.int64())], ["root", "name", "k", "count"]).filter(pa.array(keep, pa.bool_()))
 
 
 def unique_names_exact(files: DataFrame) -> DataFrame:
     """As ``unique_names``, also where a numbered name exists by itself.
 
-    Only trees that hold such a name need the sequential form; the others take
-    the window.
+    Files are moved by directory, then name, and each takes the first name that
+    is free: its own, or stem-1, stem-2, ... The files of one name in a tree are a
+    family, and a number k is closed to it once a file of its own is named stem-k
+    and its turn has come. So the numbers that a family never gives out follow
+    from the turns of those files alone, and the i-th file takes the i-th of the
+    others: windows over families, no task over a tree. A file named stem-k may in
+    turn find its name given out to a file of that family; therefore families
+    without a number go first, then those with one, two, ... numbers at the end.
+    Families without such relations take the window of ``unique_names``.
     """
-    like = files.where(file_stem(F.col("name")).rlike(r"-[0-9]+\z")).select("root").distinct()
-    rows = files.join(like, "root", "left_semi").select("root", "dir", "name", file_stem(F.col("name")).alias("stem"), extension(F.col("name")).alias("ext"))
-    kind = f"root {files.schema['root'].dataType.simpleString()}, dir string, name string, dest string"
-    slow = rows.groupBy("root").applyInPandas(_assign, kind)
-    return unique_names(files.join(like, "root", "left_anti")).unionByName(slow)
+    files = files.select("root", "dir", "name")
+    first = files.groupBy("root", "name").agg(F.min("dir").alias("first")).withColumns({"stem": file_stem(F.col("name")), "ext": extension(F.col("name"))})
+    own = first.select("root", F.col("name").alias("parent"), F.col("stem").alias("p_stem"), F.col("ext").alias("p_ext"))
+    told = first.where(F.col("stem").rlike(NUMBERED)).withColumns({"p_stem": F.regexp_extract("stem", NUMBERED, 1), "k": F.regexp_extract("stem", NUMBERED, 2).cast("long")})
+    told = told.withColumn("parent", F.concat("p_stem", "ext")).join(own.withColumnRenamed("p_ext", "ext"), ["root", "parent", "p_stem", "ext"])
+    told = kept(told.select("root", "parent", "name", "k", "first"))
+    if told.isEmpty():
+        return unique_names(files)
+
+    related = told.select("root", "name").union(told.select("root", F.col("parent").alias("name"))).distinct()
+    level = F.size(F.regexp_extract_all(F.regexp_extract(file_stem(F.col("name")), r"((?:-[1-9][0-9]*)*)\z", 1), F.lit("-"), F.lit(0)))
+    touched = kept(files.join(related, ["root", "name"], "left_semi").withColumn("level", level))
+    out = unique_names(files.join(related, ["root", "name"], "left_anti"))
+    family = Window.partitionBy("root", "name")
+    kind = T.StructType([T.StructField("root", files.schema["root"].dataType), T.StructField("name", T.StringType()), T.StructField("k", T.LongType()), T.StructField("count", T.LongType())])
+    given = None
+    for at in sorted(r.level for r in touched.select("level").distinct().collect()):  # no more than a name has digits
+        rows = touched.where(F.col("level") == at)
+        n = F.row_number().over(family.orderBy("dir")) - 1
+        if given is None:
+            rows = rows.withColumn("n", n.cast("long"))
+        else:
+            # The name of the first one was given to a file of another family before.
+            rows = rows.join(given, ["root", "name"], "left").withColumn("n", (n + F.coalesce("lost", F.lit(0))).cast("long"))
+        rows = kept(rows.select("root", "dir", "name", "n"))
+        late = rows.where("n > 0")
+        closed = told.join(rows.select("root", F.col("name").alias("parent")).distinct(), ["root", "parent"], "left_semi")
+        turns = late.select("root", "name", F.struct("dir", "name").alias("turn"), F.lit(0).cast("long").alias("k"))
+        turns = turns.unionByName(closed.select("root", F.col("parent").alias("name"), F.struct(F.col("first").alias("dir"), "name").alias("turn"), "k"))
+        before = F.count_if(F.col("k") == 0).over(family.orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        # k is skipped if its file comes before the file that would take it.
+        least = turns.withColumn("least", F.col("k") - before).where("k > 0").select("root", "name", "k", "least")
+        skips = least.repartition("root", "name").sortWithinPartitions("root", "name", "k").mapInArrow(_skipped, kind)
+        # The i-th number that is left: i and the skipped ones with fewer left below them.
+        both = late.select("root", "name", "dir", "n", F.col("n").alias("at"), F.lit(1).alias("file"))
+        both = both.unionByName(skips.select("root", "name", F.lit(None).cast("string").alias("dir"), F.lit(None).cast("long").alias("n"), (F.col("k") - F.col("count") + 1).alias("at"), F.lit(0).alias("file")))
+        over = F.count_if(F.col("file") == 0).over(family.orderBy("at", "file").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        number = (F.col("n") + over).cast("string")
+        dest = F.concat(file_stem(F.col("name")), F.lit("-"), number, extension(F.col("name")))
+        numbered = kept(both.withColumn("dest", dest).where("file = 1").select("root", "dir", "name", "dest"))
+        out = out.unionByName(rows.where("n = 0").select("root", "dir", "name", F.col("name").alias("dest"))).unionByName(numbered)
+        given = kept(numbered.join(related.withColumnRenamed("name", "dest"), ["root", "dest"], "left_semi").select("root", F.col("dest").alias("name"), F.lit(1).alias("lost")))
+    return out
 
 
 def flatten_moves(files: DataFrame, exact: bool = True) -> DataFrame:
@@ -143,25 +192,26 @@ def deepest_dirs(entries: DataFrame, roots: DataFrame | None = None) -> DataFram
     From the root: a directory that holds one directory and no file is left for
     it, and its name is the detected one; one that holds one directory and
     files is left for it if it holds a file, and gives a name only if there is
-    none yet. The descent needs no loop: a directory is reached iff all above
-    it are left for their only directory.
+    none yet. Every directory points to the one it is left for; the pointers are
+    doubled until those of the roots stand still, so a descent of depth d takes
+    log(d) joins, and no tree is ever in one task.
     """
     per = entries.groupBy("root", "dir").agg(F.count_if(F.col("kind") == "dir").alias("n_dirs"), F.count_if(F.col("kind") == "file").alias("n_files"), F.min(F.when(F.col("kind") == "dir", F.col("name"))).alias("child"))
     sub = per.select("root", F.col("dir").alias("sub"), F.col("n_files").alias("sub_files"))
     per = per.withColumn("sub", F.concat("dir", F.lit("/"), "child")).join(sub, ["root", "sub"], "left")
     step = (F.col("n_dirs") == 1) & ((F.col("n_files") == 0) | (F.coalesce("sub_files", F.lit(0)) > 0))
-    # Steps of a tree form chains; the one from the root is followed by depth:
-    # at depth d exactly one directory is reached, so the step there must start
-    # where the one before ended.
-    depth = F.size(F.split("dir", "/"))
-    steps = F.when(step, F.struct(depth.alias("depth"), "dir", "sub", "child", (F.col("n_files") == 0).alias("pure")))
-    path = per.groupBy("root").agg(F.array_sort(F.collect_list(steps)).alias("s"))
-    start = F.struct(F.lit("").alias("dir"), F.lit(None).cast("string").alias("name"))
-    end = F.aggregate("s", start, lambda acc, x: F.when(x["dir"] == acc["dir"], F.struct(x["sub"].alias("dir"), F.when(x["pure"], x["child"]).otherwise(F.coalesce(acc["name"], x["child"])).alias("name"))).otherwise(acc))
-    found = path.select("root", end.alias("e")).select("root", F.col("e.dir").alias("dir"), F.col("e.name").alias("detected"))
-    if roots is None:
-        return found
-    return roots.join(found, "root", "left").select("root", F.coalesce("dir", F.lit("")).alias("dir"), "detected")
+    # "last" is the name that a stretch leaves whatever was detected before it (that
+    # of its last directory without files), "any" the one if nothing was.
+    links = kept(per.where(step).select("root", "dir", "sub", F.when(F.col("n_files") == 0, F.col("child")).alias("last"), F.col("child").alias("any")))
+    while True:
+        there = links.select("root", F.col("dir").alias("sub"), F.col("sub").alias("further"), F.col("last").alias("more"))
+        joined = kept(links.join(there, ["root", "sub"], "left").select("root", "dir", F.coalesce("further", "sub").alias("sub"), F.coalesce("more", "last").alias("last"), "any", F.col("further").isNotNull().alias("moved")))
+        links = joined.drop("moved")
+        if joined.where("dir = '' AND moved").isEmpty():
+            break
+    found = links.where("dir = ''").select("root", F.col("sub").alias("found"), F.coalesce("last", "any").alias("detected"))
+    every = entries.select("root").distinct() if roots is None else roots
+    return every.join(found, "root", "left").select("root", F.coalesce("found", F.lit("")).alias("dir"), "detected")
 
 
 def rename_collisions(renames: DataFrame) -> DataFrame:

@@ -99,3 +99,87 @@ def test_rename_collisions(spark):
     df = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "root string, dst string")
     assert [tuple(r) for r in T.rename_collisions(df).collect()] == [("x", 2)]
     assert G.phase_counts(df.select(F.lit("organize").alias("phase"))).first().n == 3
+
+
+def _named(files):
+    """One tree, one file after another: each takes the first name that is free."""
+    taken, out = {n for d, n in files if d == ""}, {}
+    for d, name in sorted(files):
+        stem, ext = re.fullmatch(r"(?s)(.+?)(\.[^.]*)?", name).groups()
+        dest, k = name, 0
+        if d:
+            while dest in taken:
+                k += 1
+                dest = f"{stem}-{k}{ext or ''}"
+            taken.add(dest)
+        out[d, name] = dest
+    return out
+
+
+def _unique(spark, trees):
+    rows = [(root, d, n) for root, files in enumerate(trees) for d, n in files]
+    random.Random(1).shuffle(rows)
+    df = T.unique_names_exact(spark.createDataFrame(rows, FILE).repartition(3))
+    got = {(r.root, r.dir, r.name): r.dest for r in df.collect()}
+    assert got == {(root, d, n): dest for root, files in enumerate(trees) for (d, n), dest in _named(files).items()}
+    return df
+
+
+def test_unique_names_on_random_trees(spark):
+    rng = random.Random(7)
+    stems = ["x", "x-1", "x-2", "x-1-1", "x-2-1", "x-1-1-1", "x-3", "x-10", "x-01", "x-0", "-1", "y", "y-2", "n\n-1"]
+    trees = []
+    for _ in range(400):
+        dirs = rng.sample(["", "/a", "/b", "/a/c", "/B", "/ä", "/z"], rng.randrange(1, 7))
+        trees.append(list({(rng.choice(dirs), rng.choice(stems[: rng.randrange(2, 15)]) + rng.choice([".jpg", ".jpg", "", ".", ".a.jpg"])) for _ in range(rng.randrange(1, 40))}))
+    df = _unique(spark, trees)
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert "InPandas" not in plan and "collect_list" not in plan
+
+
+def test_unique_names_of_one_large_family(spark):
+    """Numbers that are taken here and there, before and after their turn."""
+    rng = random.Random(9)
+    one = [(f"/{i:04d}", "p.jpg") for i in range(600)] + [(rng.choice(["", "/0000", f"/{rng.randrange(600):04d}", "/9"]), f"p-{k}.jpg") for k in rng.sample(range(1, 900), 250)]
+    _unique(spark, [one, [("", "p.jpg")], [("/a", "p-1.jpg")]])
+    assert T.unique_names_exact(spark.createDataFrame([], FILE)).collect() == []
+
+
+def _content(entries):
+    """The descent as it is told, step by step."""
+    at, name = "", None
+    while True:
+        own = [(n, k) for d, n, k in entries if d == at]
+        dirs, files = [n for n, k in own if k == "dir"], [n for n, k in own if k == "file"]
+        if len(dirs) != 1:
+            return at, name
+        sub = f"{at}/{dirs[0]}"
+        if not files:
+            name = dirs[0]
+        elif any(d == sub and k == "file" for d, _, k in entries):
+            name = name or dirs[0]
+        else:
+            return at, name
+        at = sub
+
+
+def test_descent_on_random_trees(spark):
+    rng = random.Random(4)
+    trees = []
+    for root in range(150):
+        entries, at = [], ""
+        for depth in range(rng.choice([0, 1, 2, 5, 9, 40])):
+            entries.append((at, f"d{rng.randrange(3)}", "dir"))
+            if rng.random() < 0.3:
+                entries.append((at, "f", "file"))
+            if rng.random() < 0.03:
+                entries.append((at, "other", "dir"))
+            at += f"/{entries[-1][1] if entries[-1][2] == 'dir' and entries[-1][1] != 'other' else [n for d, n, k in entries if d == at and k == 'dir'][0]}"
+        entries.append((at, "end", "file"))
+        trees.append(list(dict.fromkeys(entries)))
+    rows = [(root, *e) for root, t in enumerate(trees) for e in t]
+    df = T.deepest_dirs(spark.createDataFrame(rows, ENTRY))
+    assert {r.root: (r.dir, r.detected) for r in df.collect()} == {root: _content(t) for root, t in enumerate(trees)}
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert "collect_list" not in plan
+    assert T.deepest_dirs(spark.createDataFrame([], ENTRY)).collect() == []
