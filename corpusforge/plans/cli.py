@@ -18,7 +18,7 @@ from ..operators.renames import rename_actions, resolve_renames
 from ..operators.targets import ORGANIZE
 from ..operators.tree import volume_sets
 from ..sources.config import OrganizeConfig, load_config, validate_target
-from ..sources.listing import list_tree
+from ..sources.tree_source import read_tree
 from .commit import Done, commit
 from .organize import plan_dirty, plan_extractions, plan_organize, plan_targets, plan_volumes
 from .shared import kept
@@ -26,7 +26,8 @@ from .unpack import extractor
 
 
 def _entries(spark: SparkSession, roots: list[str]):
-    return list_tree(spark, *roots).select("root", "dir", "name", "kind")
+    # Listed once: the plan is carried out while it is read.
+    return kept(read_tree(spark, *roots).select("root", "dir", "name", "kind"))
 
 
 def organize(spark: SparkSession, base: str, config: OrganizeConfig, apply: bool = False, clobber: bool = False) -> list[Done]:
@@ -35,7 +36,7 @@ def organize(spark: SparkSession, base: str, config: OrganizeConfig, apply: bool
     Folders whose new name is taken keep theirs; with ``clobber`` what has the
     name is deleted.
     """
-    targets = plan_targets(spark, list_tree(spark, base), config, base)
+    targets = kept(plan_targets(spark, read_tree(spark, base).where("depth = 1"), config, base))
     # The targets are names of one folder; the rounds below are planned by name.
     found = targets.collect()
     folders = [r.full_path for r in found if r.phase == ORGANIZE]
@@ -57,7 +58,7 @@ def organize(spark: SparkSession, base: str, config: OrganizeConfig, apply: bool
         plan = kept(plan_organize(spark, _entries(spark, folders + unpacked), config, came))
         # Renames come last, in an order in which every name is free.
         wanted = plan.where("op = 'rename'").select("src", "dst")
-        standing = list_tree(spark, base).where("depth = 1").select(F.concat(F.lit(base.rstrip("/") + "/"), "name").alias("path"))
+        standing = kept(read_tree(spark, base).where("depth = 1")).select(F.concat(F.lit(base.rstrip("/") + "/"), "name").alias("path"))
         resolved = kept(resolve_renames(wanted, standing, clobber))
         out += commit(plan.where("op <> 'rename' AND reason <> 'name taken'"), base, not apply)
         out += commit(rename_actions(resolved, standing, 24, clobber), base, not apply)

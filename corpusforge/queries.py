@@ -348,7 +348,13 @@ def q_volume_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.volume_sets(view(spark, sf_dir, "tree")).select("root", "dir", "base", F.array_join("files", ",").alias("files"))
 
 
-@query("q_nonvolume", _with("tree", sets=_SETS) + "SELECT t.root, t.dir, t.name FROM fx_tree t JOIN sets s ON s.root = t.root AND s.dir = t.dir WHERE NOT starts_with(t.name, s.base || '.7z.')")
+#: Every file with the first directory of its tree that holds volumes, and the base of
+#: the first volume of its own directory; windows alone, as a join is not needed.
+_HELD = r"""SELECT root, dir, name, volume, min(CASE WHEN volume THEN dir END) OVER (PARTITION BY root) AS held, regexp_replace(min(CASE WHEN volume THEN name END) OVER (PARTITION BY root, dir), '\.7z\.[0-9]+$', '') AS base
+    FROM (SELECT *, regexp_matches(name, '\.7z\.[0-9]+$') AS volume FROM fx_tree)"""
+
+
+@query("q_nonvolume", _with("tree", sets=_HELD) + "SELECT root, dir, name FROM sets WHERE dir = held AND NOT starts_with(name, base || '.7z.')")
 def q_nonvolume(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = view(spark, sf_dir, "tree")
     return tree.non_volume_files(files, tree.volume_sets(files))
@@ -579,10 +585,10 @@ def _rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "tree").select(F.concat(F.lit("/t/"), F.col("root").cast("string")).alias("root"), "dir", "name")
 
 
-@query("q_plan_volumes", _with("tree", sets=_SETS) + f"""SELECT {_AT.format('t')} AS root, CAST(10 AS BIGINT) AS seq, 'delete' AS op, {_AT.format('t')} || t.dir || '/' || t.name AS src, NULL::VARCHAR AS dst, 'not a volume' AS reason
-    FROM fx_tree t JOIN sets s ON s.root = t.root AND s.dir = t.dir WHERE NOT starts_with(t.name, s.base || '.7z.')
-    UNION ALL SELECT {_AT.format('s')}, 11, 'extract', {_AT.format('s')} || dir || '/' || base || '.7z.001', {_AT.format('s')} || dir, 'volumes' FROM sets s
-    UNION ALL SELECT {_AT.format('s')}, 12, 'delete', {_AT.format('s')} || dir || '/' || f, NULL, 'volume' FROM (SELECT root, dir, unnest(string_split(files, ',')) AS f FROM sets) s""")
+@query("q_plan_volumes", _with("tree", sets=_HELD) + f"""SELECT {_AT.format('t')} AS root, CAST(10 AS BIGINT) AS seq, 'delete' AS op, {_AT.format('t')} || dir || '/' || name AS src, NULL::VARCHAR AS dst, 'not a volume' AS reason
+    FROM sets t WHERE dir = held AND NOT starts_with(name, base || '.7z.')
+    UNION ALL SELECT DISTINCT {_AT.format('s')}, 11, 'extract', {_AT.format('s')} || dir || '/' || base || '.7z.001', {_AT.format('s')} || dir, 'volumes' FROM sets s WHERE dir = held
+    UNION ALL SELECT {_AT.format('s')}, 12, 'delete', {_AT.format('s')} || dir || '/' || name, NULL, 'volume' FROM sets s WHERE dir = held AND volume""")
 def q_plan_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _actions_of(plan_volumes(_rooted(spark, sf_dir), _CONFIG))
 
