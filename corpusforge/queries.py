@@ -676,6 +676,55 @@ def q_docx_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docx_to_html(_docx_files(spark, sf_dir)).select("path", "html")
 
 
+#: Parts of a file whose lists have three levels: bullets, numbers that a style says,
+#: and bullets of a style that is based on another one.
+_NUMBERED = (
+    ("numbering", '<w:abstractNum w:abstractNumId="7"><w:lvl w:ilvl="0"><w:numFmt w:val="bullet"/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="lowerRoman"/></w:lvl><w:lvl w:ilvl="2"><w:numFmt w:val="decimal"/></w:lvl></w:abstractNum><w:num w:numId="3"><w:abstractNumId w:val="7"/><w:lvlOverride w:ilvl="2"><w:lvl w:ilvl="2"><w:numFmt w:val="bullet"/></w:lvl></w:lvlOverride></w:num>'),
+    ("styles", '<w:style w:styleId="Base"><w:pPr><w:numPr><w:ilvl w:val="1"/><w:numId w:val="3"/></w:numPr></w:pPr></w:style><w:style w:styleId="Deep"><w:basedOn w:val="Base"/><w:pPr><w:numPr><w:ilvl w:val="2"/></w:numPr></w:pPr></w:style>'),
+)
+_LEVELS = ('<w:numPr><w:ilvl w:val="0"/><w:numId w:val="3"/></w:numPr>', '<w:pStyle w:val="Base"/>', '<w:pStyle w:val="Deep"/>')
+
+
+def _list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word-processor file for each text: its lines are items of levels 0, 1, 2, 0, ..."""
+
+    def run(batches):
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        import pyarrow as pa
+
+        space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+        for b in batches:
+            out = []
+            for text in b.column(1).to_pylist():
+                lines = [x for x in text.split("\n") if x.strip(" ")]
+                body = "".join(f'<w:p><w:pPr>{_LEVELS[i % 3]}</w:pPr><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for i, x in enumerate(lines))
+                file = io.BytesIO()
+                with zipfile.ZipFile(file, "w") as z:
+                    z.writestr("word/document.xml", f"<w:document {space}><w:body>{body}</w:body></w:document>")
+                    for name, part in _NUMBERED:
+                        z.writestr(f"word/{name}.xml", f"<w:{name} {space}>{part}</w:{name}>")
+                out.append(file.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["path", "content"])
+
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\n\x20-\x7e\u00A1-\uD7FF]", " ")
+    texts = _table(spark, sf_dir, "documents").select(F.concat(F.lit("corpus/"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), plain.alias("text"))
+    return texts.mapInArrow(run, "path string, content binary")
+
+
+_ITEM = "CASE WHEN i = 1 THEN '<ul><li>' WHEN i % 3 = 1 THEN '</li></ul></li></ol></li><li>' WHEN i % 3 = 2 THEN '<ol><li>' ELSE '<ul><li>' END || replace(replace(replace(p[i], '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query("q_docx_lists", f"""SELECT path, CASE WHEN len(p) = 0 THEN '' ELSE array_to_string(list_transform(range(1, len(p) + 1), lambda i: {_ITEM}), '')
+    || CASE len(p) % 3 WHEN 1 THEN '</li></ul>' WHEN 2 THEN '</li></ol></li></ul>' ELSE '</li></ul></li></ol></li></ul>' END END AS html
+    FROM (SELECT 'corpus/' || CAST(doc_id AS STRING) || '.docx' AS path, {_PARAGRAPHS} AS p FROM documents)""")
+def q_docx_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of three levels, told by numberings, styles and what styles are based on."""
+    return docx_to_html(_list_files(spark, sf_dir)).select("path", "html")
+
+
 _PAGE = "'<h2>' || lang || '</h2><p>see <b>' || source || '</b> and <a href=\"u' || doc_id || '\">' || n_chars || '</a></p><ul><li>one<li>two</ul><table><tr><th>a<th>b<tr><td><p>' || lang || '</p><td>x|y</table>'"
 
 

@@ -1,8 +1,9 @@
 """Word-processor files (docx) to HTML, and their images.
 
 A docx file is a zip of XML parts. Headings, paragraphs, bold and italic runs,
-links, lists, tables and images are read; what a file holds beside that is
-left out. A file that is no zip (the old binary format among them) gives a row
+links, lists of any depth, tables and images are read; what a file holds beside
+that is left out. Whether a paragraph is a list item, of which level and kind,
+follows from its own numbering or that of its style and the styles it is based on. A file that is no zip (the old binary format among them) gives a row
 with an error.
 """
 
@@ -27,9 +28,66 @@ _P = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "emf": "image/x-emf", "wmf": "image/wmf"}
 
 
+def _value(e: ElementTree.Element | None, path: str) -> str | None:
+    found = e.find("/".join(f"{_W}{t}" for t in path.split("/"))) if e is not None else None
+    return None if found is None else found.get(f"{_W}val")
+
+
+class Numbering:
+    """numbering.xml and styles.xml: level and kind of list items."""
+
+    def __init__(self, numbering: ElementTree.Element | None, styles: ElementTree.Element | None):
+        #: Abstract numbering -> level -> (format, style that the level belongs to).
+        self.abstract: dict[str, dict[int, tuple[str, str | None]]] = {}
+        #: Numbering -> (abstract numbering, formats that it has of its own).
+        self.known: dict[str, tuple[str, dict[int, str]]] = {}
+        #: Style -> (style it is based on, numbering, level, name).
+        self.styles: dict[str, tuple[str | None, str | None, str | None, str]] = {}
+        for a in numbering.iter(f"{_W}abstractNum") if numbering is not None else ():
+            levels = {int(l.get(f"{_W}ilvl", "0")): (_value(l, "numFmt") or "decimal", _value(l, "pStyle")) for l in a.findall(f"{_W}lvl")}
+            self.abstract[a.get(f"{_W}abstractNumId", "")] = levels
+        for n in numbering.findall(f"{_W}num") if numbering is not None else ():
+            own = {int(o.get(f"{_W}ilvl", "0")): f for o in n.findall(f"{_W}lvlOverride") if (f := _value(o, "lvl/numFmt"))}
+            self.known[n.get(f"{_W}numId", "")] = (_value(n, "abstractNumId") or "", own)
+        for s in styles.iter(f"{_W}style") if styles is not None else ():
+            self.styles[s.get(f"{_W}styleId", "")] = (_value(s, "basedOn"), _value(s, "pPr/numPr/numId"), _value(s, "pPr/numPr/ilvl"), _value(s, "name") or "")
+
+    def chain(self, style: str | None) -> Iterator[str]:
+        """A style and those it is based on, nearest first."""
+        seen: set[str] = set()
+        while style is not None and style not in seen:
+            seen.add(style)
+            yield style
+            style = self.styles[style][0] if style in self.styles else None
+
+    def item(self, p: ElementTree.Element) -> tuple[int, str] | None:
+        """(level, "ol" or "ul") of a paragraph, if it is a list item."""
+        style = _value(p, "pPr/pStyle")
+        number, level = _value(p, "pPr/numPr/numId"), _value(p, "pPr/numPr/ilvl")
+        marked = p.find(f"{_W}pPr/{_W}numPr") is not None
+        for s in self.chain(style):
+            _, n, l, _ = self.styles.get(s, (None, None, None, ""))
+            if number is None and n is not None:
+                number = n
+                # A style that is bound to a level of its list has that level.
+                bound = [k for k, (_, of) in self.abstract.get(self.known.get(n, ("", {}))[0], {}).items() if of == s]
+                l = str(bound[0]) if bound else l
+            level = l if level is None else level
+        if number == "0" or (number is None and not marked):
+            return None
+        at = int(level) if level and level.isdigit() else 0
+        abstract, own = self.known.get(number or "", ("", {}))
+        form = own.get(at) or self.abstract.get(abstract, {}).get(at, (None, None))[0]
+        if form is None:
+            return at, "ol" if "number" in (style or "").lower() else "ul"
+        return at, "ul" if form in ("bullet", "none") else "ol"
+
+
 class Docx:
     def __init__(self, data: bytes):
         self.zip = zipfile.ZipFile(io.BytesIO(data))
+        part = lambda name: ElementTree.fromstring(self.zip.read(name)) if name in self.zip.namelist() else None
+        self.numbering = Numbering(part("word/numbering.xml"), part("word/styles.xml"))
         self.body = ElementTree.fromstring(self.zip.read("word/document.xml")).find(f"{_W}body")
         self.targets: dict[str, str] = {}
         if "word/_rels/document.xml.rels" in self.zip.namelist():
@@ -72,35 +130,54 @@ class Docx:
             return "<br>"
         return "".join(self._image(b) for b in e.iter(f"{_A}blip"))
 
-    def _blocks(self, parent: ElementTree.Element) -> Iterator[tuple[str, str]]:
-        """(list kind or "", html) of each block."""
+    def _blocks(self, parent: ElementTree.Element) -> Iterator[tuple[tuple[int, str] | None, str]]:
+        """(level and kind of a list item, html) of each block."""
         for e in parent:
             if e.tag == f"{_W}p":
                 style = e.find(f"{_W}pPr/{_W}pStyle")
                 name = (style.get(f"{_W}val") or "").lower().replace(" ", "") if style is not None else ""
                 inner = self._inline(e)
+                item = self.numbering.item(e)
                 if name.startswith("heading") and name[7:8].isdigit():
-                    yield "", f"<h{min(6, int(name[7]))}>{inner}</h{min(6, int(name[7]))}>"
+                    yield None, f"<h{min(6, int(name[7]))}>{inner}</h{min(6, int(name[7]))}>"
                 elif name == "title":
-                    yield "", f"<h1>{inner}</h1>"
-                elif e.find(f"{_W}pPr/{_W}numPr") is not None:
-                    yield ("ol" if "number" in name else "ul"), f"<li>{inner}</li>"
+                    yield None, f"<h1>{inner}</h1>"
+                elif item is not None:
+                    yield item, inner
                 elif inner.strip():
-                    yield "", f"<p>{inner}</p>"
+                    yield None, f"<p>{inner}</p>"
             elif e.tag == f"{_W}tbl":
                 rows = ["<tr>" + "".join(f"<td>{'<br>'.join(self._inline(p) for p in c.iter(f'{_W}p'))}</td>" for c in r.findall(f"{_W}tc")) + "</tr>" for r in e.findall(f"{_W}tr")]
-                yield "", f"<table>{''.join(rows)}</table>"
+                yield None, f"<table>{''.join(rows)}</table>"
             elif e.tag in (f"{_W}sdt", f"{_W}sdtContent"):
                 yield from self._blocks(e)
 
     def html(self) -> str:
-        out, inside = [], ""
-        for kind, block in self._blocks(self.body if self.body is not None else []):
-            if kind != inside:
-                out.append((f"</{inside}>" if inside else "") + (f"<{kind}>" if kind else ""))
-                inside = kind
+        out: list[str] = []
+        lists: list[str] = []  # kinds of the open lists, each with an open item
+
+        def close(depth: int) -> None:
+            while len(lists) > depth:
+                out.append(f"</li></{lists.pop()}>")
+
+        for item, block in self._blocks(self.body if self.body is not None else []):
+            if item is None:
+                close(0)
+                out.append(block)
+                continue
+            level, kind = item
+            close(level + 1)
+            if len(lists) == level + 1:
+                if lists[-1] == kind:
+                    out.append("</li><li>")
+                else:
+                    close(level)
+            while len(lists) <= level:
+                out.append(f"<{kind}><li>")
+                lists.append(kind)
             out.append(block)
-        return "".join(out) + (f"</{inside}>" if inside else "")
+        close(0)
+        return "".join(out)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

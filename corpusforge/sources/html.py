@@ -85,7 +85,9 @@ class _Writer(HTMLParser):
             self.flush()
             kind = self.lists[-1] if self.lists else ["ul", 0]
             kind[1] += 1
-            self.prefix = "  " * max(0, len(self.lists) - 1) + ("- " if kind[0] == "ul" else f"{kind[1]}. ")
+            # An inner list stands below the text of the item that holds it.
+            marks = ["- " if k == "ul" else f"{max(1, n)}. " for k, n in self.lists or [kind]]
+            self.prefix = " " * sum(map(len, marks[:-1])) + marks[-1]
         elif tag == "blockquote":
             self.flush()
             self.quote += 1
