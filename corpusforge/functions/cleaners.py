@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .jstext import HTML_TAGS, WS, WS_INNER, trim
@@ -18,6 +18,7 @@ from .names import stem
 
 Cleaner = Callable[[Column, Column], Column]
 
+#: What the cleaners look for.
 H1 = rf"(?m)^#{WS}+[^#\n]+$"
 OVERVIEW = rf"##{WS}*概述{WS}*\n?"
 HEADING = rf"(?m)^#(#{{2,}}){WS}+(.+)$"
@@ -120,6 +121,26 @@ def length_deltas(df, content: str = "content", path: str = "path", chain: Seque
     return df
 
 
+def observed_clean(df: DataFrame, content: str = "content", path: str = "path", chain: Sequence[str] = CHAIN) -> tuple[DataFrame, Observation]:
+    """``clean_frame`` and what it did, counted in the same pass.
+
+    Once the rows are read the observation has for each cleaner that is known by a
+    pattern the matches that it met (``<cleaner>_matches``) and the documents with
+    any (``<cleaner>_docs``), and for each cleaner the characters that it added or
+    took (``<cleaner>_delta``).
+    """
+    seen, metrics = Observation(), []
+    for s in chain:
+        before, out = f"__{s}_before", CLEANERS[s](F.col(content), F.col(path))
+        if s in PATTERNS:
+            df = df.withColumn(f"__{s}_n", match_count(F.col(content), s))
+            metrics += [F.coalesce(F.sum(f"__{s}_n"), F.lit(0)).alias(f"{s}_matches"), F.count_if(F.col(f"__{s}_n") > 0).alias(f"{s}_docs")]
+        df = df.withColumn(before, F.length(content)).withColumn(content, out)
+        df = df.withColumn(before, F.length(content) - F.col(before))
+        metrics.append(F.coalesce(F.sum(before), F.lit(0)).alias(f"{s}_delta"))
+    return df.observe(seen, *metrics).drop(*[c for c in df.columns if c.startswith("__")]), seen
+
+
 def match_count(c: Column, name: str) -> Column:
     return F.regexp_count(c, F.lit(PATTERNS[name])).cast("long")
 

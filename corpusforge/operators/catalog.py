@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.names import catalog_name, is_lock_file, is_pointing, strip_pointing, under
@@ -51,3 +51,11 @@ def file_counts(files: DataFrame, folders: list[str] | None = None, ignored: lis
     """One row: n_found files, n_ignored of them by the ignore rules, n_kept."""
     keep = ignore_test(F.col(path), folders, ignored)
     return files.agg(F.count(F.lit(1)).alias("n_found"), F.count_if(~keep).alias("n_ignored"), F.count_if(keep).alias("n_kept"))
+
+
+def observed_filter(files: DataFrame, folders: list[str] | None = None, ignored: list[str] | None = None, path: str = "path") -> tuple[DataFrame, Observation]:
+    """``ignore_filter`` by name lists, and the counts of ``file_counts`` that come
+    with it: once the files are read the observation has n_found, n_ignored, n_kept."""
+    keep, seen = ignore_test(F.col(path), folders, ignored), Observation()
+    counted = files.withColumn("__keep", keep).observe(seen, F.count(F.lit(1)).alias("n_found"), F.count_if(~F.col("__keep")).alias("n_ignored"), F.count_if(F.col("__keep")).alias("n_kept"))
+    return counted.where("__keep").drop("__keep"), seen

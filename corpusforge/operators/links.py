@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jstext import WS_INNER, trim
 from ..functions.names import POINTING
+from ..plans.shared import kept
 
 #: The pattern of a mention and the address of the manual.
 #: A directory word has none of the letters p, n, g and no dot: the original
@@ -15,6 +18,10 @@ _DIR = rf"[^>.png{WS_INNER}]+"
 _NAME = rf"[^.{WS_INNER}]+"
 LINK = rf"([0-9]+\.{_DIR}(?:[ \t]+{_DIR})*) > ({_NAME}(?:[ \t]+{_NAME})*)\.docx"
 BASE = "/docx/插件详细手册"
+#: Hits are broadcast up to this size, by a measuring pass.
+BROADCAST_BYTES = 16 << 20
+#: Bits of the largest filter, 2 MB, and how many of them stand for a row.
+FILTER_BITS, _HASHES = 1 << 24, 3
 
 
 def links_of(content: Column) -> Column:
@@ -41,26 +48,74 @@ def extract_links(docs: DataFrame, pointing: DataFrame, keys: tuple[str, ...] =
     return joined.select(*keys, "seq", "dir", "name", "pointing", target.alias("target"))
 
 
-def rewrite_links(docs: DataFrame, pointing: DataFrame, content: str = "content") -> DataFrame:
+def _bit(at: Column) -> Column:
+    """The bit of a place within its byte."""
+    return F.call_function("shiftleft", F.lit(1), at.bitwiseAND(F.lit(7)).cast("int"))
+
+
+def bloom(known: DataFrame, *columns: str) -> bytes:
+    """A Bloom filter of rows, as bytes for the driver: FILTER_BITS bits at most.
+
+    Built by one aggregation of bits; with more rows than it has room for it lets
+    more through and never loses one.
+    """
+    n = known.count()
+    size = min(FILTER_BITS, max(1 << 13, 1 << (10 * n).bit_length()))
+    places = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), *columns), F.lit(size)) for k in range(_HASHES)])).alias("at")
+    bits = known.select(places).groupBy(F.shiftright("at", 3).alias("byte")).agg(F.bit_or(_bit(F.col("at"))).alias("bits"))
+    out = bytearray(size // 8)
+    for r in bits.collect():
+        out[r.byte] = r.bits
+    return bytes(out)
+
+
+def may_hold(filled: bytes, *values: Column) -> Column:
+    """False for rows that the filter was certainly not made of."""
+    size = 8 * len(filled)
+
+    def bit(k: int) -> Column:
+        at = F.pmod(F.xxhash64(F.lit(k), *values), F.lit(size))
+        byte = F.conv(F.hex(F.substr(F.lit(filled), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return byte.bitwiseAND(_bit(at)) != 0
+
+    return reduce(Column.__and__, [bit(k) for k in range(_HASHES)])
+
+
+def rewrite_links(docs: DataFrame, pointing: DataFrame, content: str = "content", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with every mention in ``content`` turned into a link.
 
     The pieces of a text are put together by position, so a mention that is a
-    part of another is never replaced inside it. The texts are read once: a row
-    per mention is joined with the index by (dir, name), only the first row of a
-    document carries its columns, and the rows of a document meet again by a
-    number that is given to it on the way. Nothing needs a unique key.
+    part of another is never replaced inside it.
+
+    Contents stay where they are read. A first look takes from each text the
+    mentions that a Bloom filter of the index lets through, and only these, with a
+    digest of the text, are joined with the index by (dir, name). What they hit is
+    found again by the digest: texts that are equal have equal links, so rows need
+    no key of their own. If the hits are larger than ``broadcast_bytes``, the texts
+    that the filter lets through are shuffled to them, and no others.
     """
-    rows = docs.withColumn("__links", links_of(F.col(content))).select(F.monotonically_increasing_id().alias("__row"), F.struct("__links", *[f"`{x}`" for x in docs.columns]).alias("__doc"))
-    each = rows.select("__row", "__doc", F.posexplode_outer("__doc.__links").alias("__seq", "__link"))
-    each = each.select("__row", F.when(F.coalesce("__seq", F.lit(0)) == 0, F.col("__doc")).alias("__doc"), "__seq", F.col("__link.dir").alias("dir"), trim(F.col("__link.name")).alias("key"))
-    known = pointing.select("dir", F.col("name").alias("key")).distinct().withColumn("__hit", F.lit(True))
-    found = each.join(known, ["dir", "key"], "left").groupBy("__row").agg(F.first("__doc", ignorenulls=True).alias("__doc"), F.collect_set(F.when(F.col("__hit"), F.col("__seq"))).alias("__hits"))
-    c = F.col(f"__doc.{content}")
-    rendered = F.transform("__doc.__links", lambda l, i: render(l["dir"], l["name"], F.array_contains("__hits", i)))
-    gaps = F.split(c, LINK, -1)
-    text = F.array_join(F.flatten(F.zip_with(gaps, rendered, lambda g, r: F.array(g, F.coalesce(r, F.lit(""))))), "")
-    whole = F.when(F.size("__doc.__links") > 0, text).otherwise(c)
-    return found.select(*[(whole if x == content else F.col(f"__doc.`{x}`")).alias(x) for x in docs.columns])
+    known = kept(pointing.select("dir", F.col("name").alias("key")).distinct())
+    filled = bloom(known, "dir", "key")
+    c = F.col(content)
+    mentions = F.transform(links_of(c), lambda m: F.struct(m["dir"].alias("dir"), trim(m["name"]).alias("key")))
+    likely = F.filter(F.array_distinct(mentions), lambda m: may_hold(filled, m["dir"], m["key"]))
+    sha = F.sha2(c, 256).alias("__sha")
+    asked = docs.select(sha, F.explode(likely).alias("m")).select("__sha", "m.dir", "m.key")
+    hits = kept(asked.join(known, ["dir", "key"]).groupBy("__sha").agg(F.collect_set(F.struct("dir", "key")).alias("__hits")))
+
+    def rewritten(rows: DataFrame) -> DataFrame:
+        rendered = F.transform(links_of(c), lambda l: render(l["dir"], l["name"], F.coalesce(F.array_contains("__hits", F.struct(l["dir"].alias("dir"), trim(l["name"]).alias("key"))), F.lit(False))))
+        text = F.array_join(F.flatten(F.zip_with(F.split(c, LINK, -1), rendered, lambda g, r: F.array(g, F.coalesce(r, F.lit(""))))), "")
+        whole = F.when(F.size(rendered) > 0, text).otherwise(c)
+        return rows.select(*[(whole if x == content else F.col(f"`{x}`")).alias(x) for x in docs.columns])
+
+    keyed = docs.withColumn("__sha", sha)
+    size = hits.agg(F.sum(F.octet_length(F.to_json("__hits")) + 96)).first()[0] or 0
+    if size <= broadcast_bytes:
+        return rewritten(keyed.join(F.broadcast(hits), "__sha", "left"))
+    through = F.coalesce(F.size(likely) > 0, F.lit(False))
+    none = F.lit(None).cast(hits.schema["__hits"].dataType)
+    return rewritten(keyed.where(through).join(hits, "__sha", "left")).unionByName(rewritten(docs.where(~through).withColumn("__hits", none)))
 
 
 def dangling_links(links: DataFrame, names: DataFrame) -> DataFrame:
