@@ -10,20 +10,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` worked out once, in the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares.
 
     ``spark.checkpoint.dir`` is used as the session has it. Where it is unset, a
     temporary folder serves on one machine; a cluster without it is refused, as
     its executors would not see each other's files.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.split("[")[0] == "local":
+    given = sc._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None)
+    if folder is None:
+        if sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusforge-"))
+        folder = tempfile.mkdtemp(prefix="corpusforge-")
+    return folder.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` worked out once, in the folder that the cluster shares."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

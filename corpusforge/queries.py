@@ -8,6 +8,7 @@ engine has none): they split texts and look at the pieces.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +21,13 @@ from .operators import catalog, images, links, plugins, renames, targets, tree
 from .plans.build import Built, all_errors, clean_checked, clean_documents, collisions, office_documents, overwritten, report
 from .plans.organize import plan_dirty, plan_extractions, plan_organize, plan_targets, plan_volumes
 from .sources import listing
-from .sources.archives import extract
+from .plans.shared import kept, make, remove, shared_folder
+from .plans.write import manifest_of, write_corpus
+from .sources.archives import EXTRACTORS, extract, extract_split, register_extractor
 from .sources.config import OrganizeConfig
 from .sources.docx import docx_to_html
 from .sources.html import pages_to_markdown
+from .sources.tree_source import read_tree
 
 FILES = """SELECT doc_id, root || '/' || dir || '/' || base || '.' || ext AS path, dir, base AS name, base || '.' || ext AS file, ext FROM (
  SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'corpus/node_modules' ELSE 'corpus/manual' END AS root,
@@ -733,3 +737,149 @@ def q_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings, marks, links, lists and tables to Markdown."""
     pages = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_PAGE).alias("html"))
     return pages_to_markdown(pages, key="doc_id").select("doc_id", "content")
+
+
+# --- files -----------------------------------------------------------------------------
+
+#: Where whole texts are written, and what makes a name of theirs.
+_WRITTEN = "SELECT CASE WHEN doc_id % 7 = 0 THEN '.h' WHEN doc_id % 7 = 1 THEN '_u' ELSE 'd' || CAST(doc_id % 30 AS STRING) END AS dir, CAST(doc_id AS STRING) || CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.bin' END AS name, coalesce(text, '') AS content FROM documents"
+_SOURCES["written"] = (_WRITTEN, "documents")
+
+
+def _on_disk(spark: SparkSession, sf_dir: str, read: Callable[[str], DataFrame]) -> DataFrame:
+    """Whole texts written as files of a corpus, read again, and removed."""
+    base = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}".removeprefix("file:")
+    texts = view(spark, sf_dir, "written").select(F.concat(F.lit("docs/"), "dir", F.lit("/"), "name").alias("path"), "content")
+    try:
+        failed = write_corpus(spark, Built(texts, None, spark.createDataFrame([], "path string, stage string, error string")), "docs", base)
+        if not failed.isEmpty():
+            raise OSError(failed.first().error)
+        return kept(read(f"{base}/docs"))
+    finally:
+        remove(spark, base)
+
+
+def _below(folder: str):
+    """The path below a folder, as listings show both."""
+    return F.regexp_extract("path", "/docs/(.*)$", 1).alias("path")
+
+
+_FILE_ROWS = "SELECT dir || '/' || name AS path, octet_length(encode(content)) AS bytes, sha256(content) AS sha FROM fx_written"
+
+
+@query("q_read_binaries", _with("written") + f"SELECT path, sha FROM ({_FILE_ROWS}) WHERE NOT starts_with(path, '.') AND NOT starts_with(path, '_')")
+def q_read_binaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole files as bytes; Spark's readers pass over hidden folders."""
+    return _on_disk(spark, sf_dir, lambda d: listing.read_binaries(spark, d).select(_below(d), F.sha2("content", 256).alias("sha")))
+
+
+@query("q_read_texts", _with("written") + f"SELECT path, sha FROM ({_FILE_ROWS}) WHERE path LIKE '%.txt' AND NOT starts_with(path, '.') AND NOT starts_with(path, '_')")
+def q_read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _on_disk(spark, sf_dir, lambda d: listing.read_texts(spark, d).select(_below(d), F.sha2(F.coalesce("content", F.lit("")), 256).alias("sha")))
+
+
+@query("q_scan_texts", _with("written") + f"SELECT path, CAST(bytes AS BIGINT) AS bytes FROM ({_FILE_ROWS}) WHERE path LIKE '%.txt' AND NOT starts_with(path, '.') AND NOT starts_with(path, '_')")
+def q_scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _on_disk(spark, sf_dir, lambda d: listing.scan_texts(spark, d).select(_below(d), F.col("length").alias("bytes")))
+
+
+@query("q_manifest", _with("written") + f"SELECT path, CAST(bytes AS BIGINT) AS bytes, sha FROM ({_FILE_ROWS})")
+def q_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the tasks that wrote a corpus say of its files."""
+    return _on_disk(spark, sf_dir, lambda d: manifest_of(spark, d).select("path", "bytes", F.col("sha256").alias("sha")))
+
+
+@query("q_tree_source", _with("written") + "SELECT '/' || dir AS dir, name, 'file' AS kind, 2 AS depth FROM fx_written UNION ALL SELECT DISTINCT '', dir, 'dir', 1 FROM fx_written")
+def q_tree_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry of a written corpus but its manifest, hidden ones too."""
+    return _on_disk(spark, sf_dir, lambda d: read_tree(spark, d).where("dir <> '/.manifest' AND name <> '.manifest'").select("dir", "name", "kind", "depth"))
+
+
+def _slow(name: str, data: bytes, password: str | None):
+    raise TimeoutError(f"{name} takes too long")
+
+
+if ".slow" not in EXTRACTORS:
+    register_extractor(".slow", _slow)
+
+
+@query("q_extract_status", """SELECT path, CASE e WHEN 'zip' THEN 'error' WHEN 'gz' THEN 'ok' WHEN 'slow' THEN 'timeout' ELSE 'unsupported' END AS status,
+    CASE e WHEN 'zip' THEN 'File is not a zip file' WHEN 'gz' THEN '' WHEN 'slow' THEN path || ' takes too long' ELSE 'no reader for .rar' END AS error
+    FROM (SELECT 'd/' || doc_id || '.' || e AS path, e FROM (SELECT doc_id, ['zip', 'gz', 'slow', 'rar'][doc_id % 4 + 1] AS e FROM documents))""")
+def q_extract_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of archives that are no archives, take too long or have no reader."""
+    ext = F.element_at(F.array(*map(F.lit, ("zip", "gz", "slow", "rar"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    empty = F.unhex(F.lit("1F8B08000000000002FF03000000000000000000"))
+    text = F.encode(F.concat(F.lit("no archive "), F.coalesce("text", F.lit(""))), "UTF-8")
+    files = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), F.when(ext == "gz", empty).otherwise(text).alias("content"))
+    return extract(files).select("path", "status", F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query("q_zip_split", "SELECT 'z' || CAST(doc_id // 64 AS STRING) || '.zip' AS path, 't/' || CAST(doc_id AS STRING) AS member, 'ok' AS status, sha256(coalesce(text, '')) AS sha FROM documents")
+def q_zip_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives on disk, of at most 64 texts each, whose members are read by their byte ranges."""
+
+    def run(batches):
+        import zipfile
+
+        for b in batches:
+            for path, members in zip(b.column("path").to_pylist(), b.column("members").to_pylist(), strict=True):
+                with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+                    for m in members:
+                        z.writestr(m["name"], m["text"])
+            yield b.select(["path"])
+
+    base = f"{shared_folder(spark)}/zips-{uuid.uuid4().hex}".removeprefix("file:")
+    make(spark, base)
+    try:
+        text = F.struct(F.concat(F.lit("t/"), F.col("doc_id").cast("string")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+        path = F.concat(F.lit(f"{base}/z"), F.floor(F.col("doc_id") / 64).cast("string"), F.lit(".zip"))
+        archives = _table(spark, sf_dir, "documents").select(path.alias("path"), text.alias("m")).groupBy("path").agg(F.collect_list("m").alias("members"))
+        paths = kept(archives.mapInArrow(run, "path string"))
+        return kept(extract_split(paths).select(F.element_at(F.split("path", "/"), -1).alias("path"), "member", "status", F.sha2("content", 256).alias("sha")))
+    finally:
+        remove(spark, base)
+
+
+def _pictured_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word-processor file for each text: its lines, and the text as a picture."""
+
+    def run(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        w, r, a = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/drawingml/2006/main"
+        for b in batches:
+            out = []
+            for kind, text in zip(b.column("kind").to_pylist(), b.column("text").to_pylist(), strict=True):
+                body = f'<w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:drawing><a:blip r:embed="p"/></w:drawing></w:r></w:p>'
+                file = io.BytesIO()
+                with zipfile.ZipFile(file, "w") as z:
+                    z.writestr("word/document.xml", f'<w:document xmlns:w="{w}" xmlns:r="{r}" xmlns:a="{a}"><w:body>{body}</w:body></w:document>')
+                    z.writestr("word/_rels/document.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="p" Target="media/p.{kind}"/></Relationships>')
+                    z.writestr(f"word/media/p.{kind}", text)
+                out.append(file.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.binary())], ["path", "content"])
+
+    kind = F.element_at(F.array(*map(F.lit, ("png", "jpeg", "emf"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    texts = _table(spark, sf_dir, "documents").select(F.concat(F.lit("corpus/"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), kind.alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInArrow(run, "path string, content binary")
+
+
+_PICTURED = """SELECT CAST(doc_id AS STRING) AS d, ['png', 'jpeg', 'emf'][doc_id % 3 + 1] AS kind, coalesce(text, '') AS text, CASE WHEN doc_id % 3 = 2 THEN 'unsupported' WHEN octet_length(encode(coalesce(text, ''))) < 7 THEN 'empty' ELSE 'ok' END AS status,
+    CAST(doc_id AS STRING) || '-001.' || ['png', 'jpg', 'png'][doc_id % 3 + 1] AS name FROM documents"""
+
+
+@query("q_office_images", f"SELECT 'corpus/' || d || '.docx' AS path, 1 AS seq, name, status, CASE WHEN status = 'ok' THEN './images/' || d || '/' || name ELSE '{images.PLACEHOLDER}' END AS src, sha256(text) AS sha FROM ({_PICTURED})")
+def q_office_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures out of word-processor files, with their bytes."""
+    found = office_documents(_pictured_files(spark, sf_dir), "corpus", "docs")[1]
+    return found.select("path", "seq", "name", "status", "src", F.sha2("data", 256).alias("sha"))
+
+
+@query("q_office_documents", f"SELECT 'docs/' || d || '.md' AS path, '## Top' || chr(10) || chr(10) || '![](' || CASE WHEN status = 'ok' THEN './images/' || d || '/' || name ELSE '{images.PLACEHOLDER}' END || ')' || chr(10) AS content FROM ({_PICTURED})")
+def q_office_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From word-processor files to Markdown, with the pictures' own addresses."""
+    return office_documents(_pictured_files(spark, sf_dir), "corpus", "docs")[0].select("path", "content")
