@@ -12,21 +12,20 @@ table gives an empty table.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.llm import jaccard_join, line_dedup, mixing, pieces, toxicity
-from corpusforge.llm.common import checkpoint, row_hash, sized_broadcast, small_batches, table
+from corpusforge.llm.common import checkpoint, remove_folder, row_hash, shared_folder, sized_broadcast, small_batches, table
 
 #: SQL cannot express the fitted grammar, the forest or the piece lattice.
 ORACLE_SQL = None
 #: The mix takes each document once at most, and this share of all tokens.
 MIX_EPOCHS, MIX_SHARE = 1, 0.9
 #: Units that the encoder holds: executors still hold what earlier stages left.
-HELD = 400_000
+HELD = 100_000
 
 
 def _among(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
@@ -110,19 +109,13 @@ STAGES = [
 ]
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. What a stage wrote goes once the next one has."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusforge-")
-    folder = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
         if k:
-            _remove(spark, f"{folder}/{k - 1}")
+            remove_folder(spark, f"{folder}/{k - 1}")
     return docs
