@@ -26,8 +26,10 @@ from .common import checkpoint, row_hash, sized_broadcast, small_batches, table,
 MAX_EPOCHS = 2
 BUDGET_SHARE = 0.8
 SEED = 7
-#: Hash bits that a histogram round resolves, and rounds at most.
+#: Bits that a histogram round resolves, and rounds for each of the three words of
+#: 56 bits that order the rows of an epoch.
 BITS, ROUNDS = 8, 7
+WORDS = ("w0", "w1", "w2")
 #: A range with at most so many documents is ordered row by row.
 RANGE_ROWS = 4096
 #: Leaves of a tree, which the driver holds; a tree of more is refused.
@@ -98,7 +100,24 @@ def _order(seed: int, epoch: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch.cast("int"), F.col("id").cast("string")), 8)
 
 
-def mix(df: DataFrame, root: Node, levels: list[Column], id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def _words(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with their place in the order of the partial epoch, as three words.
+
+    The id decides, hashed with the epoch; of rows that repeat an id (null ids
+    among them) the text's hash does, and of equal rows the place where they were
+    read, which of them being chosen makes no difference.
+    """
+    top = F.lit(-(1 << 63)).bitwiseXOR(F.col("row"))
+    return rows.withColumns({"w0": _order(seed, F.col("whole")), "w1": F.shiftrightunsigned(top, 8), "w2": F.shiftrightunsigned(F.xxhash64("n"), 8)})
+
+
+def _cut(word: str, k: int) -> Column:
+    """The first bits of a word that the range of a plan row fixes."""
+    fixed = F.least(F.greatest(F.col("depth") * BITS - 56 * k, F.lit(0)), F.lit(56))
+    return F.call_function("shiftright", F.col(word), (F.lit(56) - fixed).cast("int"))
+
+
+def mix(df: DataFrame, root: Node, levels: list[Column], id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, max_leaves: int = MAX_LEAVES) -> DataFrame:
     """One row per chosen document and epoch: id, row, leaf (array), epoch, tokens.
 
     ``levels`` are the columns of the tree from the root down. The budget is
@@ -110,49 +129,52 @@ def mix(df: DataFrame, root: Node, levels: list[Column], id_col: str = "doc_id",
     they go with the prefix that they fall in. A leaf without any tokens gives
     nothing. Rows that repeat an id fall together in the order and go by
     ``row``; equal ones are chosen or left one by one. Empty table: no rows.
-    Other columns are ignored. More than MAX_LEAVES leaves: a ValueError.
+    Other columns are ignored. The driver holds the
+    tree: more than ``max_leaves`` leaves are a ValueError.
     """
     spark = df.sparkSession
     count = tokens if tokens is not None else F.regexp_count(text_of(text_col), F.lit(r"\S+"))
     leaf = F.array(*[F.coalesce(c.cast("string"), F.lit("")) for c in levels])
-    docs = checkpoint(df.select(F.col(id_col).alias("id"), row_hash(text_col).alias("row"), leaf.alias("leaf"), count.cast("long").alias("tokens")))
-    totals = docs.groupBy("leaf").agg(F.sum("tokens").alias("t")).limit(MAX_LEAVES + 1).collect()
-    if len(totals) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves")
+    docs = checkpoint(df.select(F.col(id_col).alias("id"), row_hash(text_col).alias("row"), leaf.alias("leaf"), count.cast("long").alias("tokens"), F.monotonically_increasing_id().alias("n")))
+    totals = docs.groupBy("leaf").agg(F.sum("tokens").alias("t")).limit(max_leaves + 1).collect()
+    if len(totals) > max_leaves:
+        raise ValueError(f"more than {max_leaves} leaves")
     available = {tuple(r.leaf): r.t for r in totals}
     budgets = propagate(root, available, int(budget_share * sum(available.values())), max_epochs)
 
-    # Whole epochs, tokens of the partial one, and the hash range that holds its
-    # end: its first ``depth`` steps of BITS bits, 0 while there is none.
-    kind = T.StructType([T.StructField("leaf", T.ArrayType(T.StringType())), *[T.StructField(n, T.LongType()) for n in ("whole", "rest", "depth", "start", "inside")]])
-    rows = [(list(k), b // available[k], b % available[k], 0, 0, 0) for k, b in budgets.items() if b and available[k]]
+    # Whole epochs, tokens of the partial one, and the range of the order that holds
+    # its end: its first ``depth`` steps of BITS bits, 0 while there is none.
+    starts = [f"s{k}" for k in range(len(WORDS))]
+    kind = T.StructType([T.StructField("leaf", T.ArrayType(T.StringType())), *[T.StructField(n, T.LongType()) for n in ("whole", "rest", "depth", *starts, "inside")]])
+    rows = [(list(k), b // available[k], b % available[k], 0, 0, 0, 0, 0) for k, b in budgets.items() if b and available[k]]
     plan = checkpoint(spark.createDataFrame(rows, kind))
     done, todo = plan.where("rest = 0"), plan.where("rest > 0")
-    for depth in range(ROUNDS):
+    for depth in range(ROUNDS * len(WORDS)):
         if todo.isEmpty():
             break
         # Only documents in the ranges that are still open are counted.
-        h = docs.join(sized_broadcast(todo), "leaf").withColumn("h", _order(seed, F.col("whole")))
-        low = 56 - BITS * (depth + 1)
-        h = h.where(F.shiftright("h", low + BITS) == F.shiftright("start", low + BITS))
-        bins = h.groupBy("leaf", F.shiftright("h", low).alias("bin")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+        at, low = depth // ROUNDS, 56 - BITS * (depth % ROUNDS + 1)
+        h = _words(docs.join(sized_broadcast(todo), "leaf"), seed)
+        for k in range(at):
+            h = h.where(F.col(WORDS[k]) == F.col(starts[k]))
+        h = h.where(F.shiftright(WORDS[at], low + BITS) == F.shiftright(starts[at], low + BITS))
+        bins = h.groupBy("leaf", F.shiftright(WORDS[at], low).alias("bin")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
         # At most 2**BITS rows of a leaf meet here.
         upto = F.sum("t").over(Window.partitionBy("leaf").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
         passed = bins.withColumn("upto", upto).join(todo.select("leaf", F.col("rest").alias("goal")), "leaf").where("upto > goal")
         end = passed.groupBy("leaf").agg(F.min_by(F.struct("bin", "n", (F.col("upto") - F.col("t")).alias("below")), "bin").alias("e"))
         # A range without an end can not be: its tokens are more than the rest.
-        plan = todo.join(end, "leaf").select("leaf", "whole", (F.col("rest") - F.col("e.below")).alias("rest"), F.lit(depth + 1).cast("long").alias("depth"), F.shiftleft("e.bin", low).alias("start"), F.col("e.n").alias("inside"))
+        plan = todo.join(end, "leaf").select("leaf", "whole", (F.col("rest") - F.col("e.below")).alias("rest"), F.lit(depth + 1).cast("long").alias("depth"), *[F.shiftleft("e.bin", low).alias(x) if k == at else F.col(x) for k, x in enumerate(starts)], F.col("e.n").alias("inside"))
         plan = checkpoint(plan)
         done, todo = done.unionByName(plan.where(f"inside <= {RANGE_ROWS}")), plan.where(f"inside > {RANGE_ROWS}")
 
     # Below the range: chosen. Inside it: chosen while the tokens fit.
     planned = checkpoint(done.unionByName(todo).drop("inside"))
-    own = docs.join(sized_broadcast(planned), "leaf").withColumn("h", _order(seed, F.col("whole")))
-    cut = "shiftright({}, 56 - cast(depth as int) * " + str(BITS) + ")"
-    inside = F.expr(cut.format("h")) == F.expr(cut.format("start"))
-    edge = F.when(F.col("depth") == 0, 0).when(inside, 1).when(F.col("h") < F.col("start"), 2).otherwise(0)
+    own = _words(docs.join(sized_broadcast(planned), "leaf"), seed)
+    here, end = (F.array(*[_cut(x, k) for k, x in enumerate(names)]) for names in (WORDS, starts))
+    edge = F.when(F.col("depth") == 0, 0).when(here == end, 1).when(here < end, 2).otherwise(0)
     own = own.withColumn("edge", edge)
-    so_far = Window.partitionBy("leaf").orderBy("h", "id", "row").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("leaf").orderBy("w0", "id", "row", "w2").rowsBetween(Window.unboundedPreceding, 0)
     inner = own.where("edge = 1").withColumn("upto", F.sum("tokens").over(so_far))
     epochs = F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)
     full = own.where("whole > 0").select("id", "row", "leaf", F.explode(epochs).alias("epoch"), "tokens")
