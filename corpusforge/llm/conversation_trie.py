@@ -14,7 +14,7 @@
    place of n * n / 2, and one of at most BLOCK turns exactly the latter.
 
 A task holds a block, never a conversation or a group of copies. The members that
-end at a node are read in order for their digest, one at a time.
+end at a node are listed by ranges, and the lists are read in order for their digest.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .common import checkpoint, join_heavy, sized_broadcast, small_batches, tabl
 
 #: Turns of a block.
 BLOCK = 32
+#: Ids that are listed in a row.
+LISTED = 4096
 #: Bytes of a digest: two of them are equal by chance once in 2**64 prefixes.
 SIZE = 16
 
@@ -125,19 +127,35 @@ def _outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("conv"), pc.add(b.column("block"), 1), pa.array(chains, pa.binary()), pa.array(befores, pa.binary())], ["conv", "block", "chain", "before"])
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, part, at, ids: the decimal ids of (key, conv) rows sorted by both, some
+    LISTED of them joined."""
+    part, at = TaskContext.get().partitionId(), 0
+    for b in batches:
+        out: list[tuple] = []
+        key, ids = None, []
+        for k, c in [*zip(b.column("key").to_pylist(), b.column("conv").to_pylist(), strict=True), (None, None)]:
+            if ids and (k != key or len(ids) == LISTED):
+                out.append((key, part, at, ",".join(ids)))
+                at, ids = at + 1, []
+            key = k
+            ids.append(str(c))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["key", "part", "at", "ids"])
+
+
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, ends_sha256 of (key, conv) rows sorted by both."""
+    """key, ends_sha256 of listed ids sorted by key, part and at."""
     key = h = None
     for b in batches:
         out: list[tuple] = []
-        for k, c in zip(b.column("key").to_pylist(), b.column("conv").to_pylist(), strict=True):
+        for k, ids in zip(b.column("key").to_pylist(), b.column("ids").to_pylist(), strict=True):
             if k != key:
                 if h is not None:
                     out.append((key, h.hexdigest()))
-                key, h = k, hashlib.sha256()
-                h.update(str(c).encode())
+                key, h = k, hashlib.sha256(ids.encode())
             else:
-                h.update(f",{c}".encode())
+                h.update(f",{ids}".encode())
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([x for _, x in out], pa.string())], ["key", "ends_sha256"])
     if h is not None:
         yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([h.hexdigest()], pa.string())], ["key", "ends_sha256"])
@@ -204,16 +222,22 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
 
     last = paths.groupBy("conv").agg(F.max(F.struct("block", F.element_at("keys", -1).alias("key")))["key"].alias("key"))
     ended = convs.select("conv").join(last, "conv", "left").select(F.coalesce("key", none).alias("key"), "conv")
-    ends = checkpoint(ended.repartition("key").sortWithinPartitions("key", "conv").mapInArrow(_ends, "key binary, ends_sha256 string"))
+    # Members of a crowd of copies are sorted and listed by many tasks; only their
+    # digest is taken in one go, list by list.
+    lists = ended.repartitionByRange("key", "conv").sortWithinPartitions("key", "conv").mapInArrow(_listed, "key binary, part int, at long, ids string")
+    ends = checkpoint(lists.repartition("key").sortWithinPartitions("key", "part", "at").mapInArrow(_ends, "key binary, ends_sha256 string"))
     shas = F.coalesce("ends_sha256", F.lit(hashlib.sha256().hexdigest())).alias("ends_sha256")
 
-    all_convs = convs.agg(F.min("conv").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).where("n_convs > 0")
-    below = nodes.agg(F.count_if(F.col("depth") == 1).alias("n_children"), F.coalesce(F.count_if(F.col("n_children") == 0), F.lit(0)).alias("leaves"), F.coalesce(F.sum((F.col("n_convs") - 1) * F.col("chars")), F.lit(0)).alias("saved_tokens"))
-    # One row each, joined by a constant.
-    top = checkpoint(all_convs.withColumn("one", F.lit(1)).join(below.withColumn("one", F.lit(1)), "one").withColumn("key", none).join(ends, "key", "left"))
-    root = top.select("conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", "n_children", F.greatest("leaves", F.lit(1)).alias("n_leaves"), "saved_tokens", shas)
+    # The root's row is made of sums alone.
+    spark = nodes.sparkSession
+    convs_row = convs.agg(F.min("conv").alias("least"), F.count(F.lit(1)).alias("n")).first()
+    below = nodes.agg(F.count_if(F.col("depth") == 1).alias("kids"), F.count_if(F.col("n_children") == 0).alias("leaves"), F.coalesce(F.sum((F.col("n_convs") - 1) * F.col("chars")), F.lit(0)).alias("saved")).first()
+    kind = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
+    bare = ends.where(F.col("key") == none).first()
+    top = [(convs_row.least, 0, None, convs_row.n, below.kids, max(below.leaves, 1), below.saved, bare.ends_sha256 if bare else hashlib.sha256().hexdigest())]
+    root = spark.createDataFrame(top if convs_row.n else [], kind)
     parents = nodes.where("n_children > 0").select(F.col("key").alias("parent"), F.col("conv").alias("parent_conv_id"), F.col("n_children").alias("fan"))
-    parents = checkpoint(parents.unionByName(top.select(none.alias("parent"), F.col("conv_id").alias("parent_conv_id"), F.col("n_children").alias("fan"))))
+    parents = checkpoint(parents.unionByName(root.select(none.alias("parent"), F.col("conv_id").alias("parent_conv_id"), F.col("n_children").alias("fan"))))
     rows = nodes.join(sums, "key").join(ends, "key", "left").select(F.col("conv").alias("conv_id"), "depth", "parent", "n_convs", "n_children", "n_leaves", "saved_tokens", shas)
     return root.unionByName(join_heavy(rows, parents, "parent", "fan").select(root.columns))
 

@@ -57,6 +57,7 @@ def got(df):
 @pytest.mark.parametrize(("seed", "block"), [(1, 32), (2, 3), (3, 2), (4, 1)])
 def test_against_whole_prefixes(spark, monkeypatch, seed, block):
     monkeypatch.setattr(C, "BLOCK", block)
+    monkeypatch.setattr(C, "LISTED", 1 + block)
     rng = random.Random(seed)
     rows = []
     for c in rng.sample(range(1000), 60) + list(range(5)):
