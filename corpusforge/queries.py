@@ -759,9 +759,8 @@ def _on_disk(spark: SparkSession, sf_dir: str, read: Callable[[str], DataFrame])
         remove(spark, base)
 
 
-def _below(folder: str):
-    """The path below a folder, as listings show both."""
-    return F.regexp_extract("path", "/docs/(.*)$", 1).alias("path")
+#: The path below the written corpus, from one as listings show it.
+_BELOW = "regexp_extract(path, '/docs/(.*)$', 1) AS path"
 
 
 _FILE_ROWS = "SELECT dir || '/' || name AS path, octet_length(encode(content)) AS bytes, sha256(content) AS sha FROM fx_written"
@@ -770,17 +769,17 @@ _FILE_ROWS = "SELECT dir || '/' || name AS path, octet_length(encode(content)) A
 @query("q_read_binaries", _with("written") + f"SELECT path, sha FROM ({_FILE_ROWS}) WHERE NOT starts_with(path, '.') AND NOT starts_with(path, '_')")
 def q_read_binaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole files as bytes; Spark's readers pass over hidden folders."""
-    return _on_disk(spark, sf_dir, lambda d: listing.read_binaries(spark, d).select(_below(d), F.sha2("content", 256).alias("sha")))
+    return _on_disk(spark, sf_dir, lambda d: listing.read_binaries(spark, d).select(F.expr(_BELOW), F.sha2("content", 256).alias("sha")))
 
 
 @query("q_read_texts", _with("written") + f"SELECT path, sha FROM ({_FILE_ROWS}) WHERE path LIKE '%.txt' AND NOT starts_with(path, '.') AND NOT starts_with(path, '_')")
 def q_read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _on_disk(spark, sf_dir, lambda d: listing.read_texts(spark, d).select(_below(d), F.sha2(F.coalesce("content", F.lit("")), 256).alias("sha")))
+    return _on_disk(spark, sf_dir, lambda d: listing.read_texts(spark, d).select(F.expr(_BELOW), F.sha2(F.coalesce("content", F.lit("")), 256).alias("sha")))
 
 
 @query("q_scan_texts", _with("written") + f"SELECT path, CAST(bytes AS BIGINT) AS bytes FROM ({_FILE_ROWS}) WHERE path LIKE '%.txt' AND NOT starts_with(path, '.') AND NOT starts_with(path, '_')")
 def q_scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _on_disk(spark, sf_dir, lambda d: listing.scan_texts(spark, d).select(_below(d), F.col("length").alias("bytes")))
+    return _on_disk(spark, sf_dir, lambda d: listing.scan_texts(spark, d).select(F.expr(_BELOW), F.col("length").alias("bytes")))
 
 
 @query("q_manifest", _with("written") + f"SELECT path, CAST(bytes AS BIGINT) AS bytes, sha FROM ({_FILE_ROWS})")
@@ -799,10 +798,6 @@ def _slow(name: str, data: bytes, password: str | None):
     raise TimeoutError(f"{name} takes too long")
 
 
-if ".slow" not in EXTRACTORS:
-    register_extractor(".slow", _slow)
-
-
 @query("q_extract_status", """SELECT path, CASE e WHEN 'zip' THEN 'error' WHEN 'gz' THEN 'ok' WHEN 'slow' THEN 'timeout' ELSE 'unsupported' END AS status,
     CASE e WHEN 'zip' THEN 'File is not a zip file' WHEN 'gz' THEN '' WHEN 'slow' THEN path || ' takes too long' ELSE 'no reader for .rar' END AS error
     FROM (SELECT 'd/' || doc_id || '.' || e AS path, e FROM (SELECT doc_id, ['zip', 'gz', 'slow', 'rar'][doc_id % 4 + 1] AS e FROM documents))""")
@@ -812,7 +807,12 @@ def q_extract_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = F.unhex(F.lit("1F8B08000000000002FF03000000000000000000"))
     text = F.encode(F.concat(F.lit("no archive "), F.coalesce("text", F.lit(""))), "UTF-8")
     files = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), F.when(ext == "gz", empty).otherwise(text).alias("content"))
-    return extract(files).select("path", "status", F.coalesce("error", F.lit("")).alias("error"))
+    register_extractor(".slow", _slow)
+    try:
+        out = extract(files)
+    finally:
+        EXTRACTORS.pop(".slow")
+    return out.select("path", "status", F.coalesce("error", F.lit("")).alias("error"))
 
 
 @query("q_zip_split", "SELECT 'z' || CAST(doc_id // 64 AS STRING) || '.zip' AS path, 't/' || CAST(doc_id AS STRING) AS member, 'ok' AS status, sha256(coalesce(text, '')) AS sha FROM documents")
