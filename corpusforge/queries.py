@@ -689,7 +689,7 @@ _NUMBERED = (
 _LEVELS = ('<w:numPr><w:ilvl w:val="0"/><w:numId w:val="3"/></w:numPr>', '<w:pStyle w:val="Base"/>', '<w:pStyle w:val="Deep"/>')
 
 
-def _list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _list_files(spark: SparkSession, sf_dir: str, odd: str = r"[^\n\x20-\x7e\u00A1-\uD7FF]") -> DataFrame:
     """A word-processor file for each text: its lines are items of levels 0, 1, 2, 0, ..."""
 
     def run(batches):
@@ -713,7 +713,7 @@ def _list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append(file.getvalue())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["path", "content"])
 
-    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\n\x20-\x7e\u00A1-\uD7FF]", " ")
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), odd, " ")
     texts = _table(spark, sf_dir, "documents").select(F.concat(F.lit("corpus/"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), plain.alias("text"))
     return texts.mapInArrow(run, "path string, content binary")
 
@@ -729,6 +729,31 @@ def q_docx_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docx_to_html(_list_files(spark, sf_dir)).select("path", "html")
 
 
+#: Lines of whole texts in letters that Markdown and white space rules leave alone.
+_BARE = r"[^\n\x20-\x29\x2b-\x7d\u00A1-\u024F]"
+_BARE_SQL = "regexp_replace(coalesce(text, ''), '[^\\n\\x20-\\x29\\x2b-\\x7d\\x{00A1}-\\x{024F}]', ' ', 'g')"
+_FOLDED = f"list_filter(list_transform(string_split({_BARE_SQL}, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '')"
+
+
+@query("q_list_markdown", f"""SELECT path, CASE WHEN len(p) = 0 THEN '' ELSE array_to_string(list_transform(range(1, len(p) + 1), lambda i: CASE i % 3 WHEN 1 THEN '- ' WHEN 2 THEN '  1. ' ELSE '     - ' END || p[i]), chr(10)) || chr(10) END AS content
+    FROM (SELECT 'corpus/' || CAST(doc_id AS STRING) || '.docx' AS path, {_FOLDED} AS p FROM documents)""")
+def q_list_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of three levels, from word-processor files to Markdown."""
+    return pages_to_markdown(docx_to_html(_list_files(spark, sf_dir, _BARE)), key="path").select("path", "content")
+
+
+@query("q_html_text", f"""SELECT doc_id, CASE WHEN len(p) = 0 THEN '' ELSE '## ' || array_to_string(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i % 4 = 2 THEN '**' || p[i] || '**' WHEN i % 4 = 3 THEN '> ' || p[i] ELSE p[i] END), chr(10) || chr(10)) || chr(10) END AS content
+    FROM (SELECT doc_id, {_FOLDED} AS p FROM documents)""")
+def q_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages made of whole texts: a heading, then plain, bold and quoted paragraphs by turns."""
+    lines = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), _BARE, " "), "\n"), lambda x: F.trim(x) != "")
+    clean = F.transform(lines, lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")))
+    tag = lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
+    html = F.transform(clean, lambda x, i: F.when(i == 0, tag("h2", x)).when(i % 4 == 1, tag("p", tag("b", F.trim(x)))).when(i % 4 == 2, tag("blockquote", tag("p", x))).otherwise(tag("p", x)))
+    pages = _table(spark, sf_dir, "documents").select("doc_id", F.array_join(html, "\n").alias("html"))
+    return pages_to_markdown(pages, key="doc_id").select("doc_id", "content")
+
+
 _PAGE = "'<h2>' || lang || '</h2><p>see <b>' || source || '</b> and <a href=\"u' || doc_id || '\">' || n_chars || '</a></p><ul><li>one<li>two</ul><table><tr><th>a<th>b<tr><td><p>' || lang || '</p><td>x|y</table>'"
 
 
