@@ -20,6 +20,8 @@ LINK = rf"([0-9]+\.{_DIR}(?:[ \t]+{_DIR})*) > ({_NAME}(?:[ \t]+{_NAME})*)\.docx"
 BASE = "/docx/插件详细手册"
 #: Hits are broadcast up to this size, by a measuring pass.
 BROADCAST_BYTES = 16 << 20
+#: An index of at most so many names is part of the expression that looks them up.
+SMALL_INDEX = 4096
 #: Bits of the largest filter, 2 MB, and how many of them stand for a row.
 FILTER_BITS, _HASHES = 1 << 24, 3
 
@@ -81,41 +83,50 @@ def may_hold(filled: bytes, *values: Column) -> Column:
     return reduce(Column.__and__, [bit(k) for k in range(_HASHES)])
 
 
-def rewrite_links(docs: DataFrame, pointing: DataFrame, content: str = "content", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def rewrite_links(docs: DataFrame, pointing: DataFrame, content: str = "content", broadcast_bytes: int = BROADCAST_BYTES, small_index: int = SMALL_INDEX) -> DataFrame:
     """``docs`` with every mention in ``content`` turned into a link.
 
     The pieces of a text are put together by position, so a mention that is a
     part of another is never replaced inside it.
 
-    Contents stay where they are read. A first look takes from each text the
-    mentions that a Bloom filter of the index lets through, and only these, with a
-    digest of the text, are joined with the index by (dir, name). What they hit is
-    found again by the digest: texts that are equal have equal links, so rows need
-    no key of their own. If the hits are larger than ``broadcast_bytes``, the texts
-    that the filter lets through are shuffled to them, and no others.
+    Contents stay where they are read. An index of at most ``small_index`` names is
+    looked up within the row, in one pass. Of a larger one, a first look takes from
+    each text the mentions that a Bloom filter of the index lets through, and only
+    these, with a digest of the text, are joined with the index by (dir, name). What
+    they hit is found again by the digest: texts that are equal have equal links, so
+    rows need no key of their own. If the hits are larger than ``broadcast_bytes``,
+    the texts that the filter lets through are shuffled to them, and no others.
     """
-    known = kept(pointing.select("dir", F.col("name").alias("key")).distinct())
-    filled = bloom(known, "dir", "key")
+    known = kept(pointing.select("dir", F.col("name").alias("key")).where("dir IS NOT NULL AND name IS NOT NULL").distinct())
     c = F.col(content)
-    mentions = F.transform(links_of(c), lambda m: F.struct(m["dir"].alias("dir"), trim(m["name"]).alias("key")))
-    likely = F.filter(F.array_distinct(mentions), lambda m: may_hold(filled, m["dir"], m["key"]))
-    sha = F.sha2(c, 256).alias("__sha")
-    asked = docs.select(sha, F.explode(likely).alias("m")).select("__sha", "m.dir", "m.key")
-    hits = kept(asked.join(known, ["dir", "key"]).groupBy("__sha").agg(F.collect_set(F.struct("dir", "key")).alias("__hits")))
 
-    def rewritten(rows: DataFrame) -> DataFrame:
-        rendered = F.transform(links_of(c), lambda l: render(l["dir"], l["name"], F.coalesce(F.array_contains("__hits", F.struct(l["dir"].alias("dir"), trim(l["name"]).alias("key"))), F.lit(False))))
+    def rewritten(rows: DataFrame, hit) -> DataFrame:
+        """``hit`` tells of a mention's (dir, name) whether it is in the index."""
+        rendered = F.transform("__links", lambda l: render(l["dir"], l["name"], hit(l["dir"], trim(l["name"]))))
         text = F.array_join(F.flatten(F.zip_with(F.split(c, LINK, -1), rendered, lambda g, r: F.array(g, F.coalesce(r, F.lit(""))))), "")
-        whole = F.when(F.size(rendered) > 0, text).otherwise(c)
+        whole = F.when(F.size("__links") > 0, text).otherwise(c)
         return rows.select(*[(whole if x == content else F.col(f"`{x}`")).alias(x) for x in docs.columns])
 
-    keyed = docs.withColumn("__sha", sha)
+    linked = docs.withColumn("__links", links_of(c))
+    few = known.limit(small_index + 1).collect() if small_index else []
+    if small_index and len(few) <= small_index:
+        names = [f"{r.dir}\0{r.key}" for r in few]
+        return rewritten(linked, (lambda d, k: F.concat(d, F.lit("\0"), k).isin(names)) if names else (lambda d, k: F.lit(False)))
+
+    filled = bloom(known, "dir", "key")
+    likely = F.filter(F.array_distinct(F.transform("__links", lambda m: F.struct(m["dir"].alias("dir"), trim(m["name"]).alias("key")))), lambda m: may_hold(filled, m["dir"], m["key"]))
+    keyed = linked.withColumn("__sha", F.sha2(c, 256))
+    asked = keyed.select("__sha", F.explode(likely).alias("m")).select("__sha", "m.dir", "m.key")
+    hits = kept(asked.join(known, ["dir", "key"]).groupBy("__sha").agg(F.collect_set(F.struct("dir", "key")).alias("__hits")))
+
+    def among(d: Column, k: Column) -> Column:
+        return F.coalesce(F.array_contains("__hits", F.struct(d.alias("dir"), k.alias("key"))), F.lit(False))
+
     size = hits.agg(F.sum(F.octet_length(F.to_json("__hits")) + 96)).first()[0] or 0
     if size <= broadcast_bytes:
-        return rewritten(keyed.join(F.broadcast(hits), "__sha", "left"))
+        return rewritten(keyed.join(F.broadcast(hits), "__sha", "left"), among)
     through = F.coalesce(F.size(likely) > 0, F.lit(False))
-    none = F.lit(None).cast(hits.schema["__hits"].dataType)
-    return rewritten(keyed.where(through).join(hits, "__sha", "left")).unionByName(rewritten(docs.where(~through).withColumn("__hits", none)))
+    return rewritten(keyed.where(through).join(hits, "__sha", "left"), among).unionByName(rewritten(linked.where(~through), lambda d, k: F.lit(False)))
 
 
 def dangling_links(links: DataFrame, names: DataFrame) -> DataFrame:

@@ -110,6 +110,8 @@ def unique_names_exact(files: DataFrame) -> DataFrame:
     Families without such relations take the window of ``unique_names``.
     """
     files = files.select("root", "dir", "name")
+    if files.where(file_stem(F.col("name")).rlike(NUMBERED)).isEmpty():
+        return unique_names(files)
     first = files.groupBy("root", "name").agg(F.min("dir").alias("first")).withColumns({"stem": file_stem(F.col("name")), "ext": extension(F.col("name"))})
     own = first.select("root", F.col("name").alias("parent"), F.col("stem").alias("p_stem"), F.col("ext").alias("p_ext"))
     told = first.where(F.col("stem").rlike(NUMBERED)).withColumns({"p_stem": F.regexp_extract("stem", NUMBERED, 1), "k": F.regexp_extract("stem", NUMBERED, 2).cast("long")})
@@ -192,9 +194,9 @@ def deepest_dirs(entries: DataFrame, roots: DataFrame | None = None) -> DataFram
     From the root: a directory that holds one directory and no file is left for
     it, and its name is the detected one; one that holds one directory and
     files is left for it if it holds a file, and gives a name only if there is
-    none yet. Every directory points to the one it is left for; the pointers are
-    doubled until those of the roots stand still, so a descent of depth d takes
-    log(d) joins, and no tree is ever in one task.
+    none yet. Every directory points to the one it is left for, and the pointers
+    are doubled, so a descent of depth d takes log(d) joins, and no tree is ever in
+    one task.
     """
     per = entries.groupBy("root", "dir").agg(F.count_if(F.col("kind") == "dir").alias("n_dirs"), F.count_if(F.col("kind") == "file").alias("n_files"), F.min(F.when(F.col("kind") == "dir", F.col("name"))).alias("child"))
     sub = per.select("root", F.col("dir").alias("sub"), F.col("n_files").alias("sub_files"))
@@ -203,12 +205,15 @@ def deepest_dirs(entries: DataFrame, roots: DataFrame | None = None) -> DataFram
     # "last" is the name that a stretch leaves whatever was detected before it (that
     # of its last directory without files), "any" the one if nothing was.
     links = kept(per.where(step).select("root", "dir", "sub", F.when(F.col("n_files") == 0, F.col("child")).alias("last"), F.col("child").alias("any")))
-    while True:
+    deepest = links.agg(F.max(F.size(F.split("dir", "/")))).first()[0] or 0
+    rounds = deepest.bit_length()  # after so many doublings a pointer spans all levels
+    for r in range(rounds):
         there = links.select("root", F.col("dir").alias("sub"), F.col("sub").alias("further"), F.col("last").alias("more"))
-        joined = kept(links.join(there, ["root", "sub"], "left").select("root", "dir", F.coalesce("further", "sub").alias("sub"), F.coalesce("more", "last").alias("last"), "any", F.col("further").isNotNull().alias("moved")))
-        links = joined.drop("moved")
-        if joined.where("dir = '' AND moved").isEmpty():
-            break
+        # The last round is for the roots alone.
+        own = links.where("dir = ''") if r == rounds - 1 else links
+        links = own.join(there, ["root", "sub"], "left").select("root", "dir", F.coalesce("further", "sub").alias("sub"), F.coalesce("more", "last").alias("last"), "any")
+        if r % 2:
+            links = kept(links)
     found = links.where("dir = ''").select("root", F.col("sub").alias("found"), F.coalesce("last", "any").alias("detected"))
     every = entries.select("root").distinct() if roots is None else roots
     return every.join(found, "root", "left").select("root", F.coalesce("found", F.lit("")).alias("dir"), "detected")

@@ -46,9 +46,11 @@ DOCS = [("p", "1.a > X.docx", 1), ("p", "1.a > X.docx 1.a > Y.docx", 2), (None,
 def test_contents_stay_where_they_are(spark, limit):
     docs = spark.createDataFrame(DOCS, "path string, content string, n int")
     known = spark.createDataFrame([("1.a", "X"), ("1.a", "X"), ("2.b", "Z")], "dir string, name string")
-    df = links.rewrite_links(docs, known, broadcast_bytes=limit)
+    df = links.rewrite_links(docs, known, broadcast_bytes=limit, small_index=0)
     got = {r.n: r.content for r in df.collect()}
     x, y = "[`1.a > X.docx`](/docx/插件详细手册/1.a/（指向）X.md)", "[`1.a > Y.docx`](/docx/插件详细手册/1.a/Y.md)"
+    assert {r.n: r.content for r in links.rewrite_links(docs, known).collect()} == got
+    assert {r.n: r.content for r in links.rewrite_links(docs, known.limit(0)).collect()}[1] == x.replace("（指向）", "")
     assert got == {1: x, 2: f"{x} {y}", 3: None, 4: "none", 5: y, 6: y, 7: ""} and df.columns == docs.columns
     plan = explain(spark, df)
     if limit:
@@ -61,7 +63,8 @@ def test_contents_stay_where_they_are(spark, limit):
 def test_links_of_all_documents_with_a_small_limit(spark):
     md, pointing = Q.view(spark, SF, "md"), catalog.pointing_rows(Q._rows(spark, SF))
     want = {r.doc_id: r.content for r in links.rewrite_links(md, pointing).collect()}
-    assert {r.doc_id: r.content for r in links.rewrite_links(md, pointing, broadcast_bytes=0).collect()} == want
+    for limit in (0, 16 << 20):
+        assert {r.doc_id: r.content for r in links.rewrite_links(md, pointing, broadcast_bytes=limit, small_index=0).collect()} == want
 
 
 def test_filter_loses_nothing(spark, monkeypatch):
