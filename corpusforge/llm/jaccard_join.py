@@ -336,6 +336,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return checkpoint(texts.mapInArrow(_sets(words), "node binary, hashes binary").dropDuplicates(["node"]))
 
     sets: DataFrame | None = None
+    tried: DataFrame | None = None
+    few: DataFrame | None = None
     shortest = shortest_prefix(similarity, recall)
     meeting = _colliding(nodes.select("node", "size", "labels"), shortest)
     for depth in range(DEPTH, shortest - 1, -1):
@@ -343,15 +345,24 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # A node's crowds by tree; 0 where its trie node is small.
         in_crowds = crowds.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("of"))
         in_crowds = checkpoint(in_crowds.select("node", F.array(*[F.coalesce(F.try_element_at("of", F.lit(k)), F.lit(0)) for k in range(TREES)]).alias("crowds")))
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(in_crowds.select("node")).distinct()
+        # Pairs that longer prefixes have matched are verified already.
+        fresh = pairs if tried is None else checkpoint(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs
+        ends = fresh.select(F.col("a").alias("node")).union(fresh.select(F.col("b").alias("node"))).union(in_crowds.select("node")).distinct()
         # Prefixes that are shortened match all that they matched before.
         sets = fetched(ends) if sets is None else sets.unionByName(fetched(ends.join(sets.select("node"), "node", "left_anti")))
-        known_sets = sets.join(sized_broadcast(in_crowds), "node", "left")
+        crowd_of = sized_broadcast(in_crowds)
+        known_sets = sets.join(crowd_of, "node", "left")
         left, right = known_sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"), F.col("crowds").alias("p")), known_sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"), F.col("crowds").alias("q"))
         # A pair that meets in a crowd as well is left to the crowd.
         crowded = F.exists(F.arrays_zip("p", "q"), lambda z: (z["p"] == z["q"]) & (z["p"] != 0))
-        apart = pairs.join(right, "b").join(left, "a").where(~F.coalesce(crowded, F.lit(False)))
-        few = checkpoint(apart.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a binary, b binary, jaccard double"))
+        alone = ~F.coalesce(crowded, F.lit(False))
+        apart = fresh.join(right, "b").join(left, "a").where(alone)
+        found = apart.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a binary, b binary, jaccard double")
+        if few is not None:
+            p, q = (crowd_of.select(F.col("node").alias(end), F.col("crowds").alias(name)) for end, name in (("a", "p"), ("b", "q")))
+            found = found.unionByName(few.join(p, "a", "left").join(q, "b", "left").where(alone).select("a", "b", "jaccard"))
+        few = checkpoint(found)
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         cells = crowds.join(known_sets.where("crowds IS NOT NULL"), "node").select("key", "tree", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"), "node", "hashes", "crowds")
         cells = cells.select("key", "tree", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "hashes", "crowds").groupBy("key", "i", "j")
