@@ -20,8 +20,10 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,9 @@ N_BEST = 3
 FALLBACK_LOSS = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Units that a worker holds at most, of some 250 bytes each; results do not depend on it.
-HELD = 600_000
+HELD = 1_200_000
+#: ... and of how many of them all segmentations.
+OTHERS_HELD = 20_000
 #: Blanks become the piece alphabet's space; the literal sign of it gets no piece.
 _TO_PIECES = {ord(" "): SPACE, ord(SPACE): "\uffff"}
 
@@ -235,7 +239,7 @@ def read_model(path: str) -> bytes:
 class Units(dict):
     """unit -> place in tables of the best ids, its score and the losses of the rest.
 
-    The ids of the rest are not held: few units of a text need them."""
+    The ids of the rest are held for a few units only: few of a text need them."""
 
     def __init__(self, model: PieceModel, n: int, held: int):
         self.model, self.n, self.held = model, n, held
@@ -243,31 +247,37 @@ class Units(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.count = self.used = 0
-        self.score, self.start, self.size = np.empty(1024), np.empty(1024, dtype=np.int64), np.empty(1024, dtype=np.int64)
-        self.losses = np.full((1024, max(1, self.n - 1)), np.inf)
-        self.ids = np.empty(8192, dtype="<i4")
-
-    def _double(self, *names: str) -> None:
-        for name in names:
-            old = getattr(self, name)
-            new = np.full((2 * len(old), *old.shape[1:]), np.inf) if name == "losses" else np.empty(2 * len(old), dtype=old.dtype)
-            new[: len(old)] = old
-            setattr(self, name, new)
+        self.others: dict[str, list] = {}
+        self.count = 0
+        # Score, end of the ids and losses of each unit; ids of all.
+        self.score, self.end, self.losses, self.ids = array("d"), array("q", [0]), array("d"), array("i")
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Views of the scores, ends, losses (units x n - 1) and ids, to be let go
+        before a unit is added."""
+        losses = np.frombuffer(self.losses).reshape(-1, max(1, self.n - 1)) if self.count else np.empty((0, max(1, self.n - 1)))
+        return np.frombuffer(self.score), np.frombuffer(self.end, dtype=np.int64), losses, np.frombuffer(self.ids, dtype="<i4")
+
+    def rest(self, unit: str) -> list[tuple[float, list[int]]]:
+        """All segmentations of a unit. Those that lose least are asked for again
+        and again, so some are held."""
+        found = self.others.get(unit)
+        if found is None:
+            found = self.model.encode_unit(unit, self.n)
+            if len(self.others) < OTHERS_HELD and len(unit) <= 64:
+                self.others[unit] = found
+        return found
 
     def __missing__(self, unit: str) -> int:
         found = self.model.encode_unit(unit, self.n, paths=False)
         score, ids = found[0]
         at = self.count
-        if at == len(self.score):
-            self._double("score", "start", "size", "losses")
-        while self.used + len(ids) > len(self.ids):
-            self._double("ids")
-        self.score[at], self.start[at], self.size[at] = score, self.used, len(ids)
-        for k, (other, _) in enumerate(found[1:]):
-            self.losses[at, k] = score - other
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.count, self.used = at + 1, self.used + len(ids)
+        self.score.append(score)
+        self.ids.extend(ids)
+        self.end.append(len(self.ids))
+        lost = [score - other for other, _ in found[1:]]
+        self.losses.extend(lost + [inf] * (max(1, self.n - 1) - len(lost)))
+        self.count = at + 1
         if len(unit) <= 64:
             self[unit] = at
         return at
@@ -304,19 +314,22 @@ def encode(text: str, units: Units) -> tuple[list[bytes], list[float]]:
     if units.count >= units.held:
         units.reset()
     atoms = units.model.atom.findall(units.model.lead + text)
-    at = np.array(list(map(units.__getitem__, atoms)))
-    size = units.size[at]
+    at = np.fromiter(map(units.__getitem__, atoms), np.int64, len(atoms))
+    score, end, losses, held = units.tables()
+    start = end[at]
+    size = end[at + 1] - start
     ends = np.cumsum(size)
-    ids = units.ids[np.repeat(units.start[at] - ends + size, size) + np.arange(ends[-1])].tobytes()
-    best = float(units.score[at].sum())
+    ids = held[np.repeat(start - ends + size, size) + np.arange(ends[-1])].tobytes()
+    best, losses = float(score[at].sum()), losses[at]
+    del score, end, held
     out, scores = [], []
-    for loss, choices in merge_losses(units.losses[at], units.n):
+    for loss, choices in merge_losses(losses, units.n):
         parts, done = [], 0
         for u, k in choices:
-            end = 4 * int(ends[u])
-            other = units.model.encode_unit(atoms[u], units.n)[k + 1][1]
-            parts += [ids[done : end - 4 * int(size[u])], np.array(other, dtype="<i4").tobytes()]
-            done = end
+            last = 4 * int(ends[u])
+            other = units.rest(atoms[u])[k + 1][1]
+            parts += [ids[done : last - 4 * int(size[u])], np.array(other, dtype="<i4").tobytes()]
+            done = last
         out.append(b"".join([*parts, ids[done:]]) if parts else ids)
         scores.append(best - loss)
     return out, scores
