@@ -110,8 +110,9 @@ def rewrite_links(docs: DataFrame, pointing: DataFrame, content: str = "content"
     linked = docs.withColumn("__links", links_of(c))
     few = known.limit(small_index + 1).collect() if small_index else []
     if small_index and len(few) <= small_index:
-        names = [f"{r.dir}\0{r.key}" for r in few]
-        return rewritten(linked, (lambda d, k: F.concat(d, F.lit("\0"), k).isin(names)) if names else (lambda d, k: F.lit(False)))
+        # One literal, not one for each name: no file name holds a NUL.
+        names = F.lit("".join(f"\0\0{r.dir}\0{r.key}\0\0" for r in few))
+        return rewritten(linked, lambda d, k: F.contains(names, F.concat(F.lit("\0\0"), d, F.lit("\0"), k, F.lit("\0\0"))) & ~F.contains(F.concat(d, k), F.lit("\0")))
 
     filled = bloom(known, "dir", "key")
     likely = F.filter(F.array_distinct(F.transform("__links", lambda m: F.struct(m["dir"].alias("dir"), trim(m["name"]).alias("key")))), lambda m: may_hold(filled, m["dir"], m["key"]))

@@ -109,7 +109,7 @@ def unique_names_exact(files: DataFrame) -> DataFrame:
     without a number go first, then those with one, two, ... numbers at the end.
     Families without such relations take the window of ``unique_names``.
     """
-    files = files.select("root", "dir", "name")
+    files = kept(files.select("root", "dir", "name"))
     if files.where(file_stem(F.col("name")).rlike(NUMBERED)).isEmpty():
         return unique_names(files)
     first = files.groupBy("root", "name").agg(F.min("dir").alias("first")).withColumns({"stem": file_stem(F.col("name")), "ext": extension(F.col("name"))})
@@ -204,7 +204,8 @@ def deepest_dirs(entries: DataFrame, roots: DataFrame | None = None) -> DataFram
     step = (F.col("n_dirs") == 1) & ((F.col("n_files") == 0) | (F.coalesce("sub_files", F.lit(0)) > 0))
     # "last" is the name that a stretch leaves whatever was detected before it (that
     # of its last directory without files), "any" the one if nothing was.
-    links = kept(per.where(step).select("root", "dir", "sub", F.when(F.col("n_files") == 0, F.col("child")).alias("last"), F.col("child").alias("any")))
+    base = kept(per.select("root", "dir", F.when(step, F.col("sub")).alias("sub"), F.when(F.col("n_files") == 0, F.col("child")).alias("last"), F.col("child").alias("any")))
+    links = base.where("sub IS NOT NULL")
     deepest = links.agg(F.max(F.size(F.split("dir", "/")))).first()[0] or 0
     rounds = deepest.bit_length()  # after so many doublings a pointer spans all levels
     for r in range(rounds):
@@ -215,7 +216,7 @@ def deepest_dirs(entries: DataFrame, roots: DataFrame | None = None) -> DataFram
         if r % 2:
             links = kept(links)
     found = links.where("dir = ''").select("root", F.col("sub").alias("found"), F.coalesce("last", "any").alias("detected"))
-    every = entries.select("root").distinct() if roots is None else roots
+    every = base.select("root").distinct() if roots is None else roots
     return every.join(found, "root", "left").select("root", F.coalesce("found", F.lit("")).alias("dir"), "detected")
 
 
