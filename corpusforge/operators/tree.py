@@ -19,6 +19,13 @@ from ..functions.names import extension, file_stem, is_archive, is_volume, volum
 from ..plans.shared import kept
 
 
+#: Names are broadcast up to this size, by a measuring pass; a name is heavy if it has
+#: at least one file in so many, so there are at most so many heavy ones.
+BROADCAST_BYTES, HEAVY_NAMES = 16 << 20, 4096
+#: So many junk names at most are part of a filter.
+SMALL_NAMES = 1024
+
+
 def ancestors(folder: Column) -> Column:
     """The directory itself and all above it, without the root."""
     parts = F.filter(F.split(folder, "/"), lambda p: p != "")
@@ -39,10 +46,30 @@ def directories(files: DataFrame) -> DataFrame:
     return files.select("root", F.explode(ancestors(F.col("dir"))).alias("dir")).distinct()
 
 
-def dirty_files(files: DataFrame, names: DataFrame) -> DataFrame:
-    """Files whose name or stem is in ``names`` (column name): an equi semi join."""
-    keyed = files.withColumn("__key", F.explode(F.array_distinct(F.array("name", file_stem(F.col("name"))))))
-    return keyed.join(names.select(F.col("name").alias("__key")), "__key", "left_semi").drop("__key").distinct()
+def dirty_files(files: DataFrame, names: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, small_names: int = SMALL_NAMES) -> DataFrame:
+    """Files whose name or stem is in ``names`` (column name), each once.
+
+    Files are never dealt out by a name that many of them have. At most ``small_names``
+    names are a filter, which Spark takes to where the files are read; more are
+    broadcast where their measured size allows. Of a larger table, the names in it that
+    files really have are found first, from distinct names; those of at least one
+    file in HEAVY_NAMES are broadcast, and only files of other names are shuffled.
+    """
+    keys = F.explode(F.array_distinct(F.array("name", file_stem(F.col("name"))))).alias("__key")
+    wanted = kept(names.select(F.col("name").alias("__key")).where("__key IS NOT NULL").distinct())
+    few = wanted.limit(small_names + 1).collect()
+    if len(few) <= small_names:
+        known = [r[0] for r in few]
+        return files.where(F.col("name").isin(known) | file_stem(F.col("name")).isin(known)).distinct()
+    size = wanted.agg(F.sum(F.octet_length("__key") + 32)).first()[0] or 0
+    if size <= broadcast_bytes:
+        return files.select("*", keys).join(F.broadcast(wanted), "__key", "left_semi").drop("__key").distinct()
+    counted = kept(files.groupBy("name").agg(F.count(F.lit(1)).alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hits = kept(counted.select("*", keys).join(wanted, "__key", "left_semi").drop("__key").distinct())
+    heavy = F.broadcast(hits.where(F.col("n") * HEAVY_NAMES >= total).select("name"))
+    rare = files.join(heavy, "name", "left_anti").join(hits.where(F.col("n") * HEAVY_NAMES < total).select("name"), "name", "left_semi")
+    return files.join(heavy, "name", "left_semi").unionByName(rare).select(files.columns).distinct()
 
 
 def volume_sets(files: DataFrame) -> DataFrame:
