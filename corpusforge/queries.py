@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import cleaners as C
 from .functions import names as N
+from .functions.batches import pieces, small_batches
 from .functions.jstext import HTML_TAGS, WS_INNER_RE2, WS_RE2
 from .operators import catalog, images, links, plugins, renames, targets, tree
 from .plans.build import Built, all_errors, clean_checked, clean_documents, collisions, office_documents, overwritten, report
@@ -63,6 +64,7 @@ IGNORED_DIRTY = ["junk"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -430,7 +432,7 @@ def _zip_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         import pyarrow as pa
 
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 file = io.BytesIO()
@@ -657,7 +659,7 @@ def _docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         import pyarrow as pa
 
         space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for text in b.column(1).to_pylist():
                 body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in text.split("\n"))
@@ -700,7 +702,7 @@ def _list_files(spark: SparkSession, sf_dir: str, odd: str = r"[^\n\x20-\x7e\u00
         import pyarrow as pa
 
         space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for text in b.column(1).to_pylist():
                 lines = [x for x in text.split("\n") if x.strip(" ")]
@@ -876,7 +878,7 @@ def _pictured_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         import pyarrow as pa
 
         w, r, a = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/drawingml/2006/main"
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for kind, text in zip(b.column("kind").to_pylist(), b.column("text").to_pylist(), strict=True):
                 body = f'<w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:drawing><a:blip r:embed="p"/></w:drawing></w:r></w:p>'
