@@ -65,7 +65,7 @@ def test_archives_are_turned_into_objects_by_pieces(monkeypatch):
     assert given and [x.to_pydict()["path"] for x in out] == [["a.zip"], ["b.zip"]]
 
 
-@pytest.mark.parametrize("name", ["q_docx_lists", "q_plugin_chain", "q_extract"])
+@pytest.mark.parametrize("name", ["q_docx_lists", "q_plugin_chain", "q_extract", "q_zip_split"])
 def test_queries_ask_for_small_batches(spark, name):
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     before = {k: spark.conf.get(k) for k in (rows, size)}
