@@ -781,7 +781,8 @@ def _on_disk(spark: SparkSession, sf_dir: str, read: Callable[[str], DataFrame])
         failed = write_corpus(spark, Built(texts, None, spark.createDataFrame([], "path string, stage string, error string")), "docs", base)
         if not failed.isEmpty():
             raise OSError(failed.first().error)
-        return kept(read(f"{base}/docs"))
+        with listing.small_files(spark):
+            return kept(read(f"{base}/docs"))
     finally:
         remove(spark, base)
 

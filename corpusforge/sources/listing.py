@@ -3,15 +3,38 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import is_archive, is_lock_file
 
+#: For corpora of many small files: what opening one counts as, in bytes, when
+#: partitions are filled (4 MB by default, so a partition has 32 files at most), and
+#: how many folders the driver lists by itself (32 by default).
+SMALL_FILES = {"spark.sql.files.openCostInBytes": "65536", "spark.sql.sources.parallelPartitionDiscovery.threshold": "1"}
 ENTRY = "root string, parent string, path string, dir string, name string, kind string, depth int"
 
 
+@contextmanager
+def small_files(spark: SparkSession) -> Iterator[None]:
+    """Settings for reading many small files, as before once it is left.
+
+    What is read within must be worked out within. The readers set nothing
+    themselves, since both are settings of a session alone.
+    """
+    before = {k: spark.conf.get(k) for k in SMALL_FILES}
+    try:
+        for k, v in SMALL_FILES.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def scan(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path and length of files below ``path`` whose names match a glob.
 
