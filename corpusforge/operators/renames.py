@@ -9,6 +9,8 @@ joins that grows with the logarithm of their length.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,28 +19,46 @@ from ..plans.shared import kept
 RENAME, COLLISION, TAKEN, BLOCKED = "rename", "collision", "taken", "blocked"
 
 
-def _jumps(links: DataFrame) -> DataFrame:
-    """src, least, cyclic of links (src, next) with at most one in and one out each.
+#: What is known of a mover after some rounds: where so many steps lead (``jump``, null
+#: beyond the end of its chain), the least source met on the way with the first and last
+#: step at which it was met, and, at the end, its chain's ``end`` with the steps to it.
+_WALK = ("src", "dst", "jump", "least", "first", "last", "end", "dist", "cyclic")
 
-    ``next`` is null at the end of a chain. ``least`` is the least source of a
-    cycle.
-    """
-    now = kept(links.select("src", F.col("next").alias("jump"), F.least("src", "next").alias("least")))
-    steps, rows = 1, now.count()
-    while steps < rows and not now.where("jump IS NOT NULL").isEmpty():
-        there = now.select(F.col("src").alias("jump"), F.col("jump").alias("further"), F.col("least").alias("other"))
-        now = kept(now.join(there, "jump", "left").select("src", F.col("further").alias("jump"), F.least("least", "other").alias("least")))
-        steps *= 2
-    return now.select("src", "least", F.col("jump").isNotNull().alias("cyclic"))
 
+def _walked(links: DataFrame) -> DataFrame:
+    """src, dst, end, least, dist of links (src, dst, next) with at most one in and one out each.
 
-def _distances(links: DataFrame) -> DataFrame:
-    """src, end, dist: the end of each chain, and how many steps away it is."""
-    now = kept(links.select("src", F.coalesce("next", "src").alias("end"), F.col("next").isNotNull().cast("long").alias("dist"), F.col("next").isNull().alias("done")))
-    while not now.where("NOT done").isEmpty():
-        there = now.select(F.col("src").alias("end"), F.col("end").alias("further"), F.col("dist").alias("more"), F.col("done").alias("last"))
-        now = kept(now.join(there, "end").select("src", F.col("further").alias("end"), (F.col("dist") + F.col("more")).alias("dist"), F.col("last").alias("done")))
-    return now.select("src", "end", "dist")
+    ``next`` is null at the end of a chain. In a chain ``end`` is its last source and
+    ``dist`` the steps to it; in a cycle ``least`` is its least source and ``dist`` the
+    steps until it is met, all around for itself. Steps are doubled. A cycle is known by
+    its least source, which meets itself, by a source that is met twice, and by whoever
+    leads to one that knows; so rounds go on for the logarithm of the longest chain or
+    cycle, and a round works on those alone that do not know yet.
+    """
+    text, none = F.lit(None).cast("string"), F.lit(None).cast("long")
+    chained = F.col("next").isNotNull()
+    one = F.when(chained, F.lit(1)).cast("long")
+    now = links.select("src", "dst", F.col("next").alias("jump"), F.col("next").alias("least"), one.alias("first"), one.alias("last"), F.when(~chained, F.col("src")).alias("end"), F.when(~chained, F.lit(0)).cast("long").alias("dist"), (chained & (F.col("next") == F.col("src"))).alias("cyclic"))
+    now, known, steps = kept(now), [], 1
+    open_ = F.col("jump").isNotNull() & ~F.col("cyclic")
+    while True:
+        known.append(now.where(~open_))
+        todo = now.where(open_)
+        if todo.isEmpty():
+            break
+        every = reduce(DataFrame.unionByName, known, todo)
+        there = every.select(F.col("src").alias("jump"), *(F.col(c).alias(f"__{c}") for c in _WALK if c not in ("src", "dst")))
+        met = todo.join(there, "jump")
+        ends, circled = F.col("__jump").isNull(), F.col("__cyclic")
+        less, same = F.col("__least") < F.col("least"), F.col("__least") == F.col("least")
+        least = F.when(circled | ~less, F.col("least")).otherwise(F.col("__least"))
+        first = F.when(circled | ~less, F.col("first")).otherwise(F.col("__first") + steps)
+        last = F.when(~circled & (less | same), F.col("__last") + steps).otherwise(F.col("last"))
+        met = met.select("src", "dst", F.when(~circled, F.col("__jump")).otherwise(F.col("jump")).alias("jump"), least.alias("least"), first.alias("first"), last.alias("last"), F.when(ends, F.col("__end")).otherwise(text).alias("end"), F.when(ends, F.col("__dist") + steps).otherwise(none).alias("dist"), circled.alias("circled"))
+        now = kept(met.withColumn("cyclic", F.col("jump").isNotNull() & (F.col("circled") | (F.col("least") == F.col("src")) | (F.col("first") < F.col("last")))).drop("circled"))
+        steps *= 2
+    every = reduce(DataFrame.unionByName, known)
+    return every.select("src", "dst", "end", F.when(F.col("cyclic"), F.col("least")).alias("least"), F.when(F.col("cyclic"), F.col("first")).otherwise(F.col("dist")).alias("dist"))
 
 
 def resolve_renames(renames: DataFrame, standing: DataFrame, clobber: bool = False) -> DataFrame:
@@ -67,20 +87,14 @@ def resolve_renames(renames: DataFrame, standing: DataFrame, clobber: bool = Fal
     if clobber:
         stay, lost = stay.limit(0), lost.limit(0)
     # A mover's next is the mover that has its name now.
-    links = movers.join(movers.select(F.col("src").alias("dst"), F.col("src").alias("next")), "dst", "left").select("src", "dst", "next")
-    links = kept(links)
-    loops = _jumps(links).where("cyclic").select("src", "least")
-    open_links = links.join(loops, "src", "left").select("src", "dst", "least", F.when(F.col("src").eqNullSafe(F.col("least")), F.lit(None)).otherwise(F.col("next")).alias("next"))
-    open_links = kept(open_links)
-    far = _distances(open_links)
+    walked = _walked(movers.join(movers.select(F.col("src").alias("dst"), F.col("src").alias("next")), "dst", "left"))
     blocked = stay.union(lost).distinct().select(F.col("path").alias("dst"), F.lit(True).alias("held"))
-    ends = open_links.where("next IS NULL AND least IS NULL").join(blocked, "dst").select(F.col("src").alias("end"), F.lit(True).alias("held"))
-    length = open_links.where("least IS NOT NULL").groupBy("least").agg(F.count(F.lit(1)).alias("length"))
-    placed = open_links.join(far, "src").join(ends, "end", "left").join(length, "least", "left")
-    starts = F.col("src").eqNullSafe(F.col("least"))
+    ends = walked.where("least IS NULL AND dist = 0").join(blocked, "dst").select(F.col("src").alias("end"), F.lit(True).alias("held"))
+    placed = walked.where("least IS NULL").join(ends, "end", "left")
     status = F.when(F.col("held").isNull(), RENAME).when(F.col("end") == F.col("src"), TAKEN).otherwise(BLOCKED)
-    place = F.when(starts, F.col("length")).when(F.col("least").isNotNull(), F.col("dist")).otherwise(F.col("dist") + 1)
-    done = placed.select("src", "dst", status.alias("status"), F.when(status == RENAME, place).alias("place"), (starts & (status == RENAME)).alias("detour"))
+    done = placed.select("src", "dst", status.alias("status"), F.when(status == RENAME, F.col("dist") + 1).alias("place"), F.lit(False).alias("detour"))
+    turned = walked.where("least IS NOT NULL").select("src", "dst", F.lit(RENAME).alias("status"), F.col("dist").alias("place"), (F.col("src") == F.col("least")).alias("detour"))
+    done = done.unionByName(turned)
     rest = marked.where("NOT won").select("src", "dst", F.lit(COLLISION).alias("status"), F.lit(None).cast("long").alias("place"), F.lit(False).alias("detour"))
     return done.unionByName(rest)
 

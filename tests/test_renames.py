@@ -118,3 +118,26 @@ def test_sources_that_want_one_name_stay_whole_in_organize(spark, tmp_path):
     assert left == {"same/213.jpg", "214/214.jpg", "other/215.jpg"}
     assert [d.error for d in done if d.status == "skipped"] == ["collision"]
     assert list(itertools.chain(*[[d.src] for d in done if d.op == "rename" and d.status == "done"]))
+
+
+def test_rounds_follow_the_longest_way_not_the_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(R, "kept", lambda df, kept=R.kept: seen.append(1) or kept(df))
+    pairs = [(f"/t/{k:04d}", f"/t/{k ^ 1:04d}") for k in range(1000)]
+    resolved = R.resolve_renames(spark.createDataFrame(pairs, PAIR), spark.createDataFrame([(s,) for s, _ in pairs], "path string"))
+    assert resolved.where("status = 'rename'").count() == 1000 and resolved.where("detour").count() == 500
+    assert len(seen) <= 5
+
+
+def test_places_in_cycles_and_chains_of_every_length(spark):
+    rng, pairs, want = random.Random(3), [], {}
+    for n in range(2, 24):
+        ring = [f"/t/r{n:02d}-{k:02d}" for k in rng.sample(range(99), n)]
+        pairs += list(zip(ring, ring[1:] + ring[:1], strict=True))
+        at = ring.index(min(ring))
+        want |= {s: ((at - k) % n or n, k == at) for k, s in enumerate(ring)}
+        line = [f"/t/c{n:02d}-{k:02d}" for k in rng.sample(range(99), n)]
+        pairs += list(zip(line, line[1:], strict=False))
+        want |= {s: (n - 1 - k, False) for k, s in enumerate(line[:-1])}
+    resolved = R.resolve_renames(spark.createDataFrame(pairs, PAIR), spark.createDataFrame([(s,) for s, _ in pairs], "path string"))
+    assert {r.src: (r.place, r.detour) for r in resolved.collect()} == want
