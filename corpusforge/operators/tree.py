@@ -24,6 +24,11 @@ from ..plans.shared import kept
 BROADCAST_BYTES, HEAVY_NAMES = 16 << 20, 4096
 #: So many junk names at most are part of a filter.
 SMALL_NAMES = 1024
+#: Rows that are dealt out to a partition, in up to so many (Spark writes these without
+#: sorting them); parts of a tree.
+SPREAD_ROWS, SPREAD_MOST, TREE_PARTS = 500_000, 200, 1024
+#: How far below its root a directory lies.
+LEVEL = "length(dir) - length(replace(dir, '/'))"
 
 
 def ancestors(folder: Column) -> Column:
@@ -215,36 +220,64 @@ def pruned_dirs(files: DataFrame, dirs: DataFrame | None = None) -> DataFrame:
     return above.join(fails.withColumnRenamed("dir", "up"), ["root", "up"], "left_semi").select("root", "dir").distinct()
 
 
+def _parts(rows: DataFrame) -> int:
+    """To how many partitions directories are dealt out: by their number.
+
+    Spark puts partitions together by their size on disk, and paths in order are many
+    times larger in a hash table; partitions that are asked for by number are left alone.
+    """
+    return max(rows.sparkSession.sparkContext.defaultParallelism, min(SPREAD_MOST, rows.count() // SPREAD_ROWS + 1))
+
+
+def _deepest(listed: DataFrame, parts: int) -> DataFrame:
+    """root, dir, detected of directories (root, dir, folder, holds), rows repeated at will.
+
+    ``folder`` tells that the directory is listed itself, ``holds`` that a file lies in it.
+    """
+    # Each directory once, then the levels of a part of each tree: dealt out once for both.
+    part = F.pmod(F.xxhash64("dir"), F.lit(TREE_PARTS)).cast("int")
+    dirs = listed.withColumn("part", part).repartition(parts, "root", "part").groupBy("root", "part", "dir").agg(F.bool_or("folder").alias("folder"), F.bool_or("holds").alias("holds"))
+    dirs = dirs.withColumns({"depth": F.expr(LEVEL), "own": F.col("folder") | (F.col("dir") == "")})
+    some = dirs.groupBy("root", "part", "depth").agg(F.count_if("own").alias("n"), F.bool_or(F.col("own") & F.col("holds")).alias("holds"), F.min(F.when(F.col("own"), F.col("dir"))).alias("dir"))
+    levels = some.repartition(parts, "root").groupBy("root", "depth").agg(F.sum("n").alias("n"), F.bool_or("holds").alias("holds"), F.min("dir").alias("dir"))
+    # A level is reached if it has one directory and the one above is left for it.
+    down = Window.partitionBy("root").orderBy("depth")
+    bare = ~F.coalesce(F.lag("holds").over(down), F.lit(False))
+    next_to = F.coalesce(F.lag("depth").over(down), F.lit(0)) == F.col("depth") - 1
+    step = levels.select("root", "depth", "dir", bare.alias("bare"), ((F.col("depth") == 0) | ((F.col("n") == 1) & next_to & (bare | F.col("holds")))).alias("step"))
+    reached = step.withColumn("reached", F.bool_and("step").over(down))
+    last = F.lead("reached").over(down)
+    # A directory without files gives its name to what was detected before.
+    name = F.max(F.when(F.col("bare") & F.col("reached"), F.col("depth"))).over(down)
+    ends = reached.select("root", "depth", "dir", "reached", name.alias("at"), (~F.coalesce(last, F.lit(False))).alias("last"), F.row_number().over(down).alias("row"))
+    ends = ends.where("(reached AND last) OR (NOT reached AND row = 1)")
+    found = F.col("reached") & (F.col("depth") > 0)
+    return ends.select("root", F.when(found, F.col("dir")).otherwise("").alias("dir"), F.when(found, F.element_at(F.split("dir", "/"), F.greatest(F.coalesce("at", F.lit(1)), F.lit(1)).cast("int") + 1)).alias("detected"))
+
+
 def deepest_dirs(entries: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """root, dir, detected: where the content of a tree begins.
 
     From the root: a directory that holds one directory and no file is left for
     it, and its name is the detected one; one that holds one directory and
     files is left for it if it holds a file, and gives a name only if there is
-    none yet. Every directory points to the one it is left for, and the pointers
-    are doubled, so a descent of depth d takes log(d) joins, and no tree is ever in
-    one task.
+    none yet. So the way down goes by levels of a tree that have one directory, and
+    ends at the first that has more: levels are counted, and no tree is ever in
+    one task. All directories above a listed one are taken to be listed too.
     """
-    per = entries.groupBy("root", "dir").agg(F.count_if(F.col("kind") == "dir").alias("n_dirs"), F.count_if(F.col("kind") == "file").alias("n_files"), F.min(F.when(F.col("kind") == "dir", F.col("name"))).alias("child"))
-    sub = per.select("root", F.col("dir").alias("sub"), F.col("n_files").alias("sub_files"))
-    per = per.withColumn("sub", F.concat("dir", F.lit("/"), "child")).join(sub, ["root", "sub"], "left")
-    step = (F.col("n_dirs") == 1) & ((F.col("n_files") == 0) | (F.coalesce("sub_files", F.lit(0)) > 0))
-    # "last" is the name that a stretch leaves whatever was detected before it (that
-    # of its last directory without files), "any" the one if nothing was.
-    base = kept(per.select("root", "dir", F.when(step, F.col("sub")).alias("sub"), F.when(F.col("n_files") == 0, F.col("child")).alias("last"), F.col("child").alias("any")))
-    links = base.where("sub IS NOT NULL")
-    deepest = links.agg(F.max(F.size(F.split("dir", "/")))).first()[0] or 0
-    rounds = deepest.bit_length()  # after so many doublings a pointer spans all levels
-    for r in range(rounds):
-        there = links.select("root", F.col("dir").alias("sub"), F.col("sub").alias("further"), F.col("last").alias("more"))
-        # The last round is for the roots alone.
-        own = links.where("dir = ''") if r == rounds - 1 else links
-        links = own.join(there, ["root", "sub"], "left").select("root", "dir", F.coalesce("further", "sub").alias("sub"), F.coalesce("more", "last").alias("last"), "any")
-        if r % 2:
-            links = kept(links)
-    found = links.where("dir = ''").select("root", F.col("sub").alias("found"), F.coalesce("last", "any").alias("detected"))
-    every = base.select("root").distinct() if roots is None else roots
-    return every.join(found, "root", "left").select("root", F.coalesce("found", F.lit("")).alias("dir"), "detected")
+    folder = F.col("kind") == "dir"
+    listed = entries.select("root", F.when(folder, F.concat("dir", F.lit("/"), "name")).otherwise(F.col("dir")).alias("dir"), folder.alias("folder"), (F.col("kind") == "file").alias("holds"))
+    found = _deepest(listed, _parts(entries))
+    return found if roots is None else roots.join(found, "root", "left").select("root", F.coalesce("dir", F.lit("")).alias("dir"), "detected")
+
+
+def deepest_dirs_of(files: DataFrame) -> DataFrame:
+    """``deepest_dirs`` where only files (root, dir) are listed, rows repeated at will."""
+    parts = _parts(files)
+    held = files.select("root", "dir").repartition(parts, "root", "dir").distinct()
+    # The root, what lies between, and the directory itself.
+    at = F.expr(f"transform(sequence(0, {LEVEL}), k -> named_struct('dir', substring_index(dir, '/', k + 1), 'holds', k = {LEVEL}))")
+    return _deepest(held.select("root", F.inline(at)).withColumn("folder", F.lit(True)), parts)
 
 
 def rename_collisions(renames: DataFrame) -> DataFrame:

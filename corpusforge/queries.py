@@ -59,6 +59,8 @@ IMAGES = """SELECT l_orderkey AS doc_id, 'Doc: ' || CAST(l_orderkey AS STRING) |
  CASE l_returnflag WHEN 'A' THEN 'image/png' WHEN 'N' THEN 'image/jpeg' ELSE CASE WHEN l_linenumber % 3 = 0 THEN 'image/x-emf' WHEN l_linenumber % 3 = 1 THEN 'bmp' ELSE 'image/tiff' END END AS content_type,
  CASE WHEN l_linestatus = 'O' AND l_linenumber % 4 = 0 THEN 4 ELSE 400 END AS b64_len FROM lineitem"""
 _SOURCES = {"taken": (TAKEN, "lineitem"), "files": (FILES, "documents"), "md": (MD, "documents"), "entries": (ENTRIES, "part"), "tree": (TREE, "lineitem"), "images": (IMAGES, "lineitem")}
+#: The same with its rows repeated, for what does not mind them.
+_SOURCES["tree_rows"] = (TREE.replace("SELECT DISTINCT", "SELECT", 1), "lineitem")
 IGNORED = "corpus/node_modules"
 IGNORED_DIRTY = ["junk"]
 
@@ -410,10 +412,8 @@ _DOWN = """SELECT DISTINCT root, '' AS dir, NULL::VARCHAR AS detected, 0 AS dept
 
 @query("q_deepest_dir", _with("tree", dirs=_DIRS, per=_PER, walk=_DOWN) + "SELECT root, dir, coalesce(detected, '') AS detected FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth DESC) AS r FROM walk) WHERE r = 1")
 def q_deepest_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = view(spark, sf_dir, "tree")
-    dirs = tree.directories(files)
-    entries = files.select("root", "dir", "name", F.lit("file").alias("kind")).unionByName(dirs.select("root", tree.parent_of(F.col("dir")).alias("dir"), tree.last_of(F.col("dir")).alias("name"), F.lit("dir").alias("kind")))
-    return tree.deepest_dirs(entries).select("root", "dir", F.coalesce("detected", F.lit("")).alias("detected"))
+    found = tree.deepest_dirs_of(view(spark, sf_dir, "tree_rows"))
+    return found.select("root", "dir", F.coalesce("detected", F.lit("")).alias("detected"))
 
 
 @query("q_blanks", r"""SELECT doc_id, CASE WHEN c = '' THEN c ELSE c || chr(10) END AS content FROM (

@@ -183,3 +183,20 @@ def test_descent_on_random_trees(spark):
     plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     assert "collect_list" not in plan
     assert T.deepest_dirs(spark.createDataFrame([], ENTRY)).collect() == []
+
+
+def test_descent_deals_trees_out_by_number(spark):
+    """Nothing is put together by its size on disk, nothing joined, rows may be repeated."""
+    rng = random.Random(5)
+    trees = [[("/".join(["", *(rng.choice("ab") if rng.random() < 0.2 else "a.x" for _ in range(rng.randrange(7)))]).rstrip("/"), f"f{k}") for k in range(rng.randrange(1, 5))] for _ in range(120)]
+    rows = [(root, d, n) for root, t in enumerate(trees) for d, n in t * 2]
+    df = T.deepest_dirs_of(spark.createDataFrame(rows, FILE))
+    want = {}
+    for root, t in enumerate(trees):
+        above = {"/".join(d.split("/")[: k + 1]) for d, _ in t for k in range(1, len(d.split("/")))}
+        want[root] = _content([(d, n, "file") for d, n in set(t)] + [(*d.rsplit("/", 1), "dir") for d in above])
+    assert {r.root: (r.dir, r.detected) for r in df.collect()} == want
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    assert "Join" not in plan and "ENSURE_REQUIREMENTS" not in plan and plan.count("REPARTITION_BY_NUM") >= 3
+    lone = spark.createDataFrame([(1, "/x/y", "f", "file"), (2, "", "f", "other"), (3, "", "d", "dir"), (3, "", "d", "dir")], ENTRY)
+    assert {r.root: (r.dir, r.detected) for r in T.deepest_dirs(lone).collect()} == {1: ("", None), 2: ("", None), 3: ("/d", "d")}
