@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import argparse
 import hashlib
+import os
 import posixpath
 import sys
 from collections.abc import Iterator
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache, reduce
+from itertools import batched
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,11 +24,14 @@ from pyspark.sql import functions as F
 from ..functions.names import basename, file_stem, safe_name
 from ..sources.config import BuildConfig
 from .build import Built, build, report
-from .shared import checked_target, exists, kept, listed, make, remove, staging, swap
+from .shared import checked_target, exists, kept, listed, make, qualified, remove, staging, swap, within
 
 #: Folder of a written corpus that holds what its tasks have written.
 MANIFEST = ".manifest"
 WRITTEN = "path string, bytes long, sha256 string, error string"
+#: Files that a task removes at a time, names of a list that it holds, and rows that
+#: deal out a list, by turns of so many names.
+REMOVERS, REMOVED_NAMES, REMOVED_PARTS = 8, 4096, 4
 
 
 def write_files(rows: DataFrame, base: str, manifest: str | None = None) -> DataFrame:
@@ -127,6 +133,48 @@ def manifest_of(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in listed(spark, f"{folder}/{MANIFEST}")], "name string").mapInArrow(run, "path string, bytes long, sha256 string")
 
 
+def remove_written(spark: SparkSession, folder: str) -> None:
+    """Removes a written corpus, with all that lies in its folder.
+
+    On a disk or mount the files that the manifest names go by tasks, in the order of
+    writing, since a disk may take longer to free a small file than to write it. The
+    driver removes what is left: folders, lists and files that no list names. Other
+    systems remove a folder in one call. What lies behind a symbolic link stays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = os.path.realpath(root)
+        inside = lru_cache(1024)(lambda at: within(os.path.realpath(at), top))
+
+        def drop(lines: tuple[bytes, ...]) -> None:
+            for line in lines:
+                target = posixpath.normpath(f"{top}/{os.fsdecode(line.rstrip(b'\n').split(b'\t', 2)[-1])}")
+                if target != top and inside(posixpath.dirname(target)):
+                    try:
+                        os.unlink(target)
+                    except OSError:  # it is gone, or is a matter of the driver
+                        pass
+
+        with ThreadPoolExecutor(REMOVERS) as threads:
+            for b in batches:
+                for name, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    with open(name.removeprefix("file:"), "rb") as lines:
+                        for k, block in enumerate(batched(lines, REMOVED_NAMES)):
+                            if k % REMOVED_PARTS == part:
+                                list(threads.map(drop, (block[i::REMOVERS] for i in range(REMOVERS))))
+                yield b
+
+    full = qualified(spark, folder)
+    root = full.removeprefix("file:")
+    try:
+        lists = listed(spark, f"{folder}/{MANIFEST}") if full.startswith("file:") else []
+        if lists:
+            rows = [(n, part) for n in lists for part in range(REMOVED_PARTS)]
+            spark.createDataFrame(rows, "name string, part int").mapInArrow(run, "name string, part int").write.format("noop").mode("overwrite").save()
+    finally:
+        remove(spark, folder)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="corpusforge-build", description=__doc__)
     parser.add_argument("source", help="folder of the source documents")

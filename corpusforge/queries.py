@@ -23,7 +23,7 @@ from .plans.build import Built, all_errors, clean_checked, clean_documents, coll
 from .plans.organize import plan_dirty, plan_extractions, plan_organize, plan_targets, plan_volumes
 from .sources import listing
 from .plans.shared import kept, make, remove, shared_folder
-from .plans.write import manifest_of, write_corpus
+from .plans.write import manifest_of, remove_written, write_corpus
 from .sources.archives import EXTRACTORS, extract, extract_split, register_extractor
 from .sources.config import OrganizeConfig
 from .sources.docx import docx_to_html
@@ -784,7 +784,10 @@ def _on_disk(spark: SparkSession, sf_dir: str, read: Callable[[str], DataFrame])
         with listing.small_files(spark):
             return kept(read(f"{base}/docs"))
     finally:
-        remove(spark, base)
+        try:
+            remove_written(spark, f"{base}/docs")
+        finally:
+            remove(spark, base)
 
 
 #: The path below the written corpus, from one as listings show it.
