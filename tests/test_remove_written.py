@@ -9,7 +9,7 @@ from corpusforge.plans import write
 from corpusforge.plans.build import Built
 
 
-@pytest.mark.parametrize("name", ["q_manifest"])
+@pytest.mark.parametrize("name", ["q_manifest", "q_tree_source"])
 def test_the_driver_removes_no_documents(spark, monkeypatch, name):
     left = []
 
