@@ -3,6 +3,7 @@
 import pytest
 
 from corpusforge.operators import tree
+from corpusforge.queries import QUERIES
 
 
 @pytest.mark.parametrize("limits", [(1 << 20, 9), (1 << 20, 0), (0, 0)])
@@ -16,3 +17,10 @@ def test_dirty_files_are_not_dealt_out_by_name(spark, limits):
     # With a limit of nothing only files whose name few of them have are shuffled by it.
     assert "SortMergeJoin" not in plan if limits[0] else "BroadcastHashJoin" in plan
     assert "Join" not in plan if limits[1] else True
+
+
+def test_the_query_shuffles_junk_alone(spark):
+    plan = QUERIES["q_dirty"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    below = plan[plan.rindex("Aggregate") :]
+    assert "Filter" in below and "junk" in below[below.index("Filter") :]
