@@ -77,3 +77,14 @@ def test_queries_ask_for_small_batches(spark, name):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_errors_of_plugins_in_pieces():
+    def fail(text, path):
+        raise ValueError(f"{len(text)} in {path}")
+
+    kind = pa.schema([("content", pa.string()), ("path", pa.string()), ("failed", pa.string()), ("error", pa.string()), ("deltas", pa.list_(pa.struct([("name", pa.string()), ("delta", pa.int64())])))])
+    texts = {"content": [LONG] * 3, "path": ["a", "b", "c"], "failed": [None, "old", None], "error": [None, "was", None], "deltas": [[]] * 3}
+    out = list(P._pass(Rows(), [("fail", fail)], "content", "path")(iter([pa.RecordBatch.from_pydict(texts, kind)])))
+    assert [(x.to_pydict()["failed"], x.to_pydict()["error"]) for x in out] == [(["fail"], [f"{len(LONG)} in a"]), (["old"], ["was"]), (["fail"], [f"{len(LONG)} in c"])]
+    assert all(x.to_pydict()["content"] == [LONG] for x in out)
