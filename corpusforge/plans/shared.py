@@ -70,6 +70,12 @@ def listed(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().toString() for s in system.listStatus(path)) if system.exists(path) else []
 
 
+def matched(spark: SparkSession, pattern: str) -> list[str]:
+    """What a path, or a pattern of paths, stands for, as listings show it."""
+    system, path = _path(spark, pattern)
+    return sorted(s.getPath().toString() for s in system.globStatus(path) or [])
+
+
 def move(spark: SparkSession, src: str, dst: str) -> None:
     system, path = _path(spark, src)
     if not system.rename(path, _path(spark, dst)[1]):

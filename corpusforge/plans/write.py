@@ -55,6 +55,8 @@ def write_files(rows: DataFrame, base: str, manifest: str | None = None) -> Data
             for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 size, digest, error = 0, None, None
                 try:
+                    if path is None:
+                        raise ValueError("a file without a path")
                     target = posixpath.normpath(f"{root}/{path}")
                     if not target.startswith(root.rstrip("/") + "/"):
                         raise ValueError("the path lies outside the target")

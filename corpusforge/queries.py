@@ -774,9 +774,12 @@ _SOURCES["written"] = (_WRITTEN, "documents")
 
 
 def _on_disk(spark: SparkSession, sf_dir: str, read: Callable[[str], DataFrame]) -> DataFrame:
-    """Whole texts written as files of a corpus, read again, and removed."""
+    """Whole texts written as files of a corpus, read again, and removed.
+
+    A row without an id has no name, and so no file.
+    """
     base = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}".removeprefix("file:")
-    texts = view(spark, sf_dir, "written").select(F.concat(F.lit("docs/"), "dir", F.lit("/"), "name").alias("path"), "content")
+    texts = view(spark, sf_dir, "written").select(F.concat(F.lit("docs/"), "dir", F.lit("/"), "name").alias("path"), "content").where("path IS NOT NULL")
     try:
         failed = write_corpus(spark, Built(texts, None, spark.createDataFrame([], "path string, stage string, error string")), "docs", base)
         if not failed.isEmpty():

@@ -1,4 +1,8 @@
-"""File listings and whole-file reads."""
+"""File listings and whole-file reads.
+
+Spark's file sources list a file without bytes, but have no row for it. Here such
+files have rows as all others do; ``empty_files`` finds them.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import is_archive, is_lock_file
+from .empty_files import empty_files
 
 #: For corpora of many small files: what opening one counts as, in bytes, when
 #: partitions are filled (4 MB by default, so a partition has 32 files at most), and
@@ -35,14 +40,19 @@ def small_files(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+
+
 def scan(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path and length of files below ``path`` whose names match a glob.
 
     Only the listing is read; file bytes are not. Names that start with ``_`` or
     ``.`` are skipped by Spark's reader; ``list_tree`` sees them.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "length")
+    files = _files(spark, path, pattern)
+    empty = empty_files(spark, path, pattern, lambda: files)
+    return files.select("path", "length").unionByName(empty.select("path", F.lit(0).cast("long").alias("length")))
 
 
 def scan_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -60,14 +70,18 @@ def scan_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """path and content, a row per file."""
+    """path and content, a row per file; paths as ``scan`` has them, not as addresses."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    empty = empty_files(spark, path, pattern, lambda: _files(spark, path, pattern))
+    return rows.select(name.alias("path"), F.col("value").alias("content")).unionByName(empty.select("path", F.lit("").alias("content")))
 
 
 def read_binaries(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return rows.select("path", "content")
+    """path and content, a row per file."""
+    files = _files(spark, path, pattern)
+    empty = empty_files(spark, path, pattern, lambda: files)
+    return files.select("path", "content").unionByName(empty.select("path", F.lit(b"").alias("content")))
 
 
 def list_tree(spark: SparkSession, *roots: str) -> DataFrame:
