@@ -794,7 +794,7 @@ def _on_disk(spark: SparkSession, sf_dir: str, read: Callable[[str], DataFrame])
 
 
 #: The path below the written corpus, from one as listings show it.
-_BELOW = "regexp_extract(path, '/docs/(.*)$', 1) AS path"
+_BELOW = "regexp_extract(path, '/written-[0-9a-f]{32}/docs/(.*)$', 1) AS path"
 
 
 _FILE_ROWS = "SELECT dir || '/' || name AS path, octet_length(encode(content)) AS bytes, sha256(content) AS sha FROM fx_written"

@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import rows_of
+from conftest import SF, rows_of
 
 from corpusforge import queries as Q
 from corpusforge.plans import write
@@ -54,6 +54,13 @@ def test_queries_of_texts_that_are_empty_or_have_no_id(spark, tmp_path, name):
     assert rows_of(Q.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows_of(want)
 
 
+@pytest.mark.parametrize("name", ["q_read_binaries", "q_read_texts", "q_scan_texts"])
+def test_queries_where_the_shared_folder_has_a_name_of_the_corpus(spark, oracle, tmp_path, monkeypatch, name):
+    (tmp_path / "docs/a b").mkdir(parents=True)
+    monkeypatch.setattr(Q, "shared_folder", lambda _: f"file:{tmp_path}/docs/a b")
+    assert rows_of(Q.QUERIES[name](spark, SF).toPandas()) == rows_of(oracle(Q.ORACLES[name]))
+
+
 def test_a_file_without_a_path_is_not_written(spark, tmp_path):
     rows = spark.createDataFrame([(None, b"x"), ("a", b"y")], "path string, data binary")
     assert [(r.path, r.error) for r in write.write_files(rows, str(tmp_path)).collect()] == [(None, "a file without a path"), ("a", None)]
